@@ -8,6 +8,8 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shopcat.functions.text import let
+
 # Fixed pattern: an ISBN-shaped run of digits with optional single separators.
 ISBN_PATTERN = r"(?=[-\d\ xX]{10,})\d+[-\ ]?\d+[-\ ]?\d+[-\ ]?\d*[-\ ]?[\dxX]"
 
@@ -51,19 +53,25 @@ def _digit(c: Column, i: int) -> Column:
 
 
 def ean13_check_digit(first12: Column) -> Column:
-    """Check digit for twelve digits, as an int."""
-    total = reduce(add, [_digit(first12, i) * (3 if i % 2 else 1) for i in range(12)])
-    return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10))
+    """Check digit for the first twelve digits of a text, as an int."""
+    def check(c: Column) -> Column:
+        total = reduce(add, [_digit(c, i) * (3 if i % 2 else 1) for i in range(12)])
+        return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10))
+
+    return let(first12, check)
 
 
 def has_valid_check_digit(c: Column) -> Column:
     """True when ``c`` is a well-formed ISBN-10 or ISBN-13 with a correct check digit."""
-    ten = reduce(add, [_digit(c, i) * (10 - i) for i in range(10)])
-    return (
-        F.when(c.rlike(r"^\d{13}$"), F.substring(c, 13, 1).cast("int") == ean13_check_digit(c))
-        .when(c.rlike(r"^\d{9}[\dxX]$"), F.pmod(ten, F.lit(11)) == 0)
-        .otherwise(F.lit(False))
-    )
+    def check(c: Column) -> Column:
+        ten = reduce(add, [_digit(c, i) * (10 - i) for i in range(10)])
+        return (
+            F.when(c.rlike(r"^\d{13}$"), _digit(c, 12) == ean13_check_digit(c))
+            .when(c.rlike(r"^\d{9}[\dxX]$"), F.pmod(ten, F.lit(11)) == 0)
+            .otherwise(F.lit(False))
+        )
+
+    return let(c, check)
 
 
 def isbn_rank(c: Column) -> Column:
