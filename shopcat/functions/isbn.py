@@ -8,8 +8,6 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shopcat.functions.text import let
-
 # Fixed pattern: an ISBN-shaped run of digits with optional single separators.
 ISBN_PATTERN = r"(?=[-\d\ xX]{10,})\d+[-\ ]?\d+[-\ ]?\d+[-\ ]?\d*[-\ ]?[\dxX]"
 
@@ -47,31 +45,29 @@ def coerce_isbn(c: Column, strict: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^[ \p{L}]*", ""), tail, "")
 
 
-def _digit(c: Column, i: int) -> Column:
-    ch = F.substring(c, i + 1, 1)
-    return F.when(ch.isin("X", "x"), 10).otherwise(ch.try_cast("int"))
+def _digit(number: Column, place: int) -> Column:
+    """Decimal digit of ``number`` at 10 to the power of ``place``."""
+    return F.call_function("div", number, F.lit(10**place)) % 10
 
 
 def ean13_check_digit(first12: Column) -> Column:
-    """Check digit for the first twelve digits of a text, as an int."""
-    def check(c: Column) -> Column:
-        total = reduce(add, [_digit(c, i) * (3 if i % 2 else 1) for i in range(12)])
-        return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10))
-
-    return let(first12, check)
+    """Check digit for a text of twelve digits."""
+    number = first12.try_cast("bigint")
+    total = reduce(add, [_digit(number, 11 - i) * (3 if i % 2 else 1) for i in range(12)])
+    return ((10 - total % 10) % 10).cast("int")
 
 
 def has_valid_check_digit(c: Column) -> Column:
     """True when ``c`` is a well-formed ISBN-10 or ISBN-13 with a correct check digit."""
-    def check(c: Column) -> Column:
-        ten = reduce(add, [_digit(c, i) * (10 - i) for i in range(10)])
-        return (
-            F.when(c.rlike(r"^\d{13}$"), _digit(c, 12) == ean13_check_digit(c))
-            .when(c.rlike(r"^\d{9}[\dxX]$"), F.pmod(ten, F.lit(11)) == 0)
-            .otherwise(F.lit(False))
-        )
-
-    return let(c, check)
+    nine = F.left(c, F.lit(9)).try_cast("bigint")
+    check = F.when(F.right(c, F.lit(1)).isin("x", "X"), 10).otherwise(
+        F.right(c, F.lit(1)).try_cast("int"))
+    ten = reduce(add, [_digit(nine, 8 - i) * (10 - i) for i in range(9)]) + check
+    return (
+        F.when(c.rlike(r"^\d{13}$"), check == ean13_check_digit(F.left(c, F.lit(12))))
+        .when(c.rlike(r"^\d{9}[\dxX]$"), ten % 11 == 0)
+        .otherwise(F.lit(False))
+    )
 
 
 def isbn_rank(c: Column) -> Column:

@@ -39,24 +39,38 @@ def _state(value: Column, seq: Column, *before: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(*order, seq.alias("seq"), value.alias("value")))
 
 
-def _states(value, seq, isbn: Column, offer: Column) -> list[Column]:
-    """State columns ``s_*``; ``value(f)`` and ``seq(f)`` give a field's value and order."""
-    return [
-        *[_state(value(f), seq(f)).alias(f"s_{f}") for f in _FIRST],
-        *[_state(value(f), seq(f), -F.length(value(f))).alias(f"s_{f}") for f in _LONGEST],
-        _state(isbn, seq("isbn"), isbn_rank(isbn)).alias("s_isbn"),
-        _state(offer, seq("best_offer"), offer["retrieved_time"]).alias("s_offer"),
-    ]
+def _states(value, seq, isbn: Column, offer: Column) -> dict[str, Column]:
+    """The state of every field; ``value(f)`` and ``seq(f)`` give a field's value and order."""
+    return {
+        **{f: _state(value(f), seq(f)) for f in _FIRST},
+        **{f: _state(value(f), seq(f), -F.length(value(f))) for f in _LONGEST},
+        "isbn": _state(isbn, seq("isbn")),
+        "offer": _state(offer, seq("best_offer"), offer["retrieved_time"]),
+    }
 
 
-def _states_of_observations(obs: DataFrame) -> DataFrame:
+def _winner(field: str, state: Column) -> Column:
+    return (F.max(state) if field == "offer" else F.min(state)).alias(f"s_{field}")
+
+
+def fold_observations(obs: DataFrame) -> DataFrame:
+    """State rows of observations, one per ISBN: ``stem, isbn, words, isbns, s_*``.
+
+    The field states and the word sets are folded apart, each after a partial fold of the input
+    partition: a hot ISBN is reduced before it moves, and the union of its keywords is held as a
+    set of words, never as a list of rows. Both sides are partitioned alike, so their join moves
+    nothing. ``obs`` is read twice, the second time only its ISBN and keywords.
+    """
+    rows = obs.filter(F.col("isbn").isNotNull())
     seq = F.struct(F.lit(1).alias("arrival"), "retrieved_time", "page_id", "url").cast(SEQ)
-    rows = obs.filter(F.col("isbn").isNotNull()).withColumn("book_id", F.xxhash64("isbn"))
-    return rows.select(
-        isbn_stem(F.col("isbn")).alias("stem"),
-        "isbn", "keywords", F.array("isbn").alias("isbns"),
-        *_states(F.col, lambda _: seq, F.col("isbn"), F.col("offer")),
-    )
+    ordered = rows.withColumns({"seq": seq, "book_id": F.xxhash64("isbn")})
+    states = _states(F.col, lambda _: F.col("seq"), F.col("isbn"), F.col("offer"))
+    folded = ordered.groupBy("isbn").agg(*[_winner(f, states[f]) for f in _STATES])
+    words = rows.select("isbn", F.explode("keywords").alias("word")).groupBy("isbn").agg(
+        F.collect_set("word").alias("words"))
+    return folded.join(words, "isbn", "left").select(
+        isbn_stem(F.col("isbn")).alias("stem"), "isbn", "words", F.array("isbn").alias("isbns"),
+        *[f"s_{f}" for f in _STATES])
 
 
 def _states_of_books(books: DataFrame) -> DataFrame:
@@ -70,58 +84,33 @@ def _states_of_books(books: DataFrame) -> DataFrame:
         return F.coalesce(F.col(f"seqs.{field}"), unknown) if has_seqs else unknown
 
     isbns = F.col("isbns") if "isbns" in books.columns else F.array("isbn")
+    states = _states(F.col, seq, F.col("isbn"), F.col("best_offer"))
     return books.filter(F.col("isbn").isNotNull()).select(
-        isbn_stem(F.col("isbn")).alias("stem"),
-        "isbn", "keywords", isbns.alias("isbns"),
-        *_states(F.col, seq, F.col("isbn"), F.col("best_offer")),
-    )
-
-
-def _winner(field: str, column: str) -> Column:
-    return (F.max(column) if field == "offer" else F.min(column)).alias(f"s_{field}")
+        isbn_stem(F.col("isbn")).alias("stem"), "isbn", F.col("keywords").alias("words"),
+        isbns.alias("isbns"), *[states[f].alias(f"s_{f}") for f in _STATES])
 
 
 def merge_states(states: DataFrame) -> DataFrame:
-    """Fold state rows into one catalog row per book.
+    """Fold state rows (few per book) into one catalog row per book.
 
-    One heavy shuffle on (stem, isbn), after a partial fold of each input partition: a hot ISBN is
-    reduced before it moves. Keywords are spread into rows of their own beside the state row, so
-    their union is a set that is also combined before the shuffle. The second shuffle, on the
-    stem, moves one row per ISBN; a group there holds the ISBNs that differ in the check digit.
+    One shuffle, on the stem. A group there holds the ISBNs that differ in the check digit only,
+    once per catalog table or batch that names them.
     """
-    entries = F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("word"),
-                         F.struct(*[f"s_{f}" for f in _STATES]).alias("s"),
-                         F.col("isbns").alias("isbns"))),
-        F.transform(
-            F.coalesce("keywords", F.array().cast("array<string>")),
-            lambda w: F.struct(w.alias("word"), F.lit(None).alias("s"), F.lit(None).alias("isbns"))),
-    )
-    by_isbn = (
-        states.select("stem", "isbn", F.explode(entries).alias("e"))
-        .groupBy("stem", "isbn")
-        .agg(
-            *[_winner(f, f"e.s.s_{f}") for f in _STATES],
-            F.collect_set("e.word").alias("words"),
-            F.collect_set("e.isbns").alias("isbn_sets"),
-        )
-    )
     # A short ISBN belongs to the full one with the same stem: a valid check digit first, then
     # the smallest.
     full = F.length("isbn").isin(10, 13)
-    same_stem = Window.partitionBy("stem")
-    best_full = F.min(F.when(full, F.struct(isbn_rank(F.col("isbn")).alias("rank"), "isbn"))).over(
-        same_stem)
+    best_full = F.min(F.when(full, F.struct("rank", "isbn"))).over(Window.partitionBy("stem"))
     merged = (
-        by_isbn.withColumn("_full", best_full)
+        states.withColumn("rank", isbn_rank(F.col("isbn")))
+        .withColumn("s_isbn", F.struct("rank", "s_isbn.seq", "s_isbn.value"))
+        .withColumn("_full", best_full)
         .withColumn("canonical", F.when(full | F.col("_full").isNull(), F.col("isbn"))
                     .otherwise(F.col("_full.isbn")))
         .groupBy("stem", "canonical")
         .agg(
-            *[_winner(f, f"s_{f}") for f in _STATES],
+            *[_winner(f, F.col(f"s_{f}")) for f in _STATES],
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("keywords"),
-            F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("isbn_sets")))))
-            .alias("isbns"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("isbns")))).alias("isbns"),
         )
     )
 
@@ -144,7 +133,7 @@ def merge_books(obs: DataFrame) -> DataFrame:
     earlier on a tie. isbn: a well-formed one is preferred. keywords: union. best_offer: the
     latest. A short ISBN (check digit lost) joins its full form whatever comes first.
     """
-    return merge_states(_states_of_observations(obs))
+    return merge_states(fold_observations(obs))
 
 
 def upsert_catalog(books: DataFrame, obs: DataFrame) -> DataFrame:
@@ -154,8 +143,9 @@ def upsert_catalog(books: DataFrame, obs: DataFrame) -> DataFrame:
     pass unchanged. Catalyst picks the semi and anti join strategy from the sizes. ``obs`` is read
     more than once, so give a written table, not the extraction itself.
     """
-    fresh = _states_of_observations(obs)
-    stems = fresh.select("stem").distinct()
+    fresh = fold_observations(obs)
+    stems = obs.filter(F.col("isbn").isNotNull()).select(
+        isbn_stem(F.col("isbn")).alias("stem")).distinct()
     stored = books.withColumn("stem", isbn_stem(F.col("isbn")))
     touched = stored.join(stems, "stem", "left_semi").drop("stem")
     untouched = stored.join(stems, "stem", "left_anti").drop("stem")

@@ -295,15 +295,15 @@ def fetch_fold(spark: SparkSession, sf: str) -> DataFrame:
 # --- the catalog -----------------------------------------------------------------------------------
 
 def line_observations(spark: SparkSession, sf: str, condition: str = "true") -> DataFrame:
-    return observe(table(spark, sf, "lineitem").filter(condition))
+    return observe(spread(table(spark, sf, "lineitem")).filter(condition))
 
 
 def observe(lineitem: DataFrame) -> DataFrame:
     """Book observations: a line is a scrape of its part at its supplier's shop on the ship date."""
     k, shop = F.col("l_partkey"), F.col("l_suppkey")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    lines = lineitem.select("*", cents.alias("cents"))
-    isbn = R.isbn13_of(k)
+    lines = lineitem.select("*", cents.alias("cents"), R.isbn13_of(k).alias("isbn13"))
+    isbn = F.col("isbn13")
     observed = lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page_id"),
         F.concat(F.lit("https://www.s"), shop, F.lit(".example.ro/"), "l_orderkey", F.lit("/"),
