@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # The JVM does not compile methods over 8000 bytes; wide projections run faster split up than
+    # as one generated stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
