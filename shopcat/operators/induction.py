@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopcat.functions.text import let
 
 
-def with_lineage(pages: DataFrame, node: str = "node") -> DataFrame:
-    """Explode ``nodes`` into rows with ``lineage``: the node and its ancestors, nearest first."""
+def label_nodes(pages: DataFrame, rules: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per node that a rule names: the page's columns, ``field``, ``node``, ``lineage``.
+
+    ``rules`` maps a field to a condition on a node; a node may carry several fields. ``lineage``
+    is the node and its ancestors, nearest first. Only labelled nodes leave the page's array.
+    """
     nodes = F.col("nodes")
-    slim = F.transform(nodes, lambda n: F.struct(
-        *[n[c].alias(c) for c in ("pos", "last", "tag", "id", "class")]))
 
     def lineage(n: Column) -> Column:
-        above = F.filter(F.col("_slim"), lambda a: (a["pos"] <= n["pos"]) & (n["pos"] <= a["last"]))
+        above = F.filter(nodes, lambda a: (a["pos"] <= n["pos"]) & (n["pos"] <= a["last"]))
         return F.reverse(F.transform(
             above, lambda a: F.struct(*[a[c].alias(c) for c in ("tag", "id", "class")])))
 
-    rows = pages.withColumn("_slim", slim).withColumn(node, F.explode(nodes))
-    return rows.withColumn("lineage", lineage(F.col(node))).drop("_slim", "nodes")
+    def labelled(field: str, rule: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(nodes, rule), lambda n: F.struct(
+            F.lit(field).alias("field"), n.alias("node"), lineage(n).alias("lineage")))
+
+    hits = F.concat(*[labelled(field, rule) for field, rule in rules.items()])
+    kept = [c for c in pages.columns if c not in ("nodes", "page_text", "parse_error")]
+    return pages.select(*kept, F.explode(hits).alias("h")).select(*kept, "h.*")
 
 
 def selector_of(lineage: Column) -> Column:

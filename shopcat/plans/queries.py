@@ -16,7 +16,7 @@ from shopcat.operators import catalog as C
 from shopcat.operators import jobs as J
 from shopcat.operators import pages as P
 from shopcat.operators.extract import heuristic_books, scrape, wrapper_books
-from shopcat.operators.induction import induce_selectors, with_lineage
+from shopcat.operators.induction import induce_selectors, label_nodes
 from shopcat.session import work_folder
 from shopcat.sources import rendered as R
 from shopcat.sources.html import with_nodes
@@ -160,7 +160,7 @@ def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def price_vectors(spark: SparkSession, sf: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    lines = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", (cents % 100).alias("cents"),
         F.floor(cents / 100).cast("bigint").alias("whole"))
     whole, two = F.col("whole"), F.lpad(F.col("cents").cast("string"), 2, "0")
@@ -219,16 +219,14 @@ def strategies(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def selector_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Selectors for labelled nodes of the shop pages, per site and field."""
-    nodes = with_lineage(with_nodes(shop_pages(spark, sf)).select(
-        "page_id", site_of(F.col("url")).alias("domain"), "nodes"))
-    n = F.col("node")
-    field = (
-        F.when(n["class"] == "amount", "pricepoint")
-        .when((n["tag"] == "li") & n["own_text"].rlike("^(Editura|ISBN|Format|Autor):"), "attributes")
-        .when(n["tag"] == "h1", "title")
-    )
-    labelled = nodes.withColumn("field", field).filter(F.col("field").isNotNull())
-    return induce_selectors(labelled)
+    pages = with_nodes(shop_pages(spark, sf)).select(
+        "page_id", site_of(F.col("url")).alias("domain"), "nodes")
+    return induce_selectors(label_nodes(pages, {
+        "pricepoint": lambda n: n["class"] == "amount",
+        "attributes": lambda n: (n["tag"] == "li")
+        & n["own_text"].rlike("^(Editura|ISBN|Format|Autor):"),
+        "title": lambda n: n["tag"] == "h1",
+    }))
 
 
 # --- page types and the frontier -----------------------------------------------------------------

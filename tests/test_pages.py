@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shopcat.functions.nodes import document_title, main_text, node_text
 from shopcat.functions.selectors import is_supported, selected, selector_steps
 from shopcat.operators.extract import heuristic_books, scrape, with_wrapper_fields
-from shopcat.operators.induction import induce_selectors, with_lineage
+from shopcat.operators.induction import induce_selectors, label_nodes
 from shopcat.schemas import RAW_PAGES, WRAPPERS
 from shopcat.sources.html import with_nodes
 
@@ -194,12 +194,13 @@ def test_induction(spark):
     html = """<div id="top"><div class="a  b"><span>1</span></div><p><u>2</u></p></div>
       <table><tr><td class="k">3</td><td class="k">4</td><td class="z">5</td></tr></table>
       <ul id="list"><li>6</li><li>7</li></ul><ol class="plain"><li>8</li><li>9</li></ol>"""
-    nodes = with_lineage(with_nodes(pages(spark, html)).select("page_id", "nodes"))
-    n = F.col("node.own_text")
-    field = (F.when(F.col("node.class") == "a  b", "class").when(n == "1", "inside").when(n == "2", "deep")
-             .when(F.col("node.id") == "top", "id").when(n.isin("3", "4", "5"), "modal")
-             .when(n.isin("6", "7"), "tags").when(n.isin("8", "9"), "parent"))
-    got = induce_selectors(nodes.withColumn("field", field).filter("field is not null"), "field")
+    def own(*texts):
+        return lambda n: n["own_text"].isin(*texts)
+
+    got = induce_selectors(label_nodes(with_nodes(pages(spark, html)), {
+        "class": lambda n: n["class"] == "a  b", "inside": own("1"), "deep": own("2"),
+        "id": lambda n: n["id"] == "top", "modal": own("3", "4", "5"), "tags": own("6", "7"),
+        "parent": own("8", "9")}), "field")
     assert {r["field"]: r["selector"] for r in got.collect()} == {
         "class": ".a.b", "inside": ".a.b>span", "deep": "#top>p>u", "id": "#top", "modal": ".k",
         "tags": "#list>li", "parent": ".plain"}
