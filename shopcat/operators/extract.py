@@ -19,6 +19,8 @@ from shopcat.functions.text import absolute_url, keywords, let, site_of
 from shopcat.operators.joins import lookup_join
 from shopcat.sources.html import with_nodes
 
+# A compiled step names its members; its text is at most this many times the selector's.
+_STEP_GROWTH = 128
 BOOK_FIELDS = ("title", "authors", "isbn", "description", "publisher", "format", "image_url")
 
 
@@ -56,7 +58,8 @@ def wrappers_by_domain(wrappers: DataFrame) -> DataFrame:
 def choose_strategy(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """Attach each site's selectors (null without any) and name the strategy of the page."""
     with_site = pages if "site" in pages.columns else pages.withColumn("site", site_of(F.col("url")))
-    joined = lookup_join(with_site, wrappers_by_domain(wrappers), "site", spread_by="url")
+    joined = lookup_join(with_site, wrappers_by_domain(wrappers), "site", spread_by="url",
+                         source=wrappers, growth=_STEP_GROWTH)
     return joined.withColumn(
         "strategy", F.when(F.col("selectors").isNotNull(), "selectors").otherwise("heuristic"))
 

@@ -204,3 +204,15 @@ def test_induction(spark):
     assert {r["field"]: r["selector"] for r in got.collect()} == {
         "class": ".a.b", "inside": ".a.b>span", "deep": "#top>p>u", "id": "#top", "modal": ".k",
         "tags": "#list>li", "parent": ".plain"}
+
+
+def test_compiled_selectors_stay_within_the_measured_bound(spark):
+    from shopcat.operators.extract import _STEP_GROWTH, wrappers_by_domain
+    from shopcat.operators.joins import measured_bytes
+
+    rows = [("d", "f", q, None) for q in ("a", "*", "a,b", "a b", "a>b,.c#d", "[a][b=c]")]
+    for row in rows:
+        raw = spark.createDataFrame([row], WRAPPERS)
+        assert measured_bytes(wrappers_by_domain(raw)) <= _STEP_GROWTH * measured_bytes(raw)
+    worst = spark.createDataFrame([("d", "f", " ".join("a" * 400), None)], WRAPPERS)
+    assert measured_bytes(wrappers_by_domain(worst)) <= _STEP_GROWTH * measured_bytes(worst)
