@@ -107,16 +107,18 @@ def job_timings(timings: DataFrame) -> DataFrame:
 
 
 def batch_stats(
-    requested: DataFrame, n: int = BATCH_SIZE, slot: str = "1 minute",
+    requested: DataFrame, n: int = BATCH_SIZE, slot_seconds: int = 60,
 ) -> DataFrame:
     """Running counters of a job after every ``n`` requested pages.
 
     ``requested(job_id, requested_at, page_id, attempts, reached, type)``, one row per page. A
     page's number within its job is its number within a time slot plus the pages of the earlier
     slots. The slot counts are a small histogram, so no task sorts a whole job; both inputs of the
-    join share the partitioning by (job, slot). Choose ``slot`` so that one fits a task.
+    join share the partitioning by (job, slot). Choose the slot so that one fits a task. Pages
+    without a time come first.
     """
-    rows = requested.withColumn("_slot", F.window("requested_at", slot)["start"])
+    rows = requested.withColumn("_slot", F.coalesce(
+        F.floor(F.unix_seconds("requested_at") / slot_seconds), F.lit(-(2**62))))
     slots = rows.groupBy("job_id", "_slot").agg(F.count("*").alias("_pages"))
     earlier = Window.partitionBy("job_id").orderBy("_slot").rowsBetween(
         Window.unboundedPreceding, -1)

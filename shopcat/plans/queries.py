@@ -346,9 +346,10 @@ def merged_books(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def catalog_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The same catalog in two steps: lines of status F are stored first, the others arrive."""
-    stored = C.merge_books(line_observations(spark, sf, "l_linestatus = 'F'"))
+    path = work_folder(spark, "upsert")
+    write_books(C.merge_books(line_observations(spark, sf, "l_linestatus = 'F'")), path, 0)
     fresh = line_observations(spark, sf, "l_linestatus <> 'F'")
-    return _book_columns(C.upsert_catalog(stored, fresh))
+    return _book_columns(C.upsert_catalog(read_batches(spark, path).drop("batch"), fresh))
 
 
 @query
@@ -518,7 +519,7 @@ def job_batches(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("job_id"), utc("ts").alias("requested_at"),
         F.col("event_id").alias("page_id"), (F.col("event_id") % 2 + 1).alias("attempts"),
         F.col("ok").alias("reached"), "type")
-    return J.batch_stats(rows, BATCH, "1 hour")
+    return J.batch_stats(rows, BATCH, 3600)
 
 
 # --- streams -----------------------------------------------------------------------------------------

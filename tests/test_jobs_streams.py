@@ -92,14 +92,14 @@ def test_statistics(spark):
 def test_batches_equal_plain_numbering(spark):
     r = random.Random(1)
     # one job owns most pages, many at the same second
-    rows = [("hot" if r.random() < .7 else "j", T0 + timedelta(seconds=r.randint(0, 300)), i, 1 + i % 2, i % 3 > 0,
+    rows = [("hot" if r.random() < .7 else "j", None if i < 20 else T0 + timedelta(seconds=r.randint(0, 300)), i, 1 + i % 2, i % 3 > 0,
              "PRODUCT" if i % 4 == 0 else "JUNK") for i in range(400)]
     df = spark.createDataFrame(rows, "job_id string, requested_at timestamp, page_id bigint, attempts int, reached boolean, type string")
     got = {(x["job_id"], x["batch"]): (x["pages"], x["requests_so_far"], x["reached_so_far"], x["pairs_so_far"])
-           for x in J.batch_stats(df, 50, "10 seconds").collect()}
+           for x in J.batch_stats(df, 50, 10).collect()}
     want = {}
     for job in ("hot", "j"):
-        mine = sorted((x for x in rows if x[0] == job), key=lambda x: (x[1], x[2]))
+        mine = sorted((x for x in rows if x[0] == job), key=lambda x: (x[1] or datetime.min, x[2]))
         for b in range(0, (len(mine) + 49) // 50):
             seen = mine[: (b + 1) * 50]
             want[job, b] = (len(mine[b * 50:(b + 1) * 50]), sum(x[3] for x in seen), sum(x[4] for x in seen),
