@@ -30,6 +30,12 @@ def close_jobs(jobs: DataFrame, closing: DataFrame) -> DataFrame:
     }).drop("_end")
 
 
+def job_durations(jobs: DataFrame) -> DataFrame:
+    """Total duration of every job in milliseconds, null while it runs."""
+    return jobs.select(
+        "job_id", "domain", (F.unix_millis("end") - F.unix_millis("start")).alias("total_ms"))
+
+
 def triage_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Answer scrape requests ``(request_id, body, requested_at)``: ``status, site, job_id``.
 

@@ -337,6 +337,8 @@ ORACLE: dict[str, str] = {
         SELECT job_id, CASE WHEN us IS NOT NULL THEN 'FINISHED' ELSE status END AS status,
           coalesce(us, end_us, -1) AS end_us
         FROM jobs LEFT JOIN c USING (job_id)""",
+    "job_durations": _JOBS + """
+        SELECT job_id, domain, coalesce((end_us - start_us) // 1000, -1) AS total_ms FROM jobs""",
     "job_triage": _JOBS + """,
         active AS (SELECT domain AS site, min(job_id) AS active_job FROM jobs
                    WHERE type = 'SCRAPE' AND status = 'ACTIVE' GROUP BY domain),

@@ -467,6 +467,12 @@ def jobs_closed(spark: SparkSession, sf: str) -> DataFrame:
         "job_id", "status", F.coalesce(F.unix_micros("end"), F.lit(-1)).alias("end_us"))
 
 
+@query
+def job_durations(spark: SparkSession, sf: str) -> DataFrame:
+    return J.job_durations(_jobs(spark, sf)).select(
+        "job_id", "domain", F.coalesce("total_ms", F.lit(-1)).alias("total_ms"))
+
+
 @query
 def job_triage(spark: SparkSession, sf: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")

@@ -59,6 +59,7 @@ def jobs(spark):
 
 def test_jobs(spark):
     assert [r["job_id"] for r in J.active_jobs(jobs(spark)).collect()] == ["j1"]
+    assert [r["total_ms"] for r in J.job_durations(jobs(spark)).orderBy("job_id").collect()] == [None, 0, None]
     assert J.job_by_id(jobs(spark), "j2").first()["domain"] == "b.ro"
     closing = spark.createDataFrame([("j1", T0), ("j1", T0 + timedelta(days=1))], "job_id string, closed_at timestamp")
     closed = {r["job_id"]: (r["status"], r["end"]) for r in J.close_jobs(jobs(spark), closing).collect()}
@@ -116,7 +117,7 @@ def write_pages(spark, folder, slices):
 
 def test_stream_catalog_equals_batch(spark):
     root = work_folder(spark, "test-stream")
-    pages = write_pages(spark, f"{root}/pages", 3)
+    pages = write_pages(spark, f"{root}/pages", 2)
     wrappers = R.wrappers(spark.read.parquet(PART))
     for _ in range(2):  # a second run finds nothing new
         S.run_catalog_stream(stream_pages(spark, f"{root}/pages", max_files=1), f"{root}/cat", "job", wrappers).awaitTermination()
