@@ -121,7 +121,8 @@ def test_stream_catalog_equals_batch(spark):
     wrappers = R.wrappers(spark.read.parquet(PART))
     for _ in range(2):  # a second run finds nothing new
         S.run_catalog_stream(stream_pages(spark, f"{root}/pages", max_files=1), f"{root}/cat", "job", wrappers).awaitTermination()
-    found = observations(P.classify(scrape(pages, wrappers)))
+    observations(P.classify(scrape(pages, wrappers))).write.parquet(f"{root}/found")
+    found = spark.read.parquet(f"{root}/found")
     columns = ["isbn", "title", "authors", "publisher", "format", "keywords", "best_offer", "isbns", "book_id"]
 
     def rows(df):
