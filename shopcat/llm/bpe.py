@@ -5,24 +5,21 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from tokenizers import Tokenizer
 
-from shopcat.llm.common import and_column, written
+from shopcat.llm.common import and_column
 
-FREQUENT = 1 << 20  # most frequent words that every task gets; rarer ones come by a join
-LONGEST = 64  # bytes of a word in that table, which bounds its size
-CHUNK = 4 << 20  # characters of text that share one list of rare words
+CHUNK = 8 << 20  # characters of text that share one list of distinct words
+BUCKETS = (256, 8192)  # least and most parts of the distinct-word table, by a hash of the word
 
 # The pattern of words and the special tokens of word_bpe_49k.json.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -60,93 +57,10 @@ class Splitter:
         return [" ".join(map(str, e.ids)) for e in found]
 
 
-class Frequent:
-    """Words and their ids in sorted arrays, far smaller than a dictionary."""
-
-    def __init__(self, words: list[str], ids: list[str]):
-        rows = sorted(zip((self._hash(w) for w in words), words, ids))
-        self.hashes = np.array([r[0] for r in rows], np.uint64)
-        body = [f"{w} {i}".encode() for _, w, i in rows]
-        self.ends = np.cumsum([0, *map(len, body)])
-        self.body = b"".join(body)
-
-    @staticmethod
-    def _hash(word: str) -> int:
-        return xxhash.xxh3_64_intdigest(word.encode())
-
-    def get(self, word: str) -> str | None:
-        h = self._hash(word)
-        at = bisect_left(self.hashes, h)
-        while at < len(self.hashes) and self.hashes[at] == h:
-            found, ids = self.body[self.ends[at]: self.ends[at + 1]].decode().split(" ", 1)
-            if found == word:
-                return ids
-            at += 1
-        return None
-
-
 def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def distinct_words(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): every word of all texts once, with its number and its ids as text.
-
-    Tasks count their words before the shuffle; a task's table is written out and begun anew when it
-    gets large. ``docs`` has ``text``.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, units, words = Splitter(path), Counter(), Counter()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-            words.clear()
-            return out
-
-        def fold():
-            for unit, n in units.items():
-                for word in split.words(unit):
-                    words[word] += n
-            units.clear()
-
-        for batch in batches:
-            for text in _texts(batch.column(0)):
-                units.update(split.units(text))
-            if len(units) > 200_000:
-                fold()
-            if len(words) > 500_000:
-                yield rows()
-        fold()
-        yield rows()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(path)
-        for batch in batches:
-            ids = split.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.string())], ["word", "n", "ids"])
-
-    counted = docs.select("text").mapInArrow(count, "word string, n long")
-    total = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return written(total.mapInArrow(encode, "word string, n long, ids string"), "words")
-
-
-def frequent_words(words: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """``words`` in two: at most ``most`` of the frequent, none over ``LONGEST`` bytes; all others."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    sizes = words.groupBy(level.alias("level")).agg(F.count("*").alias("words"))  # at most 512 rows
-    total, least = 0, None
-    for row in sorted(sizes.collect(), key=lambda r: -r["level"]):
-        total += row["words"]
-        if total > most:
-            break
-        least = row["level"]
-    often = (level >= least) & (F.octet_length("word") <= LONGEST) if least is not None else F.lit(False)
-    return words.where(often), words.where(~often)
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """Rows in chunks of about ``CHUNK`` characters; a longer text is a chunk of its own."""
     for batch in batches:
@@ -168,88 +82,108 @@ def _chunk_key(ids: pa.Array, texts: list[str]) -> bytes:
     return digest.digest()
 
 
-def _rare(units: Counter | dict, split: Splitter, often: Frequent) -> tuple[dict[str, str | list], list[str]]:
-    """Ids of each unit as text, or the list of its words' ids with rare words as positions in the
-    second result: the chunk's rare words in order of first use."""
-    known, rare, at = {}, [], {}
+def _vocabulary(texts: list[str], split: Splitter, buckets: int) -> tuple[dict[str, list[str]], dict[int, list[str]]]:
+    """(words of each distinct unit, sorted distinct words by bucket) of a chunk."""
+    units = {}
+    for text in texts:
+        units.update(dict.fromkeys(split.units(text)))
     for unit in units:
-        ids = []
-        for word in split.words(unit):
-            found = often.get(word)
-            if found is None:
-                found = at.setdefault(word, len(at))
-                if found == len(rare):
-                    rare.append(word)
-            ids.append(found)
-        known[unit] = ids if any(isinstance(i, int) for i in ids) else " ".join(ids)
-    return known, rare
-
-
-def encode(
-    docs: DataFrame, path: str, finish: Callable, schema: str, id_col: str = "doc_id",
-    text_col: str = "text", most: int = FREQUENT,
-) -> DataFrame:
+        units[unit] = split.words(unit)
+    found: dict[int, list[str]] = {}
+    for word in {w for words in units.values() for w in words}:
+        found.setdefault(xxhash.xxh3_64_intdigest(word.encode()) % buckets, []).append(word)
+    for words in found.values():
+        words.sort()
+    return units, found
+
+
+def _zip(text: str) -> bytes:
+    return zstandard.compress(text.encode(), 3)
+
+
+def _unzip(data: bytes) -> list[str]:
+    return zstandard.decompress(data).decode().split("\n")
+
+
+def encode_words(uses: DataFrame, path: str) -> DataFrame:
+    """(chunk, bucket, ids): ids of the words of each chunk, from the table of distinct words.
+
+    ``uses`` has (bucket, chunk, words): the sorted distinct words of a chunk that hash to the bucket. All
+    uses of a word meet in its bucket, where it is encoded once. A task holds the distinct words of one
+    bucket at a time.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, bucket, table = Splitter(path), None, {}
+        for batch in batches:
+            out = []
+            for at, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if at != bucket:
+                    bucket, table = at, {}
+                words = _unzip(words)
+                new = [w for w in words if w not in table]
+                table.update(zip(new, split.encode(new)))
+                out.append(_zip("\n".join(map(table.__getitem__, words))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk"), batch.column("bucket"), pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
+
+    return uses.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        encode, "chunk binary, bucket int, ids binary")
+
+
+def encode(docs: DataFrame, path: str, finish: Callable, schema: str, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
     """Encode every whole text, as the tokenizers library does without special tokens.
 
-    Every distinct word is encoded once. The most frequent words, at most ``most`` and ``LONGEST``
-    bytes each, go to all tasks; each rare word is joined by word to the chunks of text that use it,
-    and its ids return to their positions by chunk. ``finish(id, ids)`` gets arrays of row ids and
-    id texts (decimal ids between single spaces) and returns the arrays of ``schema``.
+    Texts are split into words in chunks. The distinct words of a chunk go to the distinct-word table, which
+    is spread by a hash of the word and in which each is encoded once. Their ids come back to the chunk, by a
+    join, and take the positions of the words. Only lists of distinct words, of their ids and the
+    packed texts are shuffled, no row per word. ``finish(id, ids)`` gets arrays of row ids and id texts
+    (decimal ids between single spaces) and returns the arrays of ``schema``.
 
     Null texts are empty and give no ids. Repeated rows are rows of their own.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]
-    words = distinct_words(rows, path)
-    often, seldom = frequent_words(words, most)
-    table = often.select("word", "ids").toArrow()
-    shared = spark.sparkContext.broadcast(
-        Frequent(table.column("word").to_pylist(), table.column("ids").to_pylist()))
+    buckets = min(BUCKETS[1], max(BUCKETS[0], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-    def list_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(path)
         for ids, texts in _chunks(batches):
-            units = dict.fromkeys(u for t in texts for u in split.units(t))
-            rare = _rare(units, split, shared.value)[1]
+            found, key = _vocabulary(texts, split, buckets)[1], _chunk_key(ids, texts)
             yield pa.RecordBatch.from_arrays([
-                pa.array([_chunk_key(ids, texts)] * len(rare), pa.binary()),
-                pa.array(range(len(rare)), pa.int32()), pa.array(rare, pa.string())], ["chunk", "at", "word"])
+                pa.array(list(found), pa.int32()), pa.array([key] * len(found), pa.binary()),
+                pa.array([_zip("\n".join(words)) for words in found.values()], pa.binary())], ["bucket", "chunk", "words"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for ids, texts in _chunks(batches):
             sink = pa.BufferOutputStream()
             body = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], ["id", "text"])
-            with pa.ipc.new_stream(sink, body.schema, options=options) as writer:
+            with pa.ipc.new_stream(sink, body.schema) as writer:
                 writer.write_batch(body)
             yield pa.RecordBatch.from_arrays([
                 pa.array([_chunk_key(ids, texts)], pa.binary()),
-                pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
+                pa.array([zstandard.compress(sink.getvalue(), 6)], pa.binary())], ["chunk", "body"])
 
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, names = Splitter(path), None
+        split, names = Splitter(path), [f.split()[0] for f in schema.split(",")]
         for batch in batches:
             for k in range(batch.num_rows):
-                body = pa.ipc.open_stream(batch.column("body")[k].as_buffer()).read_all()
+                body = pa.ipc.open_stream(zstandard.decompress(batch.column("body")[k].as_buffer())).read_all()
                 ids, texts = body.column("id").combine_chunks(), _texts(body.column("text"))
-                by_text = [split.units(t) for t in texts]
-                known, rare = _rare(dict.fromkeys(u for us in by_text for u in us), split, shared.value)
-                found = batch.column("rare")[k].as_py() or []
-                joined = {r["at"]: r["ids"] for r in found}
-                for unit, value in known.items():
-                    if isinstance(value, list):
-                        known[unit] = " ".join(joined[i] if isinstance(i, int) else i for i in value)
-                done = [" ".join(filter(None, map(known.__getitem__, us))) for us in by_text]
-                arrays = finish(ids, done)
-                names = names or [f.split()[0] for f in schema.split(",")]
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    uses = rows.mapInArrow(list_rare, "chunk binary, at int, word string")
-    back = uses.join(seldom.select("word", "ids"), "word").groupBy("chunk", "at").agg(
-        F.first("ids").alias("ids")).groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+                units, found = _vocabulary(texts, split, buckets)
+                table = {}
+                for part in batch.column("parts")[k].as_py() or []:
+                    table.update(zip(found[part["bucket"]], _unzip(part["ids"])))
+                known = {unit: " ".join(map(table.__getitem__, words)) for unit, words in units.items()}
+                done = [" ".join(map(known.__getitem__, split.units(t))) for t in texts]
+                yield pa.RecordBatch.from_arrays(finish(ids, done), names)
+
+    uses = rows.mapInArrow(use, "bucket int, chunk binary, words binary")
+    back = encode_words(uses, path).groupBy("chunk", "bucket").agg(F.first("ids").alias("ids")).groupBy("chunk").agg(
+        F.collect_list(F.struct("bucket", "ids")).alias("parts"))
     packed = rows.mapInArrow(pack, "chunk binary, body binary")
-    return packed.join(back, "chunk", "left").select("chunk", "body", "rare").mapInArrow(
+    return packed.join(back, "chunk", "left").select("chunk", "body", "parts").mapInArrow(
         join_back, schema.replace("ID_TYPE", id_type))
 
 
@@ -279,18 +213,16 @@ def decode(ids: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return kept.mapInArrow(run, and_column(kept, "decoded", StringType()))
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-            most: int = FREQUENT) -> DataFrame:
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the ids of every text; see :func:`encode`."""
 
     def finish(ids: pa.Array, done: list[str]) -> list[pa.Array]:
         return [ids, pa.array([list(map(int, d.split())) for d in done], pa.list_(pa.int32()))]
 
-    return encode(docs, path, finish, "id ID_TYPE, ids array<int>", id_col, text_col, most)
+    return encode(docs, path, finish, "id ID_TYPE, ids array<int>", id_col, text_col)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-            most: int = FREQUENT) -> DataFrame:
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of ids and of the decoded text.
 
     The text is decoded from the ids through the id-to-piece table where the ids are put together, so
@@ -311,4 +243,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     return encode(
         docs, path, finish, "doc_id ID_TYPE, n_tokens long, ids_sha256 string, decoded_sha256 string",
-        id_col, text_col, most)
+        id_col, text_col)

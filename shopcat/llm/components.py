@@ -9,10 +9,10 @@ from shopcat.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): each linked node with the smallest node it reaches.
+    """(node, component): each node that reaches a smaller one, with the smallest it reaches.
 
     ``links`` has the columns a and b (long), in any order and with repeats. Links from a node to
-    itself and links with a null end are ignored; nodes without links have no row. Each round moves
+    itself and links with a null end are ignored. Each round moves
     every node to the smallest neighbour of its neighbour, so the number of rounds grows with the
     logarithm of the longest path. A round is a map-side reduced minimum and a join on node, both
     hash shuffles whose hot keys AQE can split; every round is a written table, so a lost executor

@@ -191,9 +191,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOS
     """
     key = F.struct("doc_id", F.xxhash64("text", "source"))
     sizes = written(docs.select(key.alias("id"), "source", size_of(F.col("text")).alias("size")), "sizes")
-    dealt = written(balanced(sizes, weights, most).groupBy("id").agg(
+    dealt = written(balanced(sizes, weights, most).groupBy(F.col("id").alias("_key")).agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "copies")
-    met = docs.withColumn("_key", key).join(dealt.where("_copies > 0"), F.col("_key") == F.col("id")).drop("id")
+    met = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row")).join(dealt.where("_copies > 0"), "_key")
     if not dealt.where("_rows > 1").isEmpty():
         met = met.dropDuplicates(["_key"])
-    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return met.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

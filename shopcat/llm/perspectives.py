@@ -43,7 +43,7 @@ def perspectives(
     )
     # A repeated row is one row with a number, so that a very frequent row is small until rendered.
     counted = named.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("times")).select(
-        "*", F.struct("conv_id").alias("key"), F.floor(F.col("turn") / turns_per_part).alias("block"),
+        "*", F.struct("conv_id").alias("key"), (F.col("turn") - F.pmod("turn", F.lit(turns_per_part))).alias("block"),
         F.shiftrightunsigned(F.xxhash64("speaker", "text"), 1).alias("hash"))
     # At most one row for each ``rows_per_part`` turns.
     crowded = counted.groupBy("key", "block").agg(F.sum("times").alias("n")).where(
@@ -58,7 +58,7 @@ def perspectives(
         .withColumn("run", F.explode(F.when(often, runs).otherwise(F.array(F.lit(0).cast("long")))))
         .withColumn("times", F.when(often, F.least(
             F.lit(rows_per_part), F.col("times") - F.col("run") * rows_per_part)).otherwise(F.col("times")))
-        .withColumn("part", F.when(F.col("split").isNull(), F.array(F.col("block") * turns_per_part)).otherwise(
+        .withColumn("part", F.when(F.col("split").isNull(), F.array("block")).otherwise(
             F.array(F.col("turn"), F.when(often, 1).otherwise(0).cast("long"),
                     F.when(often, F.col("hash")).otherwise(
                         F.floor(F.col("hash") / F.pow(F.lit(2.0), F.lit(63)) * slices)), F.col("run"))))

@@ -14,6 +14,7 @@ from shopcat.llm.common import stars, written
 from shopcat.llm.components import components
 
 BITS, SEGMENTS, WIDTH, DISTANCE = 64, 8, 8, 3
+FEW = 9  # bits that no key has used yet, at which a bucket has 2 ** 9 fingerprints at most
 BUCKET = 512  # fingerprints compared under one key; larger buckets are split by further bits
 FULL = (1 << BITS) - 1
 
@@ -158,7 +159,8 @@ def links(prints: DataFrame) -> DataFrame:
     while True:
         sizes = entries.groupBy("start", "mask", "bits").agg(F.count("*").alias("size"))
         large = written(sizes.where(F.col("size") > BUCKET).drop("size"), "large")
-        done = large.isEmpty()
+        # With few bits left, a bucket can't hold many different fingerprints.
+        done = min((FULL & ~m).bit_count() for _, m in masks) <= FEW or large.isEmpty()
         key = ["start", "mask", "bits"]
         small = entries if done else entries.join(large, key, "left_anti")
         pairs = small.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare, "a long, b long")
@@ -167,12 +169,13 @@ def links(prints: DataFrame) -> DataFrame:
             return found
         finer = {(s, m): refined(m) for s, m in masks}
         masks = [(s, c) for (s, _), more in finer.items() for c in more]
-        choices = F.create_map(*[x for (s, m), more in finer.items() for x in (
-            F.struct(F.lit(s), F.lit(_signed(m))), F.array(*[F.lit(_signed(c)) for c in more]))])
+        choices = entries.sparkSession.createDataFrame(  # a few rows for each mask
+            [(s, _signed(m), _signed(c)) for (s, m), more in finer.items() for c in more], "start int, mask long, finer long")
         entries = written(
-            entries.join(large, key, "left_semi")
-            .withColumn("mask", F.explode(choices[F.struct("start", "mask")]))
-            .withColumn("bits", F.col("fingerprint").bitwiseAND(F.col("mask"))), "finer")
+            entries.join(large, key, "left_semi").join(F.broadcast(choices), ["start", "mask"])
+            .select("start", F.col("finer").alias("mask"), "fingerprint")
+            .withColumn("bits", F.col("fingerprint").bitwiseAND(F.col("mask")))
+            .select("start", "mask", "bits", "fingerprint"), "finer")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
