@@ -73,14 +73,27 @@ def main_content(nodes: Column) -> Column:
     )
 
 
-def main_text(nodes: Column) -> Column:
-    """Own texts of the main-content nodes under ``body``, in document order."""
+def main_text(nodes: Column, page_text: Column) -> Column:
+    """Text of the body without navigation, header, footer, aside and form subtrees, in page order.
+
+    The ranges of these subtrees are cut out of the page text; what is left is joined by spaces.
+    """
     def texts(body: Column) -> Column:
-        inside = F.filter(
-            main_content(nodes),
-            lambda n: (n["own_text"] != "") & (n["tag"] != "title")
-            & (body.isNull() | ((n["pos"] >= body["pos"]) & (n["pos"] <= body["last"]))),
-        )
-        return F.array_join(F.transform(inside, lambda n: n["own_text"]), " ")
-
-    return let(first(nodes, lambda n: n["tag"] == "body"), texts)
+        begin = F.coalesce(body["text_start"], F.lit(0))
+        end = F.coalesce(body["text_end"], F.length(page_text))
+        cuts = F.filter(nodes, lambda n: n["tag"].isin(*BOILERPLATE_TAGS, "title")
+                        & (n["text_end"] > begin) & (n["text_start"] < end))
+
+        def keep(state: Column, start: Column, stop: Column) -> Column:
+            piece = F.trim(F.substr(page_text, state["at"] + 1, start - state["at"]))
+            return F.struct(
+                F.greatest(state["at"], stop).alias("at"),
+                F.when((start > state["at"]) & (piece != ""), F.concat(state["pieces"], F.array(piece)))
+                .otherwise(state["pieces"]).alias("pieces"))
+
+        first_state = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("pieces"))
+        return F.aggregate(
+            cuts, first_state, lambda s, n: keep(s, n["text_start"], n["text_end"]),
+            lambda s: F.array_join(keep(s, end, end)["pieces"], " "))
+
+    return F.when(nodes.isNotNull(), let(first(nodes, lambda n: n["tag"] == "body"), texts))

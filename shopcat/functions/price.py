@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from shopcat.functions.text import literal_map
 from shopcat.functions.words import AVAILABILITY, CURRENCIES
 
-PARSED = "decimal(20,6)"
+PARSED = "decimal(38,6)"
 STORED = "decimal(18,2)"
 
+# Fixed values: (decimal, grouping) separators by language; any other has those of the default.
+SEPARATORS = {"en": (".", ","), "zh": (".", ","), "ja": (".", ","), "ko": (".", ","), "he": (".", ","),
+              "fr": (",", "\u202f"), "ru": (",", "\u00a0"), "uk": (",", "\u00a0"), "pl": (",", "\u00a0"),
+              "cs": (",", "\u00a0"), "sk": (",", "\u00a0"), "hu": (",", "\u00a0"), "bg": (",", "\u00a0"),
+              "sv": (",", "\u00a0"), "nb": (",", "\u00a0"), "fi": (",", "\u00a0")}
+
+
+def separators(locale: str) -> tuple[str, str]:
+    """Decimal and grouping separator of a language tag such as ``ro-RO``."""
+    return SEPARATORS.get(locale.replace("_", "-").split("-")[0].lower(), (",", "."))
+
 
 def normalise_price(c: Column, decimal: str = ",", grouping: str = ".") -> Column:
     """Rewrite a tag so that ``decimal`` is its decimal and ``grouping`` its grouping separator.
@@ -29,14 +40,23 @@ def normalise_price(c: Column, decimal: str = ",", grouping: str = ".") -> Colum
     )
 
 
+def _numeric_prefix(tag: Column, decimal: str, grouping: str) -> Column:
+    d, g = f"\\{decimal}", f"\\{grouping}"
+    return F.regexp_extract(tag, f"^-?(?=[{g}]*{d}?\\d)[\\d{g}]*(?:{d}\\d*)?", 0)
+
+
 def parse_price(tag: Column, decimal: str = ",", grouping: str = ".") -> Column:
     """Longest numeric prefix of a normalised tag; null when it does not start with a number."""
-    d, g = f"\\{decimal}", f"\\{grouping}"
-    prefix = F.regexp_extract(tag, f"^-?(?=[{g}]*{d}?\\d)[\\d{g}]*(?:{d}\\d*)?", 0)
+    prefix = _numeric_prefix(tag, decimal, grouping)
     plain = F.replace(F.replace(prefix, F.lit(grouping), F.lit("")), F.lit(decimal), F.lit("."))
     return F.when(prefix != "", plain.try_cast(PARSED))
 
 
+def starts_with_number(c: Column, decimal: str = ",", grouping: str = ".") -> Column:
+    """Does a price tag start with a number, of any size?"""
+    return _numeric_prefix(normalise_price(c, decimal, grouping), decimal, grouping) != ""
+
+
 def implied_cents(value: Column, tag: Column, rounding: str = "exact") -> Column:
     """Divide by 100 when the whole normalised tag has no separator and the value exceeds 100.
 
@@ -45,9 +65,9 @@ def implied_cents(value: Column, tag: Column, rounding: str = "exact") -> Column
     """
     if rounding not in ("exact", "ceiling"):
         raise ValueError(f"rounding must be 'exact' or 'ceiling', not {rounding!r}")
-    cents = (value / 100).cast(PARSED)
+    cents = (value / 100).try_cast(PARSED)
     if rounding == "ceiling":
-        cents = F.ceil(cents).cast(PARSED)
+        cents = F.ceil(cents).try_cast(PARSED)
     return F.when(~tag.rlike("[.,]") & (value > 100), cents).otherwise(value)
 
 

@@ -14,9 +14,14 @@ def literal_map(entries: dict[str, str]) -> Column:
 
 
 def site_of(url: Column) -> Column:
-    """Lower-cased host of ``url`` without a leading ``www.``; null for a malformed url."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    return F.regexp_replace(host, r"^www\.", "")
+    """Lower-cased host of ``url`` without a leading ``www.``; null without a scheme or host.
+
+    Only the host must be well formed: an address with spaces, ``|`` or braces further on, or a host with
+    ``_``, has a site as well.
+    """
+    host = F.lower(F.regexp_extract(
+        url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:\s]+)(?::[0-9]*)?(?:[/?#]|\s*$)", 1))
+    return F.when(host != "", F.regexp_replace(host, r"^www\.", ""))
 
 
 def let(value: Column, body) -> Column:
@@ -69,7 +74,10 @@ def _drop_dot_segments(url: Column) -> Column:
 
 
 def keywords(*columns: Column) -> Column:
-    """Sorted distinct tokens of the given texts: lower case, diacritics folded, nulls skipped."""
+    """Sorted distinct words of the given texts: lower case, diacritics folded, nulls skipped.
+
+    A word is a run of letters, marks and digits of any script.
+    """
     text = F.translate(F.lower(F.concat_ws(" ", *columns)), *DIACRITICS)
-    tokens = F.split(text, "[^a-z0-9]+")
+    tokens = F.split(text, r"[^\p{L}\p{M}\p{N}]+")
     return F.array_sort(F.array_distinct(F.filter(tokens, lambda t: t != "")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from shopcat.functions.isbn import isbn_rank, isbn_stem
 from shopcat.functions.words import PRODUCT
 from shopcat.schemas import SEQ
+from shopcat.session import work_folder
 
 _FIRST = ("title", "publisher", "format", "image_url", "book_id")
 _LONGEST = ("authors", "description")
@@ -90,18 +91,26 @@ def _states_of_books(books: DataFrame) -> DataFrame:
         isbns.alias("isbns"), *[states[f].alias(f"s_{f}") for f in _STATES])
 
 
+def _union(arrays: str) -> Column:
+    """Sorted union of arrays. Equal arrays, as of an unchanged book in many batches, are held once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(arrays)))).alias(arrays)
+
+
 def merge_states(states: DataFrame) -> DataFrame:
     """Fold state rows (few per book) into one catalog row per book.
 
-    One shuffle, on the stem. A group there holds the ISBNs that differ in the check digit only,
-    once per catalog table or batch that names them.
+    A group of the stem holds the ISBNs that differ in the check digit only, once each.
     """
+    # Rows of one ISBN fold first, before they move; so a book of many batches is one row per ISBN when
+    # its stem is put together.
+    by_isbn = states.groupBy("stem", "isbn").agg(
+        *[_winner(f, F.col(f"s_{f}")) for f in _STATES], _union("words"), _union("isbns"))
     # A short ISBN belongs to the full one with the same stem: a valid check digit first, then
     # the smallest.
     full = F.length("isbn").isin(10, 13)
     best_full = F.min(F.when(full, F.struct("rank", "isbn"))).over(Window.partitionBy("stem"))
     merged = (
-        states.withColumn("rank", isbn_rank(F.col("isbn")))
+        by_isbn.withColumn("rank", isbn_rank(F.col("isbn")))
         .withColumn("s_isbn", F.struct("rank", "s_isbn.seq", "s_isbn.value"))
         .withColumn("_full", best_full)
         .withColumn("canonical", F.when(full | F.col("_full").isNull(), F.col("isbn"))
@@ -109,8 +118,7 @@ def merge_states(states: DataFrame) -> DataFrame:
         .groupBy("stem", "canonical")
         .agg(
             *[_winner(f, F.col(f"s_{f}")) for f in _STATES],
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("keywords"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("isbns")))).alias("isbns"),
+            _union("words").alias("keywords"), _union("isbns"),
         )
     )
 
@@ -139,16 +147,17 @@ def merge_books(obs: DataFrame) -> DataFrame:
 def upsert_catalog(books: DataFrame, obs: DataFrame) -> DataFrame:
     """Stored books and new observations to a new catalog.
 
-    Only stored books that share an ISBN stem with the new rows go through the merge; the others
-    pass unchanged. Catalyst picks the semi and anti join strategy from the sizes. ``obs`` is read
-    more than once, so give a written table, not the extraction itself.
+    The new rows are folded once, into a table of the work folder. Only stored books that share an ISBN stem
+    with them go through the merge; the others pass unchanged. Catalyst picks the joins from the sizes.
     """
-    fresh = fold_observations(obs)
-    stems = obs.filter(F.col("isbn").isNotNull()).select(
-        isbn_stem(F.col("isbn")).alias("stem")).distinct()
-    stored = books.withColumn("stem", isbn_stem(F.col("isbn")))
-    touched = stored.join(stems, "stem", "left_semi").drop("stem")
-    untouched = stored.join(stems, "stem", "left_anti").drop("stem")
+    spark = obs.sparkSession
+    path = work_folder(spark, "fresh")
+    fold_observations(obs).write.parquet(path)
+    fresh = spark.read.parquet(path)
+    stems = fresh.select("stem").distinct().withColumn("_touched", F.lit(True))
+    stored = books.withColumn("stem", isbn_stem(F.col("isbn"))).join(stems, "stem", "left").drop("stem")
+    touched = stored.where("_touched").drop("_touched")
+    untouched = stored.where("_touched IS NULL").drop("_touched")
     merged = merge_states(_states_of_books(touched).unionByName(fresh))
     return merged.unionByName(untouched, allowMissingColumns=True)
 
@@ -197,10 +206,14 @@ def offer_id(site: Column, url: Column, retrieved_time: Column, value: Column, c
 
 
 def offer_rows(obs: DataFrame, job_id: str | None = None) -> DataFrame:
-    """Child rows of the offer table: one per observation with an offer."""
+    """Child rows of the offer table: one per observation with an offer.
+
+    A row names the ISBN it was seen under; :func:`book_offers` finds its book, whose id is that of
+    its first observation.
+    """
     job = F.col("job_id") if "job_id" in obs.columns else F.lit(job_id).cast("string")
     return obs.filter(F.col("offer").isNotNull()).select(
-        "offer.*", "isbn", F.xxhash64("isbn").alias("book_id"), job.alias("job_id"))
+        "offer.*", "isbn", job.alias("job_id"))
 
 
 def distinct_offers(offers: DataFrame) -> DataFrame:
@@ -245,7 +258,7 @@ def book_offers(books: DataFrame, offers: DataFrame) -> DataFrame:
     a hot one.
     """
     names = books.select("book_id", F.col("isbn").alias("book_isbn"), F.explode("isbns").alias("isbn"))
-    return offers.drop("book_id").join(names, "isbn")
+    return offers.join(names, "isbn")
 
 
 # --- lookups ------------------------------------------------------------------------------------
@@ -264,5 +277,5 @@ def find_books(
 
 
 def find_offers(offers: DataFrame, site: str) -> DataFrame:
-    """Offers of a site; prunes partitions of a table partitioned by site."""
+    """Offers of a site; skips row groups of a table that :func:`write_offers` sorted by site."""
     return offers.filter(F.col("site") == site)

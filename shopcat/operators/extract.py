@@ -13,21 +13,22 @@ from pyspark.sql import functions as F
 from shopcat.functions import fields as X
 from shopcat.functions.isbn import normalise_isbn
 from shopcat.functions.nodes import canonical_url, document_title, node_text
-from shopcat.functions.price import STORED, coerce_availability, currency_of, price_value
+from shopcat.functions.price import (
+    STORED, coerce_availability, currency_of, price_value, separators, starts_with_number,
+)
 from shopcat.functions.selectors import is_supported, selected, selector_steps
 from shopcat.functions.text import absolute_url, keywords, let, site_of
-from shopcat.operators.joins import lookup_join
+from shopcat.operators.joins import BROADCAST_BYTES, fits_broadcast
 from shopcat.sources.html import with_nodes
 
-# A compiled step names its members; its text is at most this many times the selector's.
-_STEP_GROWTH = 128
 BOOK_FIELDS = ("title", "authors", "isbn", "description", "publisher", "format", "image_url")
 
 
 def _prepare(pages: DataFrame) -> DataFrame:
     parsed = pages if "nodes" in pages.columns else with_nodes(pages)
+    if "site" not in parsed.columns:
+        parsed = parsed.withColumn("site", site_of(F.col("url")))
     return parsed.withColumns({
-        "site": site_of(F.col("url")),
         "canonical_url": canonical_url(F.col("nodes"), F.col("url")),
         "page_title": document_title(F.col("nodes"), F.col("page_text")),
         "isbn_run": X.isbn_text(F.col("page_text")),
@@ -55,12 +56,19 @@ def wrappers_by_domain(wrappers: DataFrame) -> DataFrame:
     )
 
 
-def choose_strategy(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """Attach each site's selectors (null without any) and name the strategy of the page."""
+def choose_strategy(pages: DataFrame, wrappers: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Attach each site's selectors (null without any) and name the strategy of the page.
+
+    Compiled selectors within ``max_bytes`` are broadcast. Beyond that it is a shuffle join, for which
+    AQE splits a site that owns a large part of the pages; give pages that are not parsed yet.
+    """
+    compiled = wrappers_by_domain(wrappers)
+    return _with_strategy(pages, F.broadcast(compiled) if fits_broadcast(compiled, max_bytes) else compiled)
+
+
+def _with_strategy(pages: DataFrame, compiled: DataFrame) -> DataFrame:
     with_site = pages if "site" in pages.columns else pages.withColumn("site", site_of(F.col("url")))
-    joined = lookup_join(with_site, wrappers_by_domain(wrappers), "site", spread_by="url",
-                         source=wrappers, growth=_STEP_GROWTH)
-    return joined.withColumn(
+    return with_site.join(compiled, "site", "left").withColumn(
         "strategy", F.when(F.col("selectors").isNotNull(), "selectors").otherwise("heuristic"))
 
 
@@ -78,13 +86,17 @@ def _selector_value(nodes: Column, page_text: Column, base: Column, selector: Co
     return let(F.get(selected(nodes, selector["steps"]), F.lit(0)), read)
 
 
-def with_wrapper_fields(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+def with_wrapper_fields(pages: DataFrame, wrappers: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Apply each page's own selectors: ``fields map<string,string>`` and ``selected_texts``.
 
     A defined selector that matches nothing gives a null value under its key; ``selected_texts``
-    holds all texts of the ``attributes`` selector.
+    holds all texts of the ``attributes`` selector. Selectors too large to broadcast are joined with
+    the raw pages, before these are parsed, so nodes are never shuffled.
     """
-    return _apply_selectors(choose_strategy(_prepare(pages), wrappers))
+    compiled = wrappers_by_domain(wrappers)
+    if fits_broadcast(compiled, max_bytes):
+        return _apply_selectors(_with_strategy(_prepare(pages), F.broadcast(compiled)))
+    return _apply_selectors(_prepare(_with_strategy(pages, compiled)))
 
 
 def _apply_selectors(joined: DataFrame) -> DataFrame:
@@ -146,7 +158,7 @@ def assemble(extracted: DataFrame, locale: str = "ro-RO") -> DataFrame:
     """Add ``keywords`` and the ``offer`` struct (null when the tag has no leading number)."""
     offer_key = ("site", "canonical_url", "retrieved_time", "_stored", "_currency")
     keyed = extracted.withColumns({
-        "_stored": F.col("nominal_value").cast(STORED),
+        "_stored": F.col("nominal_value").try_cast(STORED),
         "_currency": currency_of(F.lit(locale)),
         "_offer_site": site_of(F.col("canonical_url")),
     })
@@ -162,10 +174,14 @@ def assemble(extracted: DataFrame, locale: str = "ro-RO") -> DataFrame:
     )
     return keyed.withColumns({
         "keywords": keywords(*[F.col(c) for c in ("title", "authors", "isbn", "publisher", "format")]),
-        # A page whose address has no host cannot carry an offer.
-        "offer": F.when(F.col("nominal_value").isNotNull() & F.col("_offer_site").isNotNull(), offer),
+        # A page whose address has no host cannot carry an offer; it says so.
+        "offer": F.when(F.col("_stored").isNotNull() & F.col("_offer_site").isNotNull(), offer),
         "errors": F.array_compact(F.concat(
             F.array("parse_error"),
+            F.array(F.when(F.col("_stored").isNotNull() & F.col("_offer_site").isNull(),
+                           F.concat(F.lit("no host in address: "), "canonical_url"))),
+            F.array(F.when(F.col("_stored").isNull() & starts_with_number(F.col("price_tag"), *separators(locale)),
+                           F.concat(F.lit("price out of range: "), "price_tag"))),
             F.array(F.when(F.col("nominal_value") != F.col("_stored"),
                            F.concat(F.lit("more than two decimals: "), "price_tag"))),
             F.coalesce(F.col("selector_errors"), F.array().cast("array<string>"))
@@ -184,6 +200,10 @@ def _block_texts() -> Column:
     return X.attribute_texts(F.col("nodes"), F.col("page_text"), F.col("isbn_run"))
 
 
+def _value(locale: str, rounding: str = "exact") -> Column:
+    return price_value(F.col("price_tag"), rounding, *separators(locale))
+
+
 def heuristic_books(pages: DataFrame, strict_isbn: bool = False, locale: str = "ro-RO") -> DataFrame:
     """Extract book and offer of every page by heuristics."""
     df = _prepare(pages).withColumn("attributes", X.split_attributes(_block_texts()))
@@ -191,7 +211,7 @@ def heuristic_books(pages: DataFrame, strict_isbn: bool = False, locale: str = "
         **_heuristic_columns(strict_isbn),
         "stock_phrase": X.stock_phrase(F.col("nodes"), F.col("page_text")),
         "strategy": F.lit("heuristic"),
-    }).withColumn("nominal_value", price_value(F.col("price_tag")))
+    }).withColumn("nominal_value", _value(locale))
     return _finish(df, locale)
 
 
@@ -203,7 +223,7 @@ def wrapper_books(
     df = with_wrapper_fields(pages, wrappers).filter(F.col("strategy") == "selectors")
     df = df.withColumn("attributes", X.split_attributes(F.col("selected_texts")))
     df = df.withColumns(_selector_columns(strict_isbn)).withColumn(
-        "nominal_value", price_value(F.col("price_tag"), rounding))
+        "nominal_value", _value(locale, rounding))
     return _finish(df.withColumn("stock_phrase", F.lit(None).cast("string")), locale)
 
 
@@ -229,7 +249,6 @@ def scrape(
             ~by_selector, X.stock_phrase(F.col("nodes"), F.col("page_text"))),
     }).withColumn(
         "nominal_value",
-        F.when(by_selector, price_value(F.col("price_tag"), rounding)).otherwise(
-            price_value(F.col("price_tag"))),
+        F.when(by_selector, _value(locale, rounding)).otherwise(_value(locale)),
     )
     return _finish(df, locale)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shopcat.functions.text import site_of
 from shopcat.functions.words import ACTIVE, FINISHED, PRODUCT, SCRAPE
-from shopcat.operators.joins import lookup_join
+from shopcat.session import work_folder
 
 BATCH_SIZE = 10_000
+JOB_ID = "^[0-9a-fA-F]{24}$"  # of a job that a request wants to continue
 
 
 def active_jobs(jobs: DataFrame) -> DataFrame:
@@ -36,13 +37,14 @@ def job_durations(jobs: DataFrame) -> DataFrame:
         "job_id", "domain", (F.unix_millis("end") - F.unix_millis("start")).alias("total_ms"))
 
 
-def triage_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+def triage_requests(requests: DataFrame, jobs: DataFrame, id_pattern: str = JOB_ID) -> DataFrame:
     """Answer scrape requests ``(request_id, body, requested_at)``: ``status, site, job_id``.
 
-    400: the body has no textual ``homepage`` or its url has no host. 409: the site has an active
-    job, or an earlier request of this table started one; ``job_id`` names that job. 202: started;
-    ``job_id`` is the ``continue`` id or the request's own. The winner per site is an aggregate
-    and both lookups go through a size-checked join, so one busy site does not fill one task.
+    400: the body has no textual ``homepage``, its url has no host, or ``continue`` is there and no text
+    that matches ``id_pattern``. 409: the site has an active job, or an earlier request of this table
+    started one; ``job_id`` names that job. 202: started; ``job_id`` is the ``continue`` id or the
+    request's own. The winner per site is an aggregate, and the lookup an equi-join that AQE
+    broadcasts or splits, so one busy site does not fill one task.
     """
     body = F.try_parse_json("body")
 
@@ -53,11 +55,11 @@ def triage_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
         return F.when(F.schema_of_variant(member(name)) == "STRING",
                       F.try_variant_get(body, f"$.{name}", "string"))
 
+    continued = text("continue")
+    fine = member("continue").isNull() | F.coalesce(continued.rlike(id_pattern), F.lit(False))
     asked = requests.select(
         "request_id", "requested_at",
-        site_of(text("homepage")).alias("site"),
-        F.try_variant_get(body, "$.continue", "string").alias("continued"),
-    )
+        F.when(fine, site_of(text("homepage"))).alias("site"), continued.alias("continued"))
     active = active_jobs(jobs).groupBy(F.col("domain").alias("site")).agg(
         F.min("job_id").alias("active_job"))
     first = asked.filter(F.col("site").isNotNull()).groupBy("site").agg(
@@ -65,7 +67,7 @@ def triage_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
                        F.coalesce("continued", F.col("request_id").cast("string")).alias("job_id")))
         .alias("first"))
     known = first.join(active, "site", "left")
-    answered = lookup_join(asked, known, "site", spread_by="request_id")
+    answered = asked.join(known, "site", "left")
     blocked = F.col("active_job").isNotNull()
     won = F.col("first.request_id") == F.col("request_id")
     return answered.select(
@@ -88,7 +90,8 @@ def job_stats(attempts: DataFrame, scraped: DataFrame) -> DataFrame:
         F.count_if("ok").alias("pages_reached"))
     pairs = scraped.groupBy("job_id", "domain").agg(
         F.count_if(F.col("type") == PRODUCT).alias("pairs_found"))
-    return fetched.join(pairs, ["job_id", "domain"], "left").fillna(0, ["pairs_found"])
+    counters = ["pages_requested", "requests", "pages_reached", "pairs_found"]
+    return fetched.join(pairs, ["job_id", "domain"], "full").fillna(0, counters)
 
 
 def job_timings(timings: DataFrame) -> DataFrame:
@@ -112,28 +115,26 @@ def job_timings(timings: DataFrame) -> DataFrame:
     )
 
 
-def batch_stats(
-    requested: DataFrame, n: int = BATCH_SIZE, slot_seconds: int = 60,
-) -> DataFrame:
+def batch_stats(requested: DataFrame, n: int = BATCH_SIZE) -> DataFrame:
     """Running counters of a job after every ``n`` requested pages.
 
-    ``requested(job_id, requested_at, page_id, attempts, reached, type)``, one row per page. A
-    page's number within its job is its number within a time slot plus the pages of the earlier
-    slots. The slot counts are a small histogram, so no task sorts a whole job; both inputs of the
-    join share the partitioning by (job, slot). Choose the slot so that one fits a task. Pages
-    without a time come first.
+    ``requested(job_id, requested_at, page_id, attempts, reached, type)``, one row per page. Pages are
+    sorted by a range shuffle, which splits a job of any size; a page's number within its job is its
+    place in its partition plus the job's pages in earlier partitions. That is one row per job and partition.
+    Pages without a time come first.
     """
-    rows = requested.withColumn("_slot", F.coalesce(
-        F.floor(F.unix_seconds("requested_at") / slot_seconds), F.lit(-(2**62))))
-    slots = rows.groupBy("job_id", "_slot").agg(F.count("*").alias("_pages"))
-    earlier = Window.partitionBy("job_id").orderBy("_slot").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = slots.select(
-        "job_id", "_slot", F.coalesce(F.sum("_pages").over(earlier), F.lit(0)).alias("_before"))
-    in_slot = Window.partitionBy("job_id", "_slot").orderBy("requested_at", "page_id")
-    numbered = rows.withColumn("_in_slot", F.row_number().over(in_slot)).join(
-        offsets, ["job_id", "_slot"])
-    batch = F.floor((F.col("_before") + F.col("_in_slot") - 1) / n).cast("int")
+    spark = requested.sparkSession
+    order = ("job_id", "requested_at", "page_id")
+    path = work_folder(spark, "requested")
+    requested.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy("job_id", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_pages"))
+    earlier = Window.partitionBy("job_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        "job_id", "_part", (F.coalesce(F.sum("_pages").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = rows.join(offsets, ["job_id", "_part"])
+    batch = F.floor((F.col("_at") + F.col("_shift")) / n).cast("int")
     counted = numbered.groupBy("job_id", batch.alias("batch")).agg(
         F.count("*").alias("pages"), F.sum("attempts").alias("requests"),
         F.count_if("reached").alias("reached"),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -15,27 +14,6 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(row)), F.lit(0)).alias("n")).first()["n"]
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: str,
-    spread_by: str,
-    how: str = "left",
-    max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-    source: DataFrame | None = None,
-    growth: int = 1,
-) -> DataFrame:
-    """Join ``facts`` with ``lookup``, which has one row per value of ``on``.
-
-    ``lookup`` is broadcast only when its measured size is within ``max_bytes``. Beyond that it is
-    replicated once per salt and joined on (key, salt), so that a key owning a third of ``facts``
-    is spread over ``salts`` tasks. The salt is a hash of ``spread_by``, hence the same when a lost
-    task is computed again. ``source`` is a cheaper table to measure, when a row of ``lookup`` is
-    at most ``growth`` times the size of the source rows it is made of.
-    """
-    if measured_bytes(lookup if source is None else source) * growth <= max_bytes:
-        return facts.join(F.broadcast(lookup), on, how)
-    replicated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return salted.join(replicated, [on, "_salt"], how).drop("_salt")
+def fits_broadcast(lookup: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Is the lookup table, as it would be sent, within ``max_bytes``?"""
+    return measured_bytes(lookup) <= max_bytes

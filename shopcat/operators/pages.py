@@ -58,7 +58,8 @@ def upsert_frontier(frontier: DataFrame, scraped: DataFrame) -> DataFrame:
     """Latest state per url. ``scraped`` has the frontier's columns and ``seen_at``.
 
     The type comes from the latest row, everything else from the latest row that was reached, so
-    an unreachable page keeps what was known. A hot url is reduced before the shuffle.
+    an unreachable page keeps what was known. The time decides what is latest, whatever arrives first;
+    of equal times the scraped row wins. A hot url is reduced before the shuffle.
     """
     kept = ("canonical_url", "title", "retrieved_time", "last_job")
     stored = frontier.withColumns({
@@ -66,7 +67,7 @@ def upsert_frontier(frontier: DataFrame, scraped: DataFrame) -> DataFrame:
         "seen_at": F.col("seen_at") if "seen_at" in frontier.columns else F.col("retrieved_time"),
     })
     rows = stored.unionByName(scraped.withColumn("_rank", F.lit(1)))
-    order = F.struct("_rank", "seen_at", *kept, "type").alias("order")
+    order = F.struct("seen_at", "_rank", *kept, "type").alias("order")
     latest = F.struct(order, F.col("type").alias("type"), F.col("domain").alias("domain"))
     # A row that was never fetched has no type yet, and an unreachable one stamped nothing.
     stamped = F.when(

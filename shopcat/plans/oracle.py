@@ -6,9 +6,36 @@ parses no html.
 
 from __future__ import annotations
 
-from shopcat.functions.words import AVAILABILITY
-from shopcat.plans.queries import BATCH, KEYWORD, SITE
-from shopcat.sources.rendered import EPOCH, PHRASES
+from shopcat.plans.queries import BATCH, JOB, KEYWORD, LOOKUPS, SITE
+from shopcat.sources.rendered import EPOCH
+
+# Fixed values, written out here so that a wrong entry of the engine does not confirm itself. The
+# pages show the phrases in this order.
+AVAILABILITY = {
+    "indisponibil": "DISCONTINUED",
+    "discontinued": "DISCONTINUED",
+    "in stoc": "IN_STOCK",
+    "în stoc": "IN_STOCK",
+    "disponibil": "IN_STOCK",
+    "in_stock": "IN_STOCK",
+    "instock": "IN_STOCK",
+    "limitat": "LIMITED_AVAILABILITY",
+    "stoc limitat": "LIMITED_AVAILABILITY",
+    "limited": "LIMITED_AVAILABILITY",
+    "limited_availability": "LIMITED_AVAILABILITY",
+    "limitedavailability": "LIMITED_AVAILABILITY",
+    "epuizat": "OUT_OF_STOCK",
+    "la comandă": "OUT_OF_STOCK",
+    "la comanda": "OUT_OF_STOCK",
+    "comandă": "OUT_OF_STOCK",
+    "comanda": "OUT_OF_STOCK",
+    "out_of_stock": "OUT_OF_STOCK",
+    "outofstock": "OUT_OF_STOCK",
+    "precomandă": "PREORDER",
+    "precomanda": "PREORDER",
+    "preoder": "PREORDER",
+}
+PHRASES = tuple(AVAILABILITY)
 
 
 def _check_digit(text: str) -> str:
@@ -188,6 +215,23 @@ ORACLE: dict[str, str] = {
     "page_site": r"""
         SELECT page_id, regexp_extract(lower(url), '^[a-z]+://(?:www\.)?([^/:?#]+)', 1) AS site
         FROM pages""",
+    "url_sites": """
+        SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'my_shop' || (p_partkey % 5) || '.ro'
+            WHEN 3 THEN '[2001:db8::1]' WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN NULL
+            ELSE 'shop' || (p_partkey % 5) || '.example.ro' END AS site
+        FROM part""",
+    "shop_main_text": _SHOP + """
+        SELECT k AS page_id, concat_ws(' ', shop.p_name,
+          CASE k % 6 WHEN 4 THEN NULL WHEN 1 THEN 'Pret: ' || replace(CAST(p AS VARCHAR), '.', ',') || ' lei'
+            WHEN 2 THEN 'Pret: ' || replace(CAST(p AS VARCHAR), '.', '') || 'lei'
+            WHEN 3 THEN 'Pret: 1,' || substr(CAST(p + 1000 AS VARCHAR), 2) || ' lei'
+            ELSE 'Pret: ' || CAST(p AS VARCHAR) || ' lei' END,
+          phrase, 'Editura: ' || shop.p_brand,
+          CASE WHEN k % 6 <> 5 THEN 'ISBN: ' || CASE WHEN k % 3 = 0 THEN """ + _hyphenated("isbn13") + """ ELSE isbn13 END END,
+          'Format: ' || CASE kind WHEN 'standard' THEN 'Cartonata' WHEN 'economy' THEN 'Necartonata'
+            WHEN 'medium' THEN 'PDF' WHEN 'promo' THEN 'ePub' WHEN 'large' THEN 'Audiobooks' ELSE 'brosata' END,
+          'Autor: Ana ' || shop.p_brand, descr) AS main_text
+        FROM shop""",
     "page_tags": f"""
         WITH t AS (SELECT page_id, unnest(regexp_extract_all(lower({_CLEAN}),
                      '<([a-z][a-z0-9]*)[^>]*>', 1)) AS tag FROM pages)
@@ -292,6 +336,23 @@ ORACLE: dict[str, str] = {
           coalesce('t' || s.event_id, 'stored') AS title, l.type, coalesce(s.us, f.us) AS retrieved_us,
           coalesce('job' || (s.event_id % 3), 'job9') AS last_job
         FROM l JOIN f USING (url) LEFT JOIN s ON s.url = l.url AND s.r = 1 WHERE l.r = 1""",
+    "frontier_late": """
+        WITH e AS (
+          SELECT 'u' || user_id AS url, user_id, 'd' || (user_id % 5) AS domain, event_id, epoch_us(ts) AS us,
+            event_type <> 'error' AS reached,
+            CASE event_type WHEN 'error' THEN 'UNREACHABLE' WHEN 'signup' THEN 'JUNK'
+              WHEN 'view' THEN 'UNAVAILABLE' ELSE 'PRODUCT' END AS type
+          FROM events),
+        l AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY us DESC) AS r FROM e),
+        s AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY us DESC) AS r FROM e WHERE reached),
+        f AS (SELECT url, min(us) AS low, max(us) AS high FROM e GROUP BY url)
+        SELECT l.url, l.domain, CASE WHEN user_id % 2 = 0 THEN 'stored' ELSE coalesce(c, 'stored') END AS canonical_url,
+          CASE WHEN user_id % 2 = 0 THEN 'stored' ELSE coalesce(t, 'stored') END AS title,
+          CASE WHEN user_id % 2 = 0 THEN 'PRODUCT' ELSE l.type END AS type,
+          CASE WHEN user_id % 2 = 0 THEN high + 86400000000 ELSE coalesce(s_us, low) END AS retrieved_us,
+          CASE WHEN user_id % 2 = 0 THEN 'job9' ELSE coalesce(j, 'job9') END AS last_job
+        FROM l JOIN f USING (url) LEFT JOIN (SELECT url AS s_url, us AS s_us, 'c' || event_id AS c,
+          't' || event_id AS t, 'job' || (event_id % 3) AS j FROM s WHERE r = 1) ON s_url = l.url WHERE l.r = 1""",
     "frontier_resume": """
         SELECT 'e' || event_id AS url, CASE WHEN user_id % 3 = 1 THEN 'PRODUCT' END AS type,
           CASE WHEN event_id % 4 > 0 THEN 'job' || (event_id % 4) END AS last_job,
@@ -328,6 +389,13 @@ ORACLE: dict[str, str] = {
         WHERE list_contains(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '),
                             '{KEYWORD}')""",
     "site_offers": _SEEN + f"SELECT url, us AS retrieved_us, value FROM seen WHERE site = '{SITE}'",
+    "book_lookup": f"""
+        WITH m AS ({_MERGED})
+        SELECT 'title' AS field, isbn, title FROM m WHERE title = '{LOOKUPS["title"]}'
+        UNION ALL SELECT 'authors', isbn, title FROM m WHERE authors = '{LOOKUPS["authors"]}'
+        UNION ALL SELECT 'isbn', isbn, title FROM m WHERE isbn = '{LOOKUPS["isbn"]}'
+        UNION ALL SELECT 'best_offer_site', isbn, title FROM m WHERE contains(best_url, '//www.{SITE}/')""",
+    "job_lookup": _JOBS + f"SELECT job_id, domain, status FROM jobs WHERE job_id = '{JOB}'",
     "catalog_roundtrip": _SHOP + """
         SELECT isbn, title, authors, publisher, site, price AS nominal_value, availability FROM product""",
     "jobs_active": _JOBS + """
@@ -343,8 +411,9 @@ ORACLE: dict[str, str] = {
         active AS (SELECT domain AS site, min(job_id) AS active_job FROM jobs
                    WHERE type = 'SCRAPE' AND status = 'ACTIVE' GROUP BY domain),
         r AS (SELECT event_id AS request_id, epoch_us(ts) AS us,
-                CASE WHEN event_id % 7 IN (3, 5, 6) THEN 's' || user_id || '.example.ro' END AS site,
-                CASE WHEN event_id % 7 = 3 THEN 'c' || event_id ELSE '' || event_id END AS own_job
+                CASE WHEN event_id % 7 IN (5, 6) OR event_id % 7 = 3 AND event_id % 3 = 2
+                  THEN 's' || user_id || '.example.ro' END AS site,
+                CASE WHEN event_id % 7 = 3 THEN lpad('' || event_id, 24, '0') ELSE '' || event_id END AS own_job
               FROM events),
         w AS (SELECT site, min({t: us, i: request_id}) AS f,
                 arg_min(own_job, {t: us, i: request_id}) AS first_job
@@ -390,6 +459,9 @@ ORACLE: dict[str, str] = {
         SELECT k AS page_id, site, CASE WHEN isbn IS NULL THEN 'JUNK' WHEN price IS NULL
           THEN 'UNAVAILABLE' ELSE 'PRODUCT' END AS type FROM chosen""",
     "stream_best_offer": _BEST,
+    "stream_offers": _SHOP + f"""
+        SELECT canonical AS url, site, isbn, (k + {EPOCH}) * 1000000 AS retrieved_us, price AS nominal_value
+        FROM product""",
     "stream_catalog": _SHOP + """
         SELECT isbn, title, authors, publisher, site, price AS nominal_value, availability FROM product""",
     "shop_overview": _SHOP + """

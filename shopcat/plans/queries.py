@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,12 @@ from shopcat.operators import jobs as J
 from shopcat.operators import pages as P
 from shopcat.operators.extract import heuristic_books, scrape, wrapper_books
 from shopcat.operators.induction import induce_selectors, label_nodes
+from shopcat.schemas import BOOKS, OFFERS, RAW_PAGES
 from shopcat.session import work_folder
 from shopcat.sources import rendered as R
 from shopcat.sources.html import with_nodes
 from shopcat.sources.tables import (
-    read_batches, read_pages, spread, write_books, write_frontier, write_offers,
+    is_folder, read_batches, read_pages, spread, stream_pages, write_books, write_frontier, write_offers,
 )
 from shopcat.streaming import streams as S
 
@@ -31,6 +33,8 @@ QUERIES: dict[str, Query] = {}
 BATCH = 500
 KEYWORD = "gizmo"
 SITE = "s7.example.ro"
+JOB = "j7"
+LOOKUPS = {"title": "T7", "authors": "Aaa", "isbn": "9780000000071", "best_offer_site": SITE}
 
 
 def query(f: Query) -> Query:
@@ -81,6 +85,30 @@ def page_site(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", site_of(F.col("url")).alias("site"))
 
 
+@query
+def url_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites of addresses as crawls meet them: bars, spaces, underscores, ports, no scheme."""
+    k = F.col("p_partkey").cast("string")
+    shop = (F.col("p_partkey") % 5).cast("string")
+    kind = F.col("p_partkey") % 7
+    url = (
+        F.when(kind == 0, F.concat(F.lit("https://www.My_Shop"), shop, F.lit(".ro/x|y/"), k))
+        .when(kind == 1, F.concat(F.lit("https://shop"), shop, F.lit(".example.ro/a b {"), k, F.lit("}")))
+        .when(kind == 2, F.concat(F.lit("HTTP://u:p@Shop"), shop, F.lit(".example.ro:8080?q="), k))
+        .when(kind == 3, F.concat(F.lit("https://[2001:db8::1]/"), k))
+        .when(kind == 4, F.concat(F.lit("not a url "), k))
+        .when(kind == 5, F.concat(F.lit("//shop.ro/"), k))
+        .otherwise(F.concat(F.lit("https://a b.ro/"), k))
+    )
+    return table(spark, sf, "part").select("p_partkey", site_of(url).alias("site"))
+
+
+@query
+def shop_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = with_nodes(shop_pages(spark, sf))
+    return nodes.select("page_id", main_text(F.col("nodes"), F.col("page_text")).alias("main_text"))
+
+
 @query
 def page_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes per page and tag."""
@@ -91,7 +119,7 @@ def page_tags(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def page_main_text(spark: SparkSession, sf: str) -> DataFrame:
     nodes = with_nodes(given_pages(spark, sf))
-    return nodes.select("page_id", main_text(F.col("nodes")).alias("main_text"))
+    return nodes.select("page_id", main_text(F.col("nodes"), F.col("page_text")).alias("main_text"))
 
 
 @query
@@ -267,6 +295,23 @@ def frontier_latest(spark: SparkSession, sf: str) -> DataFrame:
         F.unix_micros("retrieved_time").alias("retrieved_us"), "last_job")
 
 
+@query
+def frontier_late(spark: SparkSession, sf: str) -> DataFrame:
+    """A scrape that arrives late: what is stored of every other page is newer than all of it."""
+    rows = _frontier_events(spark, sf)
+    newer = F.try_to_number(F.substring("url", 2, 20), F.lit("9999999999")) % 2 == 0
+    stored = rows.groupBy("url").agg(
+        F.min("domain").alias("domain"), F.min("seen_at").alias("low"), F.max("seen_at").alias("high"),
+    ).select(
+        "url", "domain", F.lit("stored").alias("canonical_url"), F.lit("stored").alias("title"),
+        F.lit("PRODUCT").alias("type"),
+        F.when(newer, F.col("high") + F.expr("interval 1 day")).otherwise(F.col("low")).alias("retrieved_time"),
+        F.lit("job9").alias("last_job"))
+    return P.upsert_frontier(stored, rows).select(
+        "url", "domain", "canonical_url", "title", "type",
+        F.unix_micros("retrieved_time").alias("retrieved_us"), "last_job")
+
+
 @query
 def frontier_resume(spark: SparkSession, sf: str) -> DataFrame:
     frontier = table(spark, sf, "events").select(
@@ -409,15 +454,28 @@ def distinct_books(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def keyword_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    books = heuristic_books(shop_pages(spark, sf))
-    return C.find_books(books, keyword=KEYWORD).select("page_id", "title")
+    path = work_folder(spark, "keywords")
+    heuristic_books(shop_pages(spark, sf)).select("page_id", "title", "keywords").write.parquet(path)
+    return C.find_books(spark.read.parquet(path), keyword=KEYWORD).select("page_id", "title")
 
 
 @query
 def site_offers(spark: SparkSession, sf: str) -> DataFrame:
-    offers = C.find_offers(C.offer_rows(line_observations(spark, sf)), SITE)
-    return offers.select("url", F.unix_micros("retrieved_time").alias("retrieved_us"),
-                         double("nominal_value").alias("value"))
+    path = work_folder(spark, "offers")
+    write_offers(C.offer_rows(line_observations(spark, sf)), path, 0)
+    return C.find_offers(read_batches(spark, path, OFFERS), SITE).select(
+        "url", F.unix_micros("retrieved_time").alias("retrieved_us"), double("nominal_value").alias("value"))
+
+
+@query
+def book_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Books of a written catalog by each of the indexed fields."""
+    path = work_folder(spark, "lookup")
+    write_books(C.merge_books(line_observations(spark, sf)), path, 0)
+    books = read_batches(spark, path, BOOKS)
+    found = [C.find_books(books, **{field: value}).select(F.lit(field).alias("field"), "isbn", "title")
+             for field, value in LOOKUPS.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query
@@ -459,6 +517,11 @@ def jobs_active(spark: SparkSession, sf: str) -> DataFrame:
         "job_id", "domain", F.unix_micros("start").alias("start_us"))
 
 
+@query
+def job_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return J.job_by_id(_jobs(spark, sf), JOB).select("job_id", "domain", "status")
+
+
 @query
 def jobs_closed(spark: SparkSession, sf: str) -> DataFrame:
     closing = table(spark, sf, "events").select(
@@ -481,8 +544,10 @@ def job_triage(spark: SparkSession, sf: str) -> DataFrame:
         F.when(e % 7 == 0, F.lit("{}"))
         .when(e % 7 == 1, F.lit('{"homepage": 5}'))
         .when(e % 7 == 2, F.lit('{"homepage": "not a url"}'))
-        .when(e % 7 == 3, F.concat(F.lit('{"homepage": "'), site, F.lit('", "continue": "c'), e,
-                                   F.lit('"}')))
+        .when(e % 7 == 3, F.concat(
+            F.lit('{"homepage": "'), site, F.lit('", "continue": '),
+            F.when(e % 3 == 0, F.concat(F.lit('"c'), e, F.lit('"'))).when(e % 3 == 1, F.lit("5"))
+            .otherwise(F.concat(F.lit('"'), F.lpad(e.cast("string"), 24, "0"), F.lit('"'))), F.lit("}")))
         .when(e % 7 == 4, F.lit("no json"))
         .otherwise(F.concat(F.lit('{"homepage": "'), site, F.lit('"}')))
     )
@@ -525,14 +590,18 @@ def job_batches(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("job_id"), utc("ts").alias("requested_at"),
         F.col("event_id").alias("page_id"), (F.col("event_id") % 2 + 1).alias("attempts"),
         F.col("ok").alias("reached"), "type")
-    return J.batch_stats(rows, BATCH, 3600)
+    return J.batch_stats(rows, BATCH)
 
 
 # --- streams -----------------------------------------------------------------------------------------
 
 def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream of its files, be it one file or a folder of part files."""
+    path = f"{sf}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, sf, name).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 @query
@@ -579,6 +648,21 @@ def stream_catalog(spark: SparkSession, sf: str) -> DataFrame:
         double("best_offer.nominal_value").alias("nominal_value"), "best_offer.availability")
 
 
+@query
+def stream_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every shop page is delivered twice, in different files; each offer is in the catalog once."""
+    source, root = work_folder(spark, "pages"), work_folder(spark, "stream-offers")
+    pages = shop_pages(spark, sf)
+    for copy in (1, 2):
+        pages.write.parquet(f"{source}/copy={copy}")
+    files = len(spark.read.parquet(source).inputFiles())
+    stream = stream_pages(spark, source, f"{RAW_PAGES}, copy int", max_files=(files + 1) // 2).drop("copy")
+    S.run_catalog_stream(stream, root, "job", R.wrappers(table(spark, sf, "part"))).awaitTermination()
+    return S.read_offers(spark, root).select(
+        "url", "site", "isbn", F.unix_micros("retrieved_time").alias("retrieved_us"),
+        double("nominal_value").alias("nominal_value"))
+
+
 # --- the flagship --------------------------------------------------------------------------------------
 
 @query

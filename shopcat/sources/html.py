@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,15 +24,17 @@ from shopcat.schemas import NODES
 # The parser travels with the job, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# A quote counts only directly after "=": in `alt=Men's` it is part of the value.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>"
     r"|<(?P<broken>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
-_ATTR = re.compile(r"([^\s=\"'/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MARKUP = re.compile(r"<[a-zA-Z/!?]")
+_ATTR = re.compile(r"([^\s=\"'/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _SPACE = re.compile("[ \t\n\f\r\xa0]+")
 _INVISIBLE = re.compile("[\u200b\u00ad]")
 
@@ -40,6 +43,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _HEAD = frozenset("title meta link base script style noscript template".split())
 _DROPPED = frozenset("script style noscript".split())
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I) for name in _RAW | _DROPPED}
 _BLOCK = frozenset(
     "html head body title script style noscript meta link section nav aside hgroup header footer "
     "p h1 h2 h3 h4 h5 h6 ul ol pre div blockquote hr address figure figcaption form fieldset ins "
@@ -115,7 +119,9 @@ class _NodeBatch:
     def _parse(self, html: str, base: int) -> tuple[str, str | None]:
         stack: list[int] = []  # positions of the open elements
         tags: list[str] = []  # their names
+        depths: dict[str, list[int]] = {}  # by name: the depths at which it is open
         own_space: list[bool] = []  # a space is due before more own text
+        own_parts: dict[int, list[str]] = {}  # own text by position
         pieces: list[str] = []
         length, space, error = 0, False, None
 
@@ -123,20 +129,21 @@ class _NodeBatch:
             last = len(self.tag) - base - 1
             while len(stack) > depth:
                 pos = stack.pop()
-                tags.pop()
+                depths[tags.pop()].pop()
                 own_space.pop()
                 self.last[base + pos] = last
                 self.end[base + pos] = length
 
         def depth_of(names, stops) -> int:
             """Depth of the outermost open element in ``names`` above the nearest of ``stops``."""
-            found = -1
-            for d in range(len(tags) - 1, -1, -1):
-                if tags[d] in names:
-                    found = d
-                elif tags[d] in stops:
-                    break
-            return found
+            floor = max((depths[s][-1] for s in stops if depths.get(s)), default=-1)
+            found = []
+            for name in names:
+                open_at = depths.get(name, ())
+                k = bisect_right(open_at, floor)
+                if k < len(open_at):
+                    found.append(open_at[k])
+            return min(found, default=-1)
 
         def add_text(data: str) -> None:
             nonlocal length, space
@@ -146,10 +153,11 @@ class _NodeBatch:
             data = _SPACE.sub(" ", data)
             core = data.strip(" ")
             if stack and data:
-                pos = base + stack[-1]
                 if core:
-                    due = (own_space[-1] or data[0] == " ") and self.own[pos] != ""
-                    self.own[pos] += f" {core}" if due else core
+                    parts = own_parts.setdefault(stack[-1], [])
+                    if parts and (own_space[-1] or data[0] == " "):
+                        parts.append(" ")
+                    parts.append(core)
                 own_space[-1] = data[-1] == " " or (own_space[-1] and not core)
             if data and data[0] == " ":
                 space = True
@@ -161,27 +169,30 @@ class _NodeBatch:
                 length += len(core)
                 space = data[-1] == " "
 
-        at, size = 0, len(html)
+        at, size, last_end = 0, len(html), html.rfind(">")
         while at < size:
-            m = _TOKEN.match(html, at)
-            if m is None:  # an unterminated tag at the end of the page
-                error = "unterminated tag"
+            if at > last_end:  # no tag ends here any more: text, up to what begins like one
+                tail = _MARKUP.search(html, at)
+                add_text(html[at: tail.start() if tail else size])
+                if tail and not html.startswith("<!--", tail.start()):
+                    error = "unterminated tag"
                 break
+            m = _TOKEN.match(html, at)
             at = m.end()
             kind = m.lastgroup
             if kind == "text":
                 add_text(m.group())
             elif kind == "end":
                 name = m.group("end").lower()
-                if name in tags:
-                    close_to(len(tags) - 1 - tags[::-1].index(name))
+                if depths.get(name):
+                    close_to(depths[name][-1])
                     if name in _BLOCK:
                         space = True
             elif kind in ("attrs", "rest"):
                 name = (m.group("start") or m.group("broken")).lower()
                 source = m.group(kind)
                 if name in _RAW or (self.sanitize and name in _DROPPED):
-                    end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+                    end = _RAW_END[name].search(html, at)
                     inner, at = (html[at:end.start()], end.end()) if end else (html[at:], size)
                     if self.sanitize and name in _DROPPED:
                         continue
@@ -204,8 +215,9 @@ class _NodeBatch:
                 self._open(name, _attributes(source) if source else {}, stack[-1] if stack else -1, length)
                 pos = len(self.tag) - base - 1
                 self.last[base + pos] = pos
-                foreign = source.endswith("/") and ("svg" in tags or "math" in tags)
+                foreign = source.endswith("/") and bool(depths.get("svg") or depths.get("math"))
                 if name not in _VOID and not foreign:
+                    depths.setdefault(name, []).append(len(stack))
                     stack.append(pos)
                     tags.append(name)
                     own_space.append(False)
@@ -215,6 +227,8 @@ class _NodeBatch:
                         close_to(len(tags) - 1)
                         space = True
         close_to(0)
+        for pos, parts in own_parts.items():
+            self.own[base + pos] = "".join(parts)
         return "".join(pieces), error
 
     def arrays(self) -> list[pa.Array]:

@@ -28,21 +28,21 @@ def stream_pages(
 def spread(table: DataFrame) -> DataFrame:
     """Give a small table at least one partition per core before work that is heavy per row.
 
-    A table that already has that many splits is returned as it is, without a shuffle.
+    A table of at least that many files is returned as it is, without a shuffle.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    return table if len(table.inputFiles()) >= cores else table.repartition(cores)
 
 
 def write_offers(offers: DataFrame, path: str, batch: str | int) -> None:
-    """Append offers as one batch of a table partitioned by batch and site.
+    """Write offers as one batch. Writing the same batch again replaces it.
 
-    Writing the same batch again replaces it. The rebalance hint splits a busy site over several
-    files and packs small ones together.
+    The rebalance hint keeps a site's rows together, splits a busy site over several files and packs small
+    ones into one; rows are sorted by site, so a lookup by site skips row groups by their statistics.
     """
     (
-        offers.hint("rebalance", "site").write.mode("overwrite").partitionBy("site")
-        .parquet(f"{path}/batch={batch}")
+        offers.hint("rebalance", "site").sortWithinPartitions("site", "retrieved_time")
+        .write.mode("overwrite").parquet(f"{path}/batch={batch}")
     )
 
 
@@ -52,13 +52,54 @@ def write_books(books: DataFrame, path: str, batch: str | int) -> None:
 
 
 def write_frontier(frontier: DataFrame, path: str, batch: str | int) -> None:
-    """Write frontier rows as one batch, partitioned by domain."""
+    """Write frontier rows as one batch, sorted by domain."""
     (
-        frontier.hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain")
-        .parquet(f"{path}/batch={batch}")
+        frontier.hint("rebalance", "domain").sortWithinPartitions("domain", "url")
+        .write.mode("overwrite").parquet(f"{path}/batch={batch}")
     )
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All batches of a table written by the functions above; ``batch`` is a partition column."""
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+def _file_system(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, found = _file_system(spark, path)
+    return system.exists(found)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, found = _file_system(spark, path)
+    return system.getFileStatus(found).isDirectory()
+
+
+def commit_batch(spark: SparkSession, root: str, batch: int) -> None:
+    """Publish a batch: readers see its rows in all tables of ``root`` from now on, and not before."""
+    spark.range(1).select(F.lit(batch).cast("bigint").alias("batch")).write.mode("overwrite").parquet(
+        f"{root}/commits/id={batch}")
+
+
+def is_committed(spark: SparkSession, root: str, batch: int) -> bool:
+    return path_exists(spark, f"{root}/commits/id={batch}/_SUCCESS")
+
+
+def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All batches of a table written by the functions above; ``batch`` is a partition column.
+
+    With a schema, a table that has no file yet is empty.
+    """
+    if schema is None:
+        return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    full = f"{schema}, batch bigint"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
+
+
+def read_committed(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+    """The rows of a table in published batches only; the batch filter prunes folders."""
+    if not path_exists(spark, f"{root}/commits"):
+        return read_batches(spark, f"{root}/commits", schema).drop("batch")
+    done = spark.read.schema("batch bigint").parquet(f"{root}/commits/id=*")
+    return read_batches(spark, f"{root}/{table}", schema).join(done, "batch", "left_semi").drop("batch")
