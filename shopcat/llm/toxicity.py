@@ -211,7 +211,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = PREDICTED) -> DataFrame:
     """The rows of ``docs`` whose score is below ``least``; without labels, all."""
-    columns = [c for c in docs.columns]
-    rows = scored(docs.withColumnsRenamed({c: f"_{k}" for k, c in enumerate(columns)}), fit(docs, labels),
-                  f"_{columns.index('text')}")
-    return rows.where(F.col("score") < least).select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(columns)])
+    columns = docs.columns
+    rows = scored(docs.toDF(*[f"_{k}" for k in range(len(columns))]), fit(docs, labels), f"_{columns.index('text')}")
+    return rows.where(F.col("score") < least).drop("score").toDF(*columns)
