@@ -216,13 +216,17 @@ def offer_rows(obs: DataFrame, job_id: str | None = None) -> DataFrame:
         "offer.*", "isbn", job.alias("job_id"))
 
 
-def distinct_offers(offers: DataFrame) -> DataFrame:
-    """One row per offer by currency, value, time and url (null-safe); the smallest rest is kept."""
-    rest = [c for c in offers.columns if c not in OFFER_KEY]
+def distinct_offers(offers: DataFrame, *also: str) -> DataFrame:
+    """One row per offer by currency, value, time and url (null-safe); the smallest rest is kept.
+
+    ``also`` names columns that follow from the key, such as the site; filters on them reach the scan.
+    """
+    key = (*OFFER_KEY, *also)
+    rest = [c for c in offers.columns if c not in key]
     if not rest:
         return offers.distinct()
-    return offers.groupBy(*OFFER_KEY).agg(F.min(F.struct(*rest)).alias("r")).select(
-        *OFFER_KEY, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*offers.columns)
+    return offers.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(
+        *key, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*offers.columns)
 
 
 def distinct_books(books: DataFrame) -> DataFrame:

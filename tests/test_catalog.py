@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopcat.operators import catalog as C
-from shopcat.operators import joins
 from shopcat.schemas import BOOKS, OBSERVATIONS
+from shopcat.session import work_folder
+from shopcat.sources.tables import read_batches, write_books
 
 T0 = datetime(2024, 1, 1)
 
@@ -176,15 +177,23 @@ def test_lookups(spark):
     assert C.find_books(books).count() == 2
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_join_is_the_same_beyond_the_broadcast_bound(spark, how):
-    facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
-        F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
-    lookup = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
-    small = joins.lookup_join(facts, lookup, "k", "id", how)
-    salted = joins.lookup_join(facts, lookup, "k", "id", how, max_bytes=10, salts=8)
-    assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, salted.collect()), key=repr)
+def test_lookups_reach_the_scan_of_a_written_table(spark):
+    path = work_folder(spark, "lookup")
+    write_books(C.merge_books(table(spark, random_observations(20, 5))), path, 0)
+    books = read_batches(spark, path, BOOKS)
+    for field in ("title", "authors", "isbn"):
+        plan = C.find_books(books, **{field: "x"})._jdf.queryExecution().executedPlan().toString()
+        assert f"EqualTo({field},x)" in plan.split("PushedFilters")[1].split("\n")[0]
+
+
+def test_batches_fold_before_they_meet(spark):
+    path = work_folder(spark, "fold")
+    for batch in range(3):
+        write_books(C.merge_books(table(spark, random_observations(20, 5))), path, batch)
+    folded = C.compact_books(read_batches(spark, path, BOOKS).drop("batch"))
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "partial_" in plan.split("Exchange hashpartitioning(stem")[-1]
+    assert sorted(map(repr, folded.collect())) == sorted(map(repr, C.compact_books(read_batches(spark, path, BOOKS).where("batch = 1").drop("batch")).collect()))
 
 
 def test_hot_isbn_is_reduced_before_the_shuffle(spark):

@@ -9,10 +9,11 @@ from shopcat.operators import jobs as J
 from shopcat.operators import pages as P
 from shopcat.operators.catalog import observations, merge_books, offer_rows, find_offers
 from shopcat.operators.extract import scrape
-from shopcat.schemas import FETCH_ATTEMPTS, FRONTIER, JOBS
+from shopcat.plans.queries import QUERIES
+from shopcat.schemas import FETCH_ATTEMPTS, FRONTIER, JOBS, RAW_PAGES
 from shopcat.session import work_folder
 from shopcat.sources import rendered as R
-from shopcat.sources.tables import read_pages, stream_pages
+from shopcat.sources.tables import commit_batch, read_pages, stream_pages, write_books, write_offers
 from shopcat.streaming import streams as S
 
 T0 = datetime(2024, 1, 1)
@@ -69,13 +70,14 @@ def test_jobs(spark):
 def test_triage(spark):
     bodies = ['{"homepage":"https://www.a.ro/"}', '{"homepage":7}', '{}', 'x', None, '{"homepage":"nohost"}',
               '{"homepage":"https://c.ro"}', '{"homepage":"http://C.ro/x"}',
-              '{"homepage":"https://d.ro","continue":"old"}']
+              '{"homepage":"https://d.ro","continue":"0123456789abcdefABCDEF00"}',
+              '{"homepage":"https://e.ro","continue":"old"}', '{"homepage":"https://e.ro","continue":5}']
     requests = spark.createDataFrame([(i, b, T0 + timedelta(seconds=i)) for i, b in enumerate(bodies)],
                                      "request_id bigint, body string, requested_at timestamp")
     got = J.triage_requests(requests, jobs(spark)).orderBy("request_id").collect()
     assert [(r["status"], r["job_id"]) for r in got] == [
         (409, "j1"), (400, None), (400, None), (400, None), (400, None), (400, None), (202, "6"), (409, "6"),
-        (202, "old")]
+        (202, "0123456789abcdefABCDEF00"), (400, None), (400, None)]
 
 
 def test_statistics(spark):
@@ -84,6 +86,9 @@ def test_statistics(spark):
     scraped = spark.createDataFrame([("j", "d", "PRODUCT"), ("j", "d", "JUNK")], "job_id string, domain string, type string")
     r = J.job_stats(attempts, scraped).first()
     assert (r["pages_requested"], r["requests"], r["pages_reached"], r["pairs_found"]) == (2, 3, 1, 1)
+    late = spark.createDataFrame([("k", "d", "PRODUCT")], "job_id string, domain string, type string")
+    only_scraped = J.job_stats(attempts, late).where("job_id = 'k'").first()
+    assert (only_scraped["pages_requested"], only_scraped["pairs_found"]) == (0, 1)
     timings = spark.createDataFrame([("j", "d", False, False, 10, 0, 0, 0)], "job_id string, domain string, reached boolean, "
                                     "paired boolean, download_ms bigint, processing_ms bigint, crawl_persist_ms bigint, product_persist_ms bigint")
     r = J.job_timings(timings).first()
@@ -97,7 +102,7 @@ def test_batches_equal_plain_numbering(spark):
              "PRODUCT" if i % 4 == 0 else "JUNK") for i in range(400)]
     df = spark.createDataFrame(rows, "job_id string, requested_at timestamp, page_id bigint, attempts int, reached boolean, type string")
     got = {(x["job_id"], x["batch"]): (x["pages"], x["requests_so_far"], x["reached_so_far"], x["pairs_so_far"])
-           for x in J.batch_stats(df, 50, 10).collect()}
+           for x in J.batch_stats(df, 50).collect()}
     want = {}
     for job in ("hot", "j"):
         mine = sorted((x for x in rows if x[0] == job), key=lambda x: (x[1] or datetime.min, x[2]))
@@ -133,7 +138,7 @@ def test_stream_catalog_equals_batch(spark):
     assert sorted(r[0] for r in offers.select("offer_id").collect()) == sorted(
         r[0] for r in offer_rows(found).select("offer_id").collect())
     one_site = find_offers(offers, "shop2.example.ro")
-    assert "PartitionFilters: [isnotnull(site" in one_site._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(site), EqualTo(site,shop2.example.ro)" in one_site._jdf.queryExecution().toString()
     f = S.read_frontier(spark, f"{root}/cat")
     assert f.count() == 200 and f.filter("last_job = 'job' and title is not null").count() == 200
     S.compact(spark, f"{root}/cat", f"{root}/compact")
@@ -159,3 +164,39 @@ def test_stream_best_offer_equals_batch(spark):
 def test_read_pages_without_time(spark):
     pages = read_pages(spark, "/root/testdata/sf0.001/pages.parquet")
     assert pages.columns == ["page_id", "url", "html", "retrieved_time"] and pages.filter("retrieved_time is null").count() == 50
+
+
+def test_tables_are_empty_before_and_after_a_crawl_without_products(spark):
+    root = work_folder(spark, "test-empty")
+    assert S.read_books(spark, root).count() == S.read_offers(spark, root).count() == S.read_frontier(spark, root).count() == 0
+    spark.createDataFrame([(1, "https://a.ro/1", "<p>no product</p>", T0)], RAW_PAGES).write.parquet(f"{root}/pages")
+    S.run_catalog_stream(stream_pages(spark, f"{root}/pages"), f"{root}/cat", "job").awaitTermination()
+    assert S.read_books(spark, f"{root}/cat").count() == S.read_offers(spark, f"{root}/cat").count() == 0
+    assert S.read_frontier(spark, f"{root}/cat").count() == 1
+
+
+def test_readers_see_a_batch_in_all_tables_or_in_none(spark):
+    root = work_folder(spark, "test-crash")
+    rows = P.classify(scrape(R.render_shop_pages(spark.read.parquet(PART).limit(30))))
+    rows.write.parquet(f"{root}/scraped")
+    found = observations(spark.read.parquet(f"{root}/scraped"))
+    write_offers(offer_rows(found, "job"), f"{root}/offers", 0)  # the job dies before books are written
+    assert S.read_offers(spark, root).count() == 0 and S.read_books(spark, root).count() == 0
+    for _ in range(2):  # the batch is tried again, and once more delivered under another number
+        write_offers(offer_rows(found, "job"), f"{root}/offers", 0)
+        write_books(merge_books(found), f"{root}/books", 0)
+    write_offers(offer_rows(found, "job"), f"{root}/offers", 1)
+    write_books(merge_books(found), f"{root}/books", 1)
+    commit_batch(spark, root, 0)
+    once = (S.read_offers(spark, root).count(), S.read_books(spark, root).count())
+    commit_batch(spark, root, 1)
+    assert once == (S.read_offers(spark, root).count(), S.read_books(spark, root).count()) == (found.count(), merge_books(found).count())
+
+
+def test_stream_queries_read_folders_of_part_files(spark):
+    sf = work_folder(spark, "test-folders")
+    for name, files in (("part", 3), ("lineitem", 4)):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(files).write.parquet(f"{sf}/{name}.parquet")
+    for name in ("stream_page_types", "stream_best_offer", "stream_catalog"):
+        got = sorted(map(repr, QUERIES[name](spark, sf).collect()))
+        assert got == sorted(map(repr, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
