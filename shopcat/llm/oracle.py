@@ -1,3 +1,58 @@
 """DuckDB SQL with the expected result of the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+# All pairs by cosine, then everything reachable through links.
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pair AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+link AS (SELECT x, y FROM pair UNION ALL SELECT y, x FROM pair),
+reach(id, r) AS (SELECT vec_id, vec_id FROM v
+                 UNION SELECT reach.id, link.y FROM reach JOIN link ON link.x = reach.r),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT id AS vec_id, coalesce(max(n), 0) AS n_links, min(r) AS component_id, min(r) = id AS kept
+FROM reach LEFT JOIN n ON n.x = reach.id GROUP BY id
+"""
+
+# Turn numbers are unique within the given dialogues, and each fits into one part.
+_PERSPECTIVES = """
+WITH t AS (
+  SELECT conv_id, turn, role, replace(text, '<|', '<\\|') || '<|end|>' || chr(10) AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations),
+s AS (
+  SELECT conv_id, perspective, turn, role = perspective AS own, body,
+         CASE WHEN role = perspective THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head
+  FROM t JOIN p USING (conv_id)),
+a AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY turn
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM s)
+SELECT conv_id, perspective, '0' AS part, count(*) AS n_turns,
+       string_agg(head || body, '' ORDER BY turn) AS rendered,
+       coalesce(string_agg(CAST(before + length(head) AS BIGINT) || '-' || CAST(before + length(head) + length(body) AS BIGINT), ' '
+                           ORDER BY turn) FILTER (WHERE own), '') AS mask
+FROM a GROUP BY conv_id, perspective
+"""
+
+# Base32 of the digest: the bits of its hexadecimal digits in groups of five.
+_ARCHIVE = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex,
+             min(page_id) OVER (PARTITION BY html) AS first FROM page),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr(
+        '0000000100100011010001010110011110001001101010111100110111101111',
+        CAST(instr('0123456789abcdef', substr(hex, i, 1)) * 4 - 3 AS BIGINT), 4)), '') AS bits FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+    + 16 * CAST(substr(bits, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(bits, i * 5 + 2, 1) AS INT)
+    + 4 * CAST(substr(bits, i * 5 + 3, 1) AS INT) + 2 * CAST(substr(bits, i * 5 + 4, 1) AS INT)
+    + CAST(substr(bits, i * 5 + 5, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_sorted_passes": _VECTORS,
+    "op4_perspectives": _PERSPECTIVES,
+    "op6_warc": _ARCHIVE,
+}

@@ -33,8 +33,11 @@ def op3_winnowing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_perspectives(spark: SparkSession, sf: str) -> DataFrame:
-    """Every dialogue as each of its participants sees it."""
-    return perspectives.perspectives(table(spark, sf, "conversations"))
+    """Every dialogue as each of its participants sees it; parts and spans as text."""
+    views = perspectives.perspectives(table(spark, sf, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"], s["stop"]))
+    return views.withColumn("part", F.array_join(F.col("part").cast("array<string>"), ".")).withColumn(
+        "mask", F.array_join(spans, " "))
 
 
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
