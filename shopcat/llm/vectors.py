@@ -93,7 +93,10 @@ def _window(least: float, window: int, border: bool):
     def shaped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["a", "b", "pass", "dim", "part", "at", "id", "vector"]
         for frame in run(frames):
-            yield frame.reindex(columns=names).astype({"vector": object})
+            shaped_frame = frame.reindex(columns=names)
+            if "vector" not in frame:
+                shaped_frame["vector"] = None
+            yield shaped_frame
 
     return shaped if border else once
 
