@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shopcat.functions.words import DIACRITICS
 
 
+def built_once(f):
+    """Cache a function that only builds columns of fixed names, for the running session.
+
+    A column is a tree of JVM objects made by one call each, so building the extraction takes longer than
+    planning it; the same trees serve any table.
+    """
+    known: dict = {}
+
+    @wraps(f)
+    def cached(*args):
+        key = (SparkContext._active_spark_context.applicationId, *args)
+        if key not in known:
+            known[key] = f(*args)
+        return known[key]
+
+    return cached
+
+
 def literal_map(entries: dict[str, str]) -> Column:
     """A constant map column."""
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])

@@ -17,7 +17,7 @@ from shopcat.functions.price import (
     STORED, coerce_availability, currency_of, price_value, separators, starts_with_number,
 )
 from shopcat.functions.selectors import is_supported, selected, selector_steps
-from shopcat.functions.text import absolute_url, keywords, let, site_of
+from shopcat.functions.text import absolute_url, built_once, keywords, let, site_of
 from shopcat.operators.joins import BROADCAST_BYTES, fits_broadcast
 from shopcat.sources.html import with_nodes
 
@@ -28,11 +28,16 @@ def _prepare(pages: DataFrame) -> DataFrame:
     parsed = pages if "nodes" in pages.columns else with_nodes(pages)
     if "site" not in parsed.columns:
         parsed = parsed.withColumn("site", site_of(F.col("url")))
-    return parsed.withColumns({
+    return parsed.withColumns(_page_columns())
+
+
+@built_once
+def _page_columns() -> dict[str, Column]:
+    return {
         "canonical_url": canonical_url(F.col("nodes"), F.col("url")),
         "page_title": document_title(F.col("nodes"), F.col("page_text")),
         "isbn_run": X.isbn_text(F.col("page_text")),
-    })
+    }
 
 
 def wrappers_by_domain(wrappers: DataFrame) -> DataFrame:
@@ -100,19 +105,25 @@ def with_wrapper_fields(pages: DataFrame, wrappers: DataFrame, max_bytes: int =
 
 
 def _apply_selectors(joined: DataFrame) -> DataFrame:
+    return joined.withColumns(_wrapper_columns())
+
+
+@built_once
+def _wrapper_columns() -> dict[str, Column]:
     nodes, text, url = F.col("nodes"), F.col("page_text"), F.col("url")
     many = F.try_element_at(F.col("selectors"), F.lit("attributes"))
     single = F.map_filter(F.col("selectors"), lambda k, _: k != "attributes")
-    return joined.withColumns({
+    return {
         "fields": F.transform_values(
             single, lambda _, s: _selector_value(nodes, text, url, s)),
         "selected_texts": F.coalesce(
             F.transform(selected(nodes, many["steps"]), lambda n: node_text(n, text)),
             F.array().cast("array<string>"),
         ),
-    })
+    }
 
 
+@built_once
 def _heuristic_columns(strict_isbn: bool) -> dict[str, Column]:
     nodes, text, attributes = F.col("nodes"), F.col("page_text"), F.col("attributes")
     return {
@@ -128,6 +139,7 @@ def _heuristic_columns(strict_isbn: bool) -> dict[str, Column]:
     }
 
 
+@built_once
 def _selector_columns(strict_isbn: bool) -> dict[str, Column]:
     fields, attributes = F.col("fields"), F.col("attributes")
 
@@ -156,14 +168,26 @@ def _selector_columns(strict_isbn: bool) -> dict[str, Column]:
 
 def assemble(extracted: DataFrame, locale: str = "ro-RO") -> DataFrame:
     """Add ``keywords`` and the ``offer`` struct (null when the tag has no leading number)."""
-    offer_key = ("site", "canonical_url", "retrieved_time", "_stored", "_currency")
-    keyed = extracted.withColumns({
+    keyed = extracted.withColumns(_stored_columns(locale))
+    known = F.col("selector_errors") if "selector_errors" in extracted.columns else F.lit(None).cast("array<string>")
+    done = keyed.withColumn("_selector_errors", known).withColumns(_catalog_columns(locale))
+    return done.drop("_stored", "_currency", "_offer_site", "_selector_errors")
+
+
+@built_once
+def _stored_columns(locale: str) -> dict[str, Column]:
+    return {
         "_stored": F.col("nominal_value").try_cast(STORED),
         "_currency": currency_of(F.lit(locale)),
         "_offer_site": site_of(F.col("canonical_url")),
-    })
+    }
+
+
+@built_once
+def _catalog_columns(locale: str) -> dict[str, Column]:
+    key = ("_offer_site", "canonical_url", "retrieved_time", "_stored", "_currency")
     offer = F.struct(
-        F.xxhash64(*["_offer_site" if c == "site" else c for c in offer_key]).alias("offer_id"),
+        F.xxhash64(*key).alias("offer_id"),
         F.col("_stored").alias("nominal_value"),
         F.col("_currency").alias("currency"),
         F.col("retrieved_time"),
@@ -172,7 +196,7 @@ def assemble(extracted: DataFrame, locale: str = "ro-RO") -> DataFrame:
         F.col("_offer_site").alias("site"),
         F.col("availability"),
     )
-    return keyed.withColumns({
+    return {
         "keywords": keywords(*[F.col(c) for c in ("title", "authors", "isbn", "publisher", "format")]),
         # A page whose address has no host cannot carry an offer; it says so.
         "offer": F.when(F.col("_stored").isNotNull() & F.col("_offer_site").isNotNull(), offer),
@@ -184,10 +208,9 @@ def assemble(extracted: DataFrame, locale: str = "ro-RO") -> DataFrame:
                            F.concat(F.lit("price out of range: "), "price_tag"))),
             F.array(F.when(F.col("nominal_value") != F.col("_stored"),
                            F.concat(F.lit("more than two decimals: "), "price_tag"))),
-            F.coalesce(F.col("selector_errors"), F.array().cast("array<string>"))
-            if "selector_errors" in extracted.columns else F.array().cast("array<string>"),
+            F.coalesce("_selector_errors", F.array().cast("array<string>")),
         )),
-    }).drop("_stored", "_currency", "_offer_site")
+    }
 
 
 def _finish(df: DataFrame, locale: str) -> DataFrame:
@@ -196,10 +219,17 @@ def _finish(df: DataFrame, locale: str) -> DataFrame:
                      "selected_texts", "selector_errors", "parse_error")
 
 
+@built_once
 def _block_texts() -> Column:
     return X.attribute_texts(F.col("nodes"), F.col("page_text"), F.col("isbn_run"))
 
 
+@built_once
+def _stock_phrase() -> Column:
+    return X.stock_phrase(F.col("nodes"), F.col("page_text"))
+
+
+@built_once
 def _value(locale: str, rounding: str = "exact") -> Column:
     return price_value(F.col("price_tag"), rounding, *separators(locale))
 
@@ -209,7 +239,7 @@ def heuristic_books(pages: DataFrame, strict_isbn: bool = False, locale: str = "
     df = _prepare(pages).withColumn("attributes", X.split_attributes(_block_texts()))
     df = df.withColumns({
         **_heuristic_columns(strict_isbn),
-        "stock_phrase": X.stock_phrase(F.col("nodes"), F.col("page_text")),
+        "stock_phrase": _stock_phrase(),
         "strategy": F.lit("heuristic"),
     }).withColumn("nominal_value", _value(locale))
     return _finish(df, locale)
@@ -246,7 +276,7 @@ def scrape(
     df = df.withColumns({
         **{c: F.when(by_selector, selector[c]).otherwise(heuristic[c]) for c in heuristic},
         "stock_phrase": F.when(
-            ~by_selector, X.stock_phrase(F.col("nodes"), F.col("page_text"))),
+            ~by_selector, _stock_phrase()),
     }).withColumn(
         "nominal_value",
         F.when(by_selector, _value(locale, rounding)).otherwise(_value(locale)),
