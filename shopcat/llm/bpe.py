@@ -39,6 +39,8 @@ class Splitter:
         return PLAIN_SPACE.findall(text) if ODD_SPACE.search(text) else text.split()
 
     def words(self, unit: str) -> list[str]:
+        if unit.isascii() and unit.isalpha():
+            return [unit.lower()]
         end = unit[-1:] if unit[-1:] in ".,!?;:" else ""
         core = unit[: len(unit) - len(end)]
         if core.isalpha() and (core.isascii() or (
@@ -53,8 +55,14 @@ class Splitter:
         return out
 
     def encode(self, words: list[str]) -> list[str]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [" ".join(map(str, e.ids)) for e in found]
+        """Ids of each word. Printable ASCII stands for itself in the byte alphabet of the model."""
+        merge, whole, out = self.tokenizer.model.tokenize, self.tokenizer.encode, []
+        for word in words:
+            if word.isascii() and word.isprintable() and "<|" not in word:
+                out.append(" ".join([str(token.id) for token in merge(word)]))
+            else:
+                out.append(" ".join(map(str, whole(word, add_special_tokens=False).ids)))
+        return out
 
 
 def _texts(column: pa.Array) -> list[str]:
