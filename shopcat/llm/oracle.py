@@ -51,8 +51,61 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
+# Every set of up to four tokens of the bad pages is tried as a rule.
+_URLS = r"""
+WITH page AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, url, regexp_extract(rest, '^([^/?#]*)', 1) AS raw_host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM page),
+part AS (
+  SELECT page_id, url, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM split),
+label AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS names FROM part),
+token AS (
+  SELECT DISTINCT page_id, t FROM (
+    SELECT page_id, 'h:' || array_to_string(names[n:], '.') AS t FROM (
+      SELECT page_id, names, unnest(range(1, len(names) + 1)) AS n FROM label)
+    UNION ALL SELECT page_id, 'p:' || regexp_replace(lower(w), '[0-9]+', '0', 'g') FROM (
+      SELECT page_id, unnest(regexp_split_to_array(path, '[/._-]+')) AS w FROM label) WHERE w <> ''
+    UNION ALL SELECT page_id, 'q:' || unnest(regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]+)', 1)) FROM label)),
+mark AS (
+  SELECT doc_id AS page_id, max(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad
+  FROM labels JOIN part ON page_id = doc_id GROUP BY doc_id),
+total AS (SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS bad FROM mark),
+seen AS (SELECT page_id, t, bad FROM token JOIN mark USING (page_id)),
+often AS (
+  SELECT t FROM seen WHERE bad GROUP BY t HAVING count(*) >= greatest(5, (SELECT 0.002 * n FROM total))),
+own AS (SELECT page_id, t, bad FROM seen SEMI JOIN often USING (t)),
+tuple AS (
+  SELECT page_id, bad, [t] AS items FROM own
+  UNION ALL SELECT a.page_id, a.bad, [a.t, b.t] FROM own a JOIN own b ON a.page_id = b.page_id AND a.t < b.t
+  UNION ALL SELECT a.page_id, a.bad, [a.t, b.t, c.t] FROM own a JOIN own b ON a.page_id = b.page_id AND a.t < b.t
+    JOIN own c ON c.page_id = b.page_id AND b.t < c.t
+  UNION ALL SELECT a.page_id, a.bad, [a.t, b.t, c.t, d.t] FROM own a JOIN own b ON a.page_id = b.page_id AND a.t < b.t
+    JOIN own c ON c.page_id = b.page_id AND b.t < c.t JOIN own d ON d.page_id = c.page_id AND c.t < d.t),
+rule AS (
+  SELECT items, count(*) FILTER (WHERE tuple.bad) AS hits, count(*) AS uses FROM tuple GROUP BY items
+  HAVING hits >= greatest(5, (SELECT 0.002 * n FROM total)) AND hits / uses >= 0.5
+    AND hits / uses / (SELECT bad / n FROM total) >= 1.5),
+blocked AS (
+  SELECT DISTINCT page_id FROM (
+    SELECT page_id, items FROM (SELECT items, unnest(items) AS t FROM rule) JOIN token USING (t)
+    GROUP BY page_id, items HAVING count(*) = len(items))),
+verdict AS (
+  SELECT part.*, blocked.page_id IS NOT NULL AS mined,
+    CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM part LEFT JOIN blocked ON blocked.page_id = part.page_id)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, mined,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN mined THEN 'block' ELSE 'allow' END AS verdict
+FROM verdict
+"""
+
 ORACLE: dict[str, str] = {
     "op1_sorted_passes": _VECTORS,
     "op4_perspectives": _PERSPECTIVES,
     "op6_warc": _ARCHIVE,
+    "op9_url_rules": _URLS,
 }

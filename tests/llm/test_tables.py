@@ -202,7 +202,7 @@ def test_mined_rules_equal_brute_force(spark):
     for tokens in {frozenset(c) for d in bad for k in range(1, 5) for c in itertools.combinations(sorted(items[d]), k)}:
         rows = [d for d in bad if tokens <= items[d]]
         hits = sum(bad[d] for d in rows)
-        if hits / n >= 0.02 and hits / len(rows) >= 0.5 and hits / len(rows) / rate >= urlrules.LIFT:
+        if hits >= urlrules.LEAST and hits / n >= 0.02 and hits / len(rows) >= 0.5 and hits / len(rows) / rate >= urlrules.LIFT:
             rules.add(tokens)
     want = {i for i, t in items.items() if any(x <= t for x in rules)}
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
