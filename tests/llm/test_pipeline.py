@@ -1,11 +1,14 @@
 """The pipeline as a whole, and the queries' registration."""
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline
 from shopcat.llm import mixing, resample, toxicity
+from shopcat.llm.oracle import ORACLE
+from tests.compare import oracle_rows, spark_rows
 from tests.llm.test_pairs import brute_groups
 
 SF = "/root/testdata/sf0.001"
@@ -17,6 +20,11 @@ def test_stages_and_names():
     assert len(corpus_pipeline.STAGES) == 5
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_oracle(spark, name):
+    assert spark_rows(spark, name, SF) == oracle_rows(name, SF)
+
+
 def test_pipeline_equals_its_parts_by_hand(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
