@@ -10,7 +10,7 @@ from shopcat.llm.common import WORD, written
 
 MOST = 3  # copies of a document at most
 ROUNDS, CLOSE = 50, 1e-9  # Newton steps at most; relative error of every target at which they stop
-BUCKET = 4096  # documents of one size and source that one window ranks
+BUCKET = 256  # documents of one size and source that one window ranks
 
 
 def size_of(text: Column) -> Column:
