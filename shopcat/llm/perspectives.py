@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopcat.llm.common import written
+
 TURNS = 256  # turn numbers of one rendered part
 ROWS = 1024  # turns of one rendered part, where many turns share a number
+BROADCAST_ROWS = 500_000
 ASSISTANT, USER = "assistant", "user"
 
 
@@ -15,6 +18,12 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|"))
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table that is broadcast if its rows, of a few dozen bytes each, are few enough."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def perspectives(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role",
     text: str = "text", turns_per_part: int = TURNS, rows_per_part: int = ROWS,
@@ -41,30 +50,37 @@ def perspectives(
         F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("speaker"),
         _escaped(F.col(text)).alias("text"),
     )
-    # A repeated row is one row with a number, so that a very frequent row is small until rendered.
-    counted = named.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("times")).select(
+    keyed = named.select(
         "*", F.struct("conv_id").alias("key"), (F.col("turn") - F.pmod("turn", F.lit(turns_per_part))).alias("block"),
         F.shiftrightunsigned(F.xxhash64("speaker", "text"), 1).alias("hash"))
-    # At most one row for each ``rows_per_part`` turns.
-    crowded = counted.groupBy("key", "block").agg(F.sum("times").alias("n")).where(
+    # What is too large for one part is found without moving texts: at most one row for each
+    # ``rows_per_part`` turns, in each of the three tables.
+    crowded = keyed.groupBy("key", "block").agg(F.count("*").alias("n")).where(
         F.col("n") > rows_per_part).select("key", "block", F.lit(True).alias("split"))
-    busy = counted.where(F.col("times") <= rows_per_part).groupBy("key", "turn").agg(
-        F.sum("times").alias("rows")).where(F.col("rows") > rows_per_part)
+    equal = keyed.groupBy("key", "turn", "hash").agg(F.count("*").alias("n"))
+    repeated = _small(equal.where(F.col("n") > rows_per_part), "repeated")
+    busy = equal.where(F.col("n") <= rows_per_part).groupBy("key", "turn").agg(
+        F.sum("n").alias("rows")).where(F.col("rows") > rows_per_part)
     slices = F.ceil(F.coalesce("rows", F.lit(1)) / rows_per_part)
-    often = F.col("times") > rows_per_part
-    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / rows_per_part))
-    placed = (
-        counted.join(crowded, ["key", "block"], "left").join(busy, ["key", "turn"], "left")
-        .withColumn("run", F.explode(F.when(often, runs).otherwise(F.array(F.lit(0).cast("long")))))
-        .withColumn("times", F.when(often, F.least(
-            F.lit(rows_per_part), F.col("times") - F.col("run") * rows_per_part)).otherwise(F.col("times")))
-        .withColumn("part", F.when(F.col("split").isNull(), F.array("block")).otherwise(
-            F.array(F.col("turn"), F.when(often, 1).otherwise(0).cast("long"),
-                    F.when(often, F.col("hash")).otherwise(
-                        F.floor(F.col("hash") / F.pow(F.lit(2.0), F.lit(63)) * slices)), F.col("run"))))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    cut = F.array("turn", zero, F.floor(F.col("hash") / F.pow(F.lit(2.0), F.lit(63)) * slices), zero)
+    single = (
+        keyed.join(_small(crowded, "crowded"), ["key", "block"], "left").join(_small(busy, "busy"), ["key", "turn"], "left")
+        .join(repeated.select("key", "turn", "hash", "n"), ["key", "turn", "hash"], "left").where("n IS NULL")
+        .select("key", F.when(F.col("split").isNull(), F.array("block")).otherwise(cut).alias("part"),
+                "turn", "hash", "speaker", "text", one.alias("times"))
+    )
+    # A row that is repeated more often than a part is long is moved once, with its number.
+    runs = F.sequence(zero, F.floor((F.col("n") - 1) / rows_per_part))
+    often = (
+        keyed.join(repeated, ["key", "turn", "hash"]).groupBy("key", "turn", "hash").agg(
+            F.first("n").alias("n"), F.min("speaker").alias("speaker"), F.min("text").alias("text"))
+        .withColumn("run", F.explode(runs))
+        .select("key", F.array("turn", one, "hash", "run").alias("part"), "turn", "hash", "speaker", "text",
+                F.least(F.lit(rows_per_part).cast("long"), F.col("n") - F.col("run") * rows_per_part).alias("times"))
     )
-    people = counted.select("key", F.col("speaker").alias("perspective")).distinct()
-    parts = placed.groupBy("key", "part").agg(F.sort_array(F.collect_list(
+    people = keyed.select("key", F.col("speaker").alias("perspective")).distinct()
+    parts = single.union(often).groupBy("key", "part").agg(F.sort_array(F.collect_list(
         F.struct("turn", "hash", "speaker", "text", "times"))).alias("turns"))
     views = parts.join(people, "key").select(F.col("key.conv_id").alias("conv_id"), "perspective", "part", "turns")
 
