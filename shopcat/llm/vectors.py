@@ -13,31 +13,81 @@ from pyspark.sql import functions as F
 from shopcat.llm.common import stars, written
 from shopcat.llm.components import components
 
-PASSES = 20  # sorted orders; a pair is missed only if it is far apart in all of them
+PASSES = 20  # sorted orders at least; a pair is missed only if it is far apart in all of them
+MISSED = 0.001  # share of pairs at the linking angle that may be far apart in all orders
+SAMPLE = 1000  # vectors by which the number of orders is planned
 WINDOW = 32  # following neighbours that a vector is compared with in each order
-HASHES = 5  # random hashes in a sort key, 7 bits each
+HASHES = 8  # random hashes in a sort key, 7 bits each
 RINGS = 64  # rings of the angle to a group's centre that make up the linking angle
 BLOCK = 512  # vectors of a ring that are compared as one block
 AXES = 64
 
 
+def _codes(x: np.ndarray, p: int, h: int, seed: int) -> np.ndarray:
+    """Hash ``h`` of order ``p``: the nearest of 2 * 64 directions of a random projection (cross-polytope)."""
+    axes = np.random.default_rng((seed, p, h, x.shape[1])).standard_normal((x.shape[1], AXES))
+    y = x @ axes
+    top = np.abs(y).argmax(axis=1)
+    return 2 * top + (y[np.arange(len(y)), top] < 0)
+
+
 def sort_keys(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
     """(rows, passes) sort keys: each is ``HASHES`` random hashes, one after the other.
 
-    A hash is the nearest of 2 * 64 directions of a random projection (cross-polytope), so vectors
-    with a small angle share it more often than as many hyperplane signs.
+    Vectors with a small angle share a hash more often than as many hyperplane signs.
     """
     keys = np.zeros((len(x), passes), np.int64)
     for p in range(passes):
         for h in range(HASHES):
-            axes = np.random.default_rng((seed, p, h, x.shape[1])).standard_normal((x.shape[1], AXES))
-            y = x @ axes
-            top = np.abs(y).argmax(axis=1)
-            code = 2 * top + (y[np.arange(len(y)), top] < 0)
-            keys[:, p] = keys[:, p] * (2 * AXES) + code
+            keys[:, p] = keys[:, p] * (2 * AXES) + _codes(x, p, h, seed)
     return keys
 
 
+def planned_passes(x: np.ndarray, rows: int, least: float, window: int, seed: int) -> int:
+    """Orders after which a pair of cosine ``least`` is missed with probability ``MISSED``, for ``rows`` vectors like ``x``.
+
+    A pair meets in an order if the rows that share its equal prefix of hashes fit into the window. Each
+    vector of the sample gets a partner of that cosine; how often a hash is equal is counted for the partner and
+    for the rest of the sample, whose powers give the rows that share longer prefixes. So more rows
+    and crowded directions get more orders. The mean is taken over the worst tenth of the sample.
+    Vectors that link with a vector themselves don't count: they are in its group.
+    """
+    x = _unit(x.astype(float))
+    if len(x) < 2 or x.shape[1] < 2:
+        return PASSES
+    side = np.random.default_rng(seed).standard_normal(x.shape)
+    side = side - np.einsum("ij,ij->i", side, x)[:, None] * x
+    partner = least * x + math.sqrt(max(0.0, 1 - least * least)) * _unit(side)
+    same, met, tries = np.zeros((len(x), len(x)), np.float32), np.zeros(len(x)), PASSES * HASHES
+    for p in range(PASSES):
+        for h in range(HASHES):
+            own = _codes(x, p, h, seed)
+            same += own[:, None] == own
+            met += own == _codes(partner, p, h, seed)
+    equal, met = same / tries, np.maximum(met, 1) / tries
+    equal[x @ x.T >= least] = 0
+    meets = np.zeros(len(x))
+    for k in range(1, HASHES + 1):
+        between = rows * (equal ** k).mean(axis=1)
+        exactly = met ** k * (1 - met if k < HASHES else 1)
+        meets += exactly * np.minimum(1, window / np.maximum(between, 1e-9))
+    meets = np.sort(np.minimum(meets, 1 - 1e-9))[: max(1, len(x) // 10)]
+    passes = PASSES
+    while ((1 - meets) ** passes).mean() > MISSED:
+        passes = math.ceil(passes * 1.1)
+    return passes
+
+
+def _planned(classes: DataFrame, least: float, window: int, seed: int) -> int:
+    """The most orders that any vector length needs."""
+    passes = PASSES
+    for row in classes.groupBy("dim").count().collect():
+        sample = classes.where(F.col("dim") == row["dim"]).orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()
+        x = np.array([r["vector"] for r in sample], float)
+        passes = max(passes, planned_passes(x, row["count"], least, window, seed))
+    return passes
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -201,12 +251,13 @@ def _link_counts(members: DataFrame, least: float) -> DataFrame:
 
 def near_vectors(
     table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9,
-    passes: int = PASSES, window: int = WINDOW, seed: int = 7,
+    passes: int | None = None, window: int = WINDOW, seed: int = 7,
 ) -> DataFrame:
     """(id, n_links, component_id, kept): groups of vectors with cosine >= ``least``.
 
     Vectors are compared in double precision. In each of ``passes`` orders by random keys, a vector
-    is compared with ``window`` neighbours; verified pairs are united across orders. Equal vectors
+    is compared with ``window`` neighbours; verified pairs are united across orders. Without
+    ``passes``, their number follows the rows and their density (:func:`planned_passes`). Equal vectors
     are one node. Within the groups found, link counts are exact.
 
     Null, zero or non-finite vectors and rows with a null id link with nothing; vectors of
@@ -223,6 +274,8 @@ def near_vectors(
         keyed.where("ok").groupBy("class").agg(
             F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
         .withColumn("dim", F.size("vector")), "classes")
+    if passes is None:
+        passes = _planned(classes, least, window, seed)
     groups = written(components(links(
         classes.select("id", "dim", "vector"), least, passes, window, seed)), "groups")
     grouped = groups.select(F.col("component").alias("id"), "component").distinct().union(

@@ -178,3 +178,31 @@ def test_one_document_of_each_group_stays(spark):
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
+
+
+def cone(n, cosine, pairs, dim=64):
+    """Vectors with one mutual cosine, and ``pairs`` of them that have a partner of cosine 0.905."""
+    rng = np.random.default_rng(1)
+    centre = np.eye(dim)[0]
+    side = rng.standard_normal((n, dim)) * (1 - centre)
+    x = math.sqrt(cosine) * centre + math.sqrt(1 - cosine) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    away = rng.standard_normal((pairs, dim)) * (1 - centre)
+    away -= np.einsum("ij,ij->i", away, x[:pairs])[:, None] * x[:pairs]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    return np.concatenate([x, 0.905 * x[:pairs] + math.sqrt(1 - 0.905 ** 2) * away])
+
+
+def test_lone_pairs_in_a_cone_meet(spark):
+    x = cone(4000, 0.75, 150)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = np.argwhere(np.triu(x @ x.T >= 0.9, 1))
+    root = groups(range(len(x)), near.tolist())
+    got = {r["id"]: r["component_id"] for r in vectors.near_vectors(df).collect()}
+    assert sum(got[i] != c for i, c in root.items()) == 0
+
+
+def test_orders_follow_rows_and_density():
+    x = np.random.default_rng(3).standard_normal((300, 64))
+    few, many = (vectors.planned_passes(x, n, 0.9, 32, 7) for n in (1000, 10_000_000))
+    assert few == vectors.PASSES < many
+    assert vectors.planned_passes(cone(300, 0.7, 0), 10_000, 0.9, 32, 7) > vectors.planned_passes(x, 10_000, 0.9, 32, 7)
