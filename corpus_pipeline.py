@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopcat.llm import bpe, mixing, neardup, resample, toxicity
+from shopcat.llm import bpe, mixing, resample, simhash, toxicity
 from shopcat.llm.common import table, written
 from shopcat.llm.queries import TOKENIZER
 
@@ -25,8 +25,8 @@ def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group with a 5-word Jaccard similarity of 0.8 or more."""
-    return neardup.deduplicate(docs)
+    """Keep one document of each group of fingerprints that differ in 3 bits or fewer, over 3-word shingles."""
+    return simhash.deduplicate(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
