@@ -103,9 +103,69 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, mi
 FROM verdict
 """
 
+# crc32 by its bits: a list of steps, each a byte to mix in or (-1) a shift. Rebuilt conversations, their prefixes and,
+# for each node, the nodes above it are spelled out as lists of turns.
+_TRIE = """
+WITH t AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(said ORDER BY place) AS l FROM t GROUP BY conv_id),
+c AS (
+  SELECT conv_id, l, conv_id - conv_id % 5 AS base, xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''), lambda d: [ascii(d), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295) % 9 AS h
+  FROM own),
+re AS (
+  SELECT c.conv_id, list_concat(coalesce(b.l[1:h], []), c.l[h + 1:]) AS l FROM c LEFT JOIN own b ON b.conv_id = c.base),
+member AS (SELECT conv_id, d, l[1:d] AS node, d = len(l) AS ends FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM re)),
+node AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM member GROUP BY node, d),
+child AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+fact AS (
+  SELECT node, d, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(node[d].text)) END AS saved,
+         CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM node LEFT JOIN child USING (node)),
+under AS (
+  SELECT node[1:k] AS node, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT node, leaf, saved, unnest(range(0, d + 1)) AS k FROM fact) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens, n.ends_sha256
+FROM node n JOIN under u ON u.node = n.node LEFT JOIN child c ON c.node = n.node
+LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.node = n.node[1:n.d - 1]
+"""
+
+# Every run of as many words as a window has is compared with every window.
+_LEAKS = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, w[k:k + 9] AS x
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM item WHERE len(w) > 0)),
+size AS (SELECT DISTINCT len(x) AS n FROM win),
+run AS (SELECT doc_id, k, n, w[k:k + n - 1] AS x FROM (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM doc, size)),
+hit AS (SELECT doc_id, item_id, k, n FROM run JOIN win USING (x)),
+word AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS at FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_sorted_passes": _VECTORS,
     "op4_perspectives": _PERSPECTIVES,
     "op6_warc": _ARCHIVE,
     "op9_url_rules": _URLS,
+    "op12_prefix_trie": _TRIE,
+    "op13_decontamination": _LEAKS,
 }

@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopcat.llm import bpe, mixing, perspectives, resample, simhash, toxicity, urlrules, vectors, warc, winnow
+from shopcat.llm import (
+    align, bpe, decontaminate, mixing, perspectives, resample, simhash, toxicity, trie, urlrules, vectors, warc, winnow)
 from shopcat.llm.common import table, written
 from shopcat.session import work_folder
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_sorted_passes(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,6 +85,25 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("score") >= toxicity.PREDICTED).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a byte-level BPE and a sentencepiece model cut every document at the same byte."""
+    return align.alignment(
+        table(spark, sf, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations, one row per node."""
+    return trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words of every document stand in runs that benchmark items have too, and in which items."""
+    hits = decontaminate.decontaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return hits.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sorted_passes, op2_bpe, op3_winnowing, op4_perspectives, op5_mixing, op6_warc, op7_simhash,
-    op8_resampling, op9_url_rules, op10_toxicity)}
+    op8_resampling, op9_url_rules, op10_toxicity, op11_alignment, op12_prefix_trie, op13_decontamination)}

@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group: the row with the smallest ``doc_id``.
 
-    Of rows that repeat this id one stays; of a group whose ids are all null, one row stays.
+    Of rows that repeat this id one stays; of a group whose ids are all null, one row stays. All columns are kept,
+    whatever their names.
     """
     groups = near_duplicates(docs)
     keep = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()
@@ -208,10 +209,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     if nameless.isEmpty():
         return kept
     lost = groups.where("component_id IS NULL").select("fingerprint").distinct()
-    prints = nameless.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_hash"])
-    own = fingerprints(prints, "_hash").join(lost, "fingerprint", "left_semi")
-    one = components_of_nameless(own)
-    return kept.unionByName(prints.join(one, "_hash", "left_semi").drop("_hash"))
+    key = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    prints = nameless.withColumn(key, F.xxhash64("text")).dropDuplicates([key])
+    own = fingerprints(prints, key).join(lost, "fingerprint", "left_semi")
+    one = components_of_nameless(own).withColumnRenamed("_hash", key)
+    return kept.unionByName(prints.join(one, key, "left_semi").drop(key))
 
 
 def components_of_nameless(own: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def test_one_document_of_each_group_stays(spark):
     texts = edited_texts(7, 20) + ["", None]
     rows = [(i, t, "en") for i, t in enumerate(texts)] + [(2, texts[2], "en"), (None, "only here is this text", "de"),
                                                          (None, "only here is this text", "de"), (None, texts[0], "fr")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hash string")
     got = sorted((tuple(r) for r in simhash.deduplicate(df).collect()), key=repr)
     keep = {c for _, _, c in brute_groups([r[:2] for r in rows]) if c is not None}
     assert got == sorted([r for r in rows[: len(texts)] if r[0] in keep] + [(None, "only here is this text", "de")], key=repr)

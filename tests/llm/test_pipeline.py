@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_and_names():
     names = E.queries().keys()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
