@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import os
+import re
 import uuid
 from collections.abc import Iterator
-from functools import cached_property
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +22,11 @@ from tokenizers import Tokenizer
 from shopcat.llm.common import discard, written
 
 CHUNK = 4 << 20  # characters of text whose links are counted together before the shuffle
+KNOWN = 400_000  # units whose alignment a Python worker remembers
 SPACE_MARK = "▁"  # stands for a space in sentencepiece pieces
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
 
 def byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for.
@@ -39,10 +46,20 @@ def _whole(data: bytes) -> bool:
         return False
 
 
+class Unit(NamedTuple):
+    """A unit of text as both tokenizers see it, behind a space."""
+
+    n_a: int
+    n_b: int
+    groups: str  # a1,a2|b1;a3|b2,b3
+    links: tuple[int, ...]  # id of A times the size of B's vocabulary, plus id of B, at each common cut
+
+
 class Aligner:
     """Both tokenizers, with the bytes of each of their ids. Made once per Python worker."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -52,79 +69,125 @@ class Aligner:
         size = self.a.get_vocab_size(with_added_tokens=True)
         names = [added[i].content.encode() if i in added else
                  bytes(alphabet[c] for c in self.a.id_to_token(i) or "") for i in range(size)]
-        self.bytes_a, self.length_a, self.firm_a = names, self._lengths(names), np.array([_whole(n) for n in names])
-        self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.length_b = self._lengths(self.bytes_b)
-        self.firm_b = np.array([not self.b.is_byte(i) for i in range(len(self.bytes_b))])
+        self.bytes_a, self.length_a, self.firm_a = names, self.lengths(names), np.array([_whole(n) for n in names])
+        self.width = self.b.get_piece_size()
+        self.bytes_b = [self._piece(i) for i in range(self.width)]
+        self.length_b = self.lengths(self.bytes_b)
+        self.firm_b = np.array([not self.b.is_byte(i) for i in range(self.width)])
         self.text_a, self.text_b = ([str(i) for i in range(len(n))] for n in (self.bytes_a, self.bytes_b))
+        self.cuttable = self._cuttable(json.loads(self.a.to_str()))
+        self.known: dict[str, Unit | None] = {}
 
     @staticmethod
-    def _lengths(names: list[bytes]) -> np.ndarray:
+    def lengths(names: list[bytes]) -> np.ndarray:
         return np.fromiter(map(len, names), np.int64, len(names))
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_MARK, " ").encode()
 
-    def spans(self, text: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray] | None:
-        """(ids of A, byte ends of A, ids of B, byte ends of B) over space + text.
+    def _cuttable(self, model: dict) -> bool:
+        """Whether both tokenizers always cut before a lone space between two words.
 
-        None if the bytes of the tokens of A or of B, put together, aren't those of space + text. The ends of
-        tokens of whole characters come from the tokenizers' own spans. A token that ends inside a
-        character, a byte token, and one that ends in a space continue from the last such end by their bytes.
+        True for byte-level BPE on the usual pattern without normalizer and without added words, and for
+        pieces that hold no space but in front. Then the tokens between two such cuts don't depend on the rest.
         """
-        data = (" " + text).encode()
-        code = self.a.encode(" " + text, add_special_tokens=False)
-        ids_a, pieces = code.ids, self.b.encode(text, return_type="proto").pieces
-        ids_b = [p.id for p in pieces]
-        if b"".join([self.bytes_a[i] for i in ids_a]) != data or b"".join([self.bytes_b[i] for i in ids_b]) != data:
-            return None
-        ends_a = np.fromiter((end for _, end in code.offsets), np.int64, len(ids_a))
-        if len(data) > len(text) + 1:
-            raw = np.frombuffer(data, np.uint8)
-            starts = np.flatnonzero((raw & 0xC0) != 0x80)
-            ends_a = np.append(starts, len(data))[ends_a]
-        ends_b = np.fromiter((p.end for p in pieces), np.int64, len(ids_b)) + 1
-        at_a, at_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        return (ids_a, _refined(ends_a, self.firm_a[at_a], self.length_a[at_a]),
-                ids_b, _refined(ends_b, self.firm_b[at_b], self.length_b[at_b]))
-
-    def aligned(self, text: str | None) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
-        """(ids of A, ids of B, tokens of A up to each common cut, tokens of B up to it)."""
-        found = self.spans(text) if text else None
-        if not found:
-            return [], [], np.empty(0, np.int64), np.empty(0, np.int64)
-        ids_a, ends_a, ids_b, ends_b = found
+        split = model["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        return bool(plain and not model["normalizer"] and all(t["special"] for t in model["added_tokens"]) and not any(
+            SPACE_MARK in self.b.id_to_piece(i).lstrip(SPACE_MARK) for i in range(self.width)))
+
+    def units(self, texts: list[str | None]) -> list[list[str]]:
+        """Each text in parts, each of which stands behind a space at which both tokenizers cut."""
+        if not self.cuttable:
+            return [[t] if t else [] for t in texts]
+        split = [t.split(" ") if t else [] for t in texts]
+        edges = {u for u in set(chain.from_iterable(split)) if not u or u[0].isspace() or u[-1].isspace()}
+        # Such parts show a space beside another white space, or at an end of the text.
+        return split if not edges else [own if edges.isdisjoint(own) else _CUT.split(t) for own, t in zip(split, texts)]
+
+    def align(self, units: list[str]) -> list[Unit | None]:
+        """Both tokenizers' tokens of each unit and their common cuts; None where a tokenizer loses bytes."""
+        data = [(" " + u).encode() for u in units]
+        codes = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
+        spans = [p.pieces for p in self.b.encode(units, return_type="proto", num_threads=1)]
+        lists_a, lists_b = [c.ids for c in codes], [[p.id for p in own] for own in spans]
+        bad = [k for k, own in enumerate(data) if b"".join([self.bytes_a[i] for i in lists_a[k]]) != own
+               or b"".join([self.bytes_b[i] for i in lists_b[k]]) != own]
+        if bad:
+            good = sorted(set(range(len(units))).difference(bad))
+            rest = dict(zip(good, self.align([units[k] for k in good]))) if good else {}
+            return [rest.get(k) for k in range(len(units))]
+        size_a, size_b = self.lengths(lists_a), self.lengths(lists_b)
+        ids_a, ids_b = _flat(lists_a), _flat(lists_b)
+        # All units stand one after the other, each from its own byte on.
+        start = np.concatenate([[0], np.cumsum(self.lengths(data))])[:-1]
+        ends_a = self._ends_a(data, codes, ids_a, size_a) + np.repeat(start, size_a)
+        ends_b = self._ends_b(spans, ids_b, size_b) + np.repeat(start, size_b)
         _, cut_a, cut_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        return ids_a, ids_b, cut_a + 1, cut_b + 1
-
-    def groups(self, ids_a: list[int], ids_b: list[int], cut_a: np.ndarray, cut_b: np.ndarray) -> str:
-        """The groups as text: ``a1,a2|b1;a3|b2,b3``."""
-        out, names_a, names_b = [], [self.text_a[i] for i in ids_a], [self.text_b[i] for i in ids_b]
-        from_a = from_b = 0
-        for to_a, to_b in zip(cut_a.tolist(), cut_b.tolist()):
+        owner = np.repeat(np.arange(len(units)), size_a)[cut_a]
+        links = (ids_a[cut_a] * self.width + ids_b[cut_b]).tolist()
+        at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(units)))]).tolist()
+        texts = self._groups(ids_a, ids_b, cut_a, cut_b, owner)
+        return [Unit(int(a), int(b), ";".join(texts[at[k]:at[k + 1]]), tuple(links[at[k]:at[k + 1]]))
+                for k, (a, b) in enumerate(zip(size_a, size_b))]
+
+    def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, owner: np.ndarray) -> list[str]:
+        """The text of each group, for groups in a row."""
+        names_a, names_b = [self.text_a[i] for i in ids_a.tolist()], [self.text_b[i] for i in ids_b.tolist()]
+        out, from_a, from_b = [], 0, 0
+        for to_a, to_b in zip((cut_a + 1).tolist(), (cut_b + 1).tolist()):
             left = names_a[from_a] if to_a - from_a == 1 else ",".join(names_a[from_a:to_a])
             right = names_b[from_b] if to_b - from_b == 1 else ",".join(names_b[from_b:to_b])
             out.append(left + "|" + right)
             from_a, from_b = to_a, to_b
-        return ";".join(out)
-
-    @cached_property
-    def width(self) -> int:
-        return len(self.bytes_b)
-
-    def pairs(self, ids_a: list[int], ids_b: list[int], cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
-        """Each link as one number: id of A times the size of B's vocabulary, plus id of B."""
-        return np.array(ids_a, np.int64)[cut_a - 1] * self.width + np.array(ids_b, np.int64)[cut_b - 1]
-
-
-def _refined(ends: np.ndarray, firm: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The ends of firm tokens as they are; other tokens end their own length after the one before."""
-    if firm.all():
+        return out
+
+    def _ends_a(self, data: list[bytes], codes: list, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Byte ends within each unit, from the library's character offsets; see :func:`_refined`."""
+        ends = np.fromiter((end for c in codes for _, end in c.offsets), np.int64, len(ids))
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)
+        if len(starts) < len(raw):
+            # Characters are counted through all units, and so are bytes.
+            chars = np.fromiter((len(d.decode()) for d in data), np.int64, len(data))
+            first = np.concatenate([[0], np.cumsum(chars)])[:-1]
+            begin = np.concatenate([[0], np.cumsum(self.lengths(data))])[:-1]
+            ends = np.append(starts, len(raw))[ends + np.repeat(first, sizes)] - np.repeat(begin, sizes)
+        return _refined(ends, ids, sizes, self.firm_a, self.length_a)
+
+    def _ends_b(self, spans: list, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Byte ends within each unit, from the spans of the pieces, which leave out the first space."""
+        ends = np.fromiter((p.end for own in spans for p in own), np.int64, len(ids)) + 1
+        return _refined(ends, ids, sizes, self.firm_b, self.length_b)
+
+    def look_up(self, units: list[str]) -> list[Unit | None]:
+        """The alignment of distinct units, remembered for later texts."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = [u for u in units if u not in self.known]
+        self.known.update(zip(new, self.align(new)))
+        return [self.known[u] for u in units]
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+
+
+def _refined(ends: np.ndarray, ids: np.ndarray, sizes: np.ndarray, firm: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ends of firm tokens as they are, in units of ``sizes`` tokens.
+
+    A token that ends inside a character, a byte token, and one that ends in a space continue from the last
+    firm end of the unit, or from its start, by the bytes of the tokens since, as spans can't tell where these end.
+    """
+    sure = firm[ids]
+    if sure.all():
         return ends
-    total = np.cumsum(lengths)
-    last = np.maximum.accumulate(np.where(firm, np.arange(len(ends)), -1))
-    return np.where(last >= 0, ends[last] - total[last], 0) + total
+    total = np.cumsum(lengths[ids])
+    first = np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
+    last = np.maximum.accumulate(np.where(sure, np.arange(len(ids)), -1))
+    begin = np.where(first > 0, total[first - 1], 0)
+    return np.where(last >= first, ends[last] - total[last], -begin) + total
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -150,43 +213,64 @@ def groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
         both = aligner(path_a, path_b)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids_a, ids_b, cut_a, cut_b = both.aligned(batch.column(1)[k].as_py())
-                out, start, from_a, from_b = [], 0, 0, 0
-                for to_a, to_b in zip(cut_a.tolist(), cut_b.tolist()):
-                    stop = start + int(both.length_a[ids_a[from_a:to_a]].sum())
-                    out.append({"start": start, "stop": stop, "a": ids_a[from_a:to_a], "b": ids_b[from_b:to_b]})
-                    start, from_a, from_b = stop, to_a, to_b
+                text, out, start = batch.column(1)[k].as_py(), [], 0
+                units = both.units([text])[0]
+                known = dict(zip(u := list(dict.fromkeys(units)), both.look_up(u)))
+                for unit in [known[u] for u in units] if all(known.values()) else []:
+                    for group in unit.groups.split(";"):
+                        a, b = ([int(i) for i in side.split(",")] for side in group.split("|"))
+                        stop = start + int(both.length_a[a].sum())
+                        out.append({"start": start, "stop": stop, "a": a, "b": b})
+                        start = stop
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k:k + 1], pa.array([out], kind)], ["id", "groups"])
 
     return rows.mapInArrow(
         run, f"id {dict(rows.dtypes)['id']}, groups array<struct<start: long, stop: long, a: array<int>, b: array<int>>>")
 
 
-_DOC = ["id", "n_a", "n_b", "groups_sha256", "pairs", "times"]
-
-
-def _chunk(both: Aligner, ids: list, texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(a packed table of the texts' groups and links, distinct links of all, how often each)."""
-    rows: list[list] = [[] for _ in _DOC]
-    for id_, text in zip(ids, texts):
-        found = both.aligned(text)
-        pairs, times = np.unique(both.pairs(*found), return_counts=True)
-        sha = hashlib.sha256(both.groups(*found).encode()).hexdigest() if found[0] else ""
-        for column, value in zip(rows, (id_, len(found[0]), len(found[1]), sha, pairs, times)):
-            column.append(value)
-    table = json.dumps([rows[0], rows[1], rows[2], rows[3], [len(p) for p in rows[4]]]).encode()
-    flat, count = np.concatenate(rows[4]), np.concatenate(rows[5]).astype(np.int64)
-    distinct, at = np.unique(flat, return_inverse=True)
-    # Links are kept as places in the chunk's list of distinct links: half the size, and no later search.
-    body = b"".join([len(table).to_bytes(8, "little"), table, at.astype("<u4").tobytes(), count.astype("<u4").tobytes()])
-    return (pa.compress(body, "zstd", asbytes=True), len(body)), distinct, np.bincount(at, count, len(distinct)).astype(np.int64)
+def _chunk(both: Aligner, ids: list, texts: list[str | None]) -> tuple[bytes, int, np.ndarray, np.ndarray]:
+    """(the texts' results, packed, and the size unpacked; distinct links of all; how often each)."""
+    split = both.units(texts)
+    units = list(dict.fromkeys(chain.from_iterable(split)))
+    found = both.look_up(units)
+    place = dict(zip(units, range(len(units))))
+    names = {u: f.groups for u, f in zip(units, found) if f}
+    lost = place.keys() - names.keys()
+    n_a, n_b = (np.array([f[k] if f else 0 for f in found], np.int64) for k in (0, 1))
+    rows, uses = [], []
+    for id_, own in zip(ids, split):
+        if lost and not lost.isdisjoint(own):
+            own = []
+        at = np.fromiter(map(place.__getitem__, own), "<u4", len(own))
+        sha = hashlib.sha256(";".join(map(names.__getitem__, own)).encode()).hexdigest() if own else ""
+        rows.append((id_, int(n_a[at].sum()), int(n_b[at].sum()), sha, len(own)))
+        uses.append(at)
+    flat = np.concatenate(uses) if uses else np.empty(0, "<u4")
+    own = [f.links if f else () for f in found]
+    sizes, links = Aligner.lengths(own).astype("<u4"), _flat(own)
+    distinct, at = np.unique(links, return_inverse=True)
+    times = np.repeat(np.bincount(flat, minlength=len(units)), sizes)
+    head = json.dumps([list(zip(*rows)), len(units), len(at)]).encode()
+    # Links are kept as places in the chunk's list of distinct links, and texts as places in the list of units.
+    body = b"".join([len(head).to_bytes(8, "little"), head, sizes.tobytes(), at.astype("<u4").tobytes(), flat.tobytes()])
+    total = np.bincount(at, times, len(distinct)).astype(np.int64)
+    return pa.compress(body, "zstd", asbytes=True), len(body), distinct, total
+
+
+def _open(body: bytes, size: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(columns of the texts, links of each unit, the units' links as places, the texts' units as places)."""
+    raw = pa.decompress(body, size, "zstd", asbytes=True)
+    start = 8 + int.from_bytes(raw[:8], "little")
+    rows, units, links = json.loads(raw[8:start])
+    numbers = np.frombuffer(raw[start:], "<u4")
+    return rows, numbers[:units], numbers[units:units + links], numbers[units + links:]
 
 
-def _open(body: bytes, size: int) -> tuple[list, np.ndarray, np.ndarray]:
-    raw = pa.decompress(body, size, "zstd", asbytes=True)
-    head = int.from_bytes(raw[:8], "little")
-    at, count = np.frombuffer(raw, "<u4", offset=8 + head).reshape(2, -1)
-    return json.loads(raw[8:8 + head]), at, count.astype(np.int64)
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of the given sizes, in whole numbers."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[ends] - total[ends - sizes]
 
 
 def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,8 +282,9 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
     cut are a link. A link's count is the number of links of the corpus between the same two ids. ``n_best``
     counts links whose count is the highest of their B id, ties included; ``count_sum`` adds up the counts.
 
-    Texts are tokenized once, in chunks. A chunk is a written row: its texts' results and its distinct
-    links with their numbers. Only these distinct links are shuffled, to be summed over the corpus and to
+    Texts are tokenized once, in chunks. Where both tokenizers always cut before a lone space, texts are parted there and
+    each distinct part of a chunk is tokenized once; see :meth:`Aligner.units`. A chunk is a written row: its texts' results
+    and its distinct links with their numbers. Only these distinct links are shuffled, to be summed over the corpus and to
     come back by a join, so a link that every text has is one row for each chunk. The highest count of a B
     id is taken over at most as many rows as A has ids.
 
@@ -213,24 +298,28 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
         both = aligner(path_a, path_b)
 
         def packed(ids: list, texts: list) -> pa.RecordBatch:
-            (body, size), pairs, times = _chunk(both, ids, texts)
+            body, size, pairs, times = _chunk(both, ids, texts)
             return pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().bytes], pa.binary()), pa.array([body], pa.binary()), pa.array([size], pa.int64()),
                  pa.array([pairs], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))],
                 ["chunk", "body", "size", "pairs", "times"])
 
         ids, texts, size = [], [], 0
-        for batch in batches:
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if texts and size + len(text or "") > CHUNK:
-                    yield packed(ids, texts)
-                    ids, texts, size = [], [], 0
-                ids.append(id_)
-                texts.append(text)
-                size += len(text or "")
-        if texts:
-            yield packed(ids, texts)
+        gc.disable()  # looking for cycles among all remembered units takes a fifth of the time
+        try:
+            for batch in batches:
+                for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    text = text.as_py()
+                    if texts and size + len(text or "") > CHUNK:
+                        yield packed(ids, texts)
+                        ids, texts, size = [], [], 0
+                    ids.append(id_)
+                    texts.append(text)
+                    size += len(text or "")
+            if texts:
+                yield packed(ids, texts)
+        finally:
+            gc.enable()
 
     chunks = written(rows.mapInArrow(
         tokenize, "chunk binary, body binary, size long, pairs array<long>, times array<long>"), "aligned")
@@ -246,21 +335,18 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (ids, n_a, n_b, shas, parts), at, times = _open(
-                    batch.column("body")[k].as_py(), batch.column("size")[k].as_py())
+                rows, sizes, at, uses = _open(batch.column("body")[k].as_py(), batch.column("size")[k].as_py())
+                ids, n_a, n_b, shas, parts = rows
                 n = np.array(batch.column("n")[k].values or [], np.int64)
-                best = np.array(batch.column("best")[k].values or [], bool)
-                owner = np.repeat(np.arange(len(ids)), parts)
+                best = np.array(batch.column("best")[k].values or [], np.int64)
 
-                def per_text(weights: np.ndarray) -> pa.Array:
-                    out = np.zeros(len(ids), np.int64)
-                    np.add.at(out, owner, weights)
-                    return pa.array(out, pa.int64())
+                def per_text(of_links: np.ndarray) -> pa.Array:
+                    return pa.array(_sums(_sums(of_links, sizes)[uses], np.array(parts)), pa.int64())
 
-                links = per_text(times)
+                links = per_text(np.ones(len(at), np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), links, links,
-                     per_text(times * best[at]), per_text(times * n[at]), pa.array(shas, pa.string())], names)
+                     per_text(best[at]), per_text(n[at]), pa.array(shas, pa.string())], names)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     schema = ", ".join(f"{n} {'string' if n == 'groups_sha256' else 'long'}" for n in names)

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -19,8 +20,8 @@ ODD = ["", None, "a", " ", "  two  spaces ", "é日本𝒳 x́", "▁ mark", "<|
 def brute(texts):
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
-    byte_of = {c: k for k, c in ((k, c) for c, k in align.byte_alphabet().items())}
-    assert len(byte_of) == 256
+    byte_of = align.byte_alphabet()
+    assert sorted(byte_of.values()) == list(range(256))
     out, links = [], []
     for text in texts:
         if not text:
@@ -30,7 +31,7 @@ def brute(texts):
         data = (" " + text).encode()
         ids_a = a.encode(" " + text, add_special_tokens=False).ids
         ids_b = b.encode(text)
-        names_a = [bytes(align.byte_alphabet()[c] for c in a.id_to_token(i)) for i in ids_a]
+        names_a = [bytes(byte_of[c] for c in a.id_to_token(i)) for i in ids_a]
         names_b = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ids_b]
         if b"".join(names_a) != data or b"".join(names_b) != data:
             out.append(None)
@@ -73,6 +74,7 @@ def test_byte_alphabet_is_the_one_of_the_library():
 @pytest.mark.parametrize("chunk", [align.CHUNK, 40])
 def test_alignment_equals_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(align, "CHUNK", chunk)
+    monkeypatch.setattr(align, "KNOWN", chunk)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect()
     rows = [(r["doc_id"], r["text"]) for r in docs] + [(10_000 + i, t) for i, t in enumerate(ODD)] + [(None, "the end")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pairs", F.lit("clash")).repartition(3)
@@ -85,13 +87,31 @@ def test_alignment_equals_brute_force(spark, monkeypatch, chunk):
 
 def test_spans_agree_with_decoded_bytes():
     both = align.Aligner(A, B)
-    for text in filter(None, ODD):
-        found = both.spans(text)
-        if found:
-            ids_a, ends_a, ids_b, ends_b = found
-            assert ends_a.tolist() == both.length_a[ids_a].cumsum().tolist(), text
-            assert ends_b.tolist() == both.length_b[ids_b].cumsum().tolist(), text
-    assert both.spans("▁ mark") is None
+    units = [t for t in ODD if t and "▁" not in t]
+    data = [(" " + u).encode() for u in units]
+    codes = both.a.encode_batch([" " + u for u in units], add_special_tokens=False)
+    spans = [both.b.encode(u, return_type="proto").pieces for u in units]
+    sizes = [np.array([len(x) for x in own]) for own in (codes, spans)]
+    ids = [np.array([i for c in codes for i in c.ids]), np.array([p.id for own in spans for p in own])]
+    ends = both._ends_a(data, codes, ids[0], sizes[0]), both._ends_b(spans, ids[1], sizes[1])
+    for got, own, n, lengths in zip(ends, ids, sizes, (both.length_a, both.length_b)):
+        want = np.concatenate([np.cumsum(lengths[part]) for part in np.split(own, np.cumsum(n)[:-1])])
+        assert got.tolist() == want.tolist()
+    assert both.align(["▁ mark", "ok"])[0] is None and both.align(["▁ mark", "ok"])[1].n_a == 1
+
+
+def test_units_are_cut_only_where_both_tokenizers_cut():
+    both = align.Aligner(A, B)
+    assert both.cuttable
+    for text in [*filter(None, ODD), "a b", "a  b c", " a\n b \tc d\x1c e", "x\u00a0y z", "a's 's it's", "1 2 3, 4"]:
+        units = both.units([text])[0]
+        assert " ".join(units) == text
+        if len(units) > 1 and (found := both.align(units)) and all(found):
+            whole = both.align([text])[0]
+            assert sum(f.n_a for f in found) == whole.n_a and sum(f.n_b for f in found) == whole.n_b
+            assert ";".join(f.groups for f in found) == whole.groups
+    both.cuttable = False
+    assert both.units(["a b", None]) == [["a b"], []]
 
 
 def test_groups_tile_the_text(spark):
