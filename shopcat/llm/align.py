@@ -26,6 +26,7 @@ KNOWN = 400_000  # units whose alignment a Python worker remembers
 SPACE_MARK = "▁"  # stands for a space in sentencepiece pieces
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_TAIL = re.compile(r"(?<=[A-Za-z])[.,;:!?\n]")  # a word ends here for the usual pattern of byte-level BPE
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -76,6 +77,7 @@ class Aligner:
         self.firm_b = np.array([not self.b.is_byte(i) for i in range(self.width)])
         self.text_a, self.text_b = ([str(i) for i in range(len(n))] for n in (self.bytes_a, self.bytes_b))
         self.cuttable = self._cuttable(json.loads(self.a.to_str()))
+        self.tails = self.cuttable and not any(_TAIL.search(self.b.id_to_piece(i)) for i in range(self.width))
         self.known: dict[str, Unit | None] = {}
 
     @staticmethod
@@ -112,16 +114,17 @@ class Aligner:
         codes = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
         spans = [p.pieces for p in self.b.encode(units, return_type="proto", num_threads=1)]
         lists_a, lists_b = [c.ids for c in codes], [[p.id for p in own] for own in spans]
-        bad = [k for k, own in enumerate(data) if b"".join([self.bytes_a[i] for i in lists_a[k]]) != own
-               or b"".join([self.bytes_b[i] for i in lists_b[k]]) != own]
-        if bad:
-            good = sorted(set(range(len(units))).difference(bad))
-            rest = dict(zip(good, self.align([units[k] for k in good]))) if good else {}
-            return [rest.get(k) for k in range(len(units))]
         size_a, size_b = self.lengths(lists_a), self.lengths(lists_b)
         ids_a, ids_b = _flat(lists_a), _flat(lists_b)
+        text, sizes = b"".join(data), self.lengths(data)
+        if not all(b"".join(map(names.__getitem__, ids.tolist())) == text and (_sums(lengths[ids], n) == sizes).all()
+                   for names, lengths, ids, n in ((self.bytes_a, self.length_a, ids_a, size_a), (self.bytes_b, self.length_b, ids_b, size_b))):
+            good = [k for k, own in enumerate(data) if b"".join([self.bytes_a[i] for i in lists_a[k]]) == own
+                    and b"".join([self.bytes_b[i] for i in lists_b[k]]) == own]
+            rest = dict(zip(good, self.align([units[k] for k in good]))) if good else {}
+            return [rest.get(k) for k in range(len(units))]
         # All units stand one after the other, each from its own byte on.
-        start = np.concatenate([[0], np.cumsum(self.lengths(data))])[:-1]
+        start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         ends_a = self._ends_a(data, codes, ids_a, size_a) + np.repeat(start, size_a)
         ends_b = self._ends_b(spans, ids_b, size_b) + np.repeat(start, size_b)
         _, cut_a, cut_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
@@ -162,12 +165,25 @@ class Aligner:
         return _refined(ends, ids, sizes, self.firm_b, self.length_b)
 
     def look_up(self, units: list[str]) -> list[Unit | None]:
-        """The alignment of distinct units, remembered for later texts."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
-        self.known.update(zip(new, self.align(new)))
-        return [self.known[u] for u in units]
+        """The alignment of distinct units, remembered for later texts.
+
+        A unit with a stop after a letter is put together from what is before and, behind another letter, after it:
+        both tokenizers cut there.
+        """
+        known = self.known
+        if len(known) > KNOWN:
+            known.clear()
+        new = [u for u in units if u not in known]
+        cut = {u: m.start() for u in new if (m := _TAIL.search(u))} if self.tails else {}
+        parts = {u: (u[:at], "a" + u[at:]) for u, at in cut.items()}
+        whole = dict.fromkeys(chain((u for u in new if u not in cut), chain.from_iterable(parts.values())))
+        whole = [u for u in whole if u not in known]
+        known.update(zip(whole, self.align(whole)))
+        for u, (word, tail) in parts.items():
+            a, b = known[word], known[tail]
+            known[u] = a and b and Unit(
+                a.n_a + b.n_a - 1, a.n_b + b.n_b - 1, a.groups + ";" + b.groups.split(";", 1)[1], a.links + b.links[1:])
+        return [known[u] for u in units]
 
 
 def _flat(lists: list[list[int]]) -> np.ndarray:

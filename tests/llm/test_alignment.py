@@ -110,6 +110,8 @@ def test_units_are_cut_only_where_both_tokenizers_cut():
             whole = both.align([text])[0]
             assert sum(f.n_a for f in found) == whole.n_a and sum(f.n_b for f in found) == whole.n_b
             assert ";".join(f.groups for f in found) == whole.groups
+    for unit in ["word,", "a.b:c", "don't,", "it's.\nNew", "é,", "x,", "A!!", "o\n\np", "e.g.,5", "▁q,", "q,▁"]:
+        assert both.look_up([unit]) == both.align([unit]), unit
     both.cuttable = False
     assert both.units(["a b", None]) == [["a b"], []]
 
