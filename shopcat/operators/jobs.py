@@ -115,13 +115,12 @@ def job_timings(timings: DataFrame) -> DataFrame:
     )
 
 
-def batch_stats(requested: DataFrame, n: int = BATCH_SIZE) -> DataFrame:
-    """Running counters of a job after every ``n`` requested pages.
+def number_pages(requested: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Add ``number``, a page's place within its job from 0, by time and page; pages without a time come first.
 
-    ``requested(job_id, requested_at, page_id, attempts, reached, type)``, one row per page. Pages are
-    sorted by a range shuffle, which splits a job of any size; a page's number within its job is its
-    place in its partition plus the job's pages in earlier partitions. That is one row per job and partition.
-    Pages without a time come first.
+    Pages are sorted by a range shuffle, which splits a job of any size; a page's number is its place in its
+    partition plus the job's pages in earlier partitions. That is one row per job and partition. ``before(job_id,
+    pages)`` tells how many pages of a job were numbered already.
     """
     spark = requested.sparkSession
     order = ("job_id", "requested_at", "page_id")
@@ -133,16 +132,34 @@ def batch_stats(requested: DataFrame, n: int = BATCH_SIZE) -> DataFrame:
     earlier = Window.partitionBy("job_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
         "job_id", "_part", (F.coalesce(F.sum("_pages").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    numbered = rows.join(offsets, ["job_id", "_part"])
-    batch = F.floor((F.col("_at") + F.col("_shift")) / n).cast("int")
-    counted = numbered.groupBy("job_id", batch.alias("batch")).agg(
+    if before is not None:
+        known = before.select("job_id", F.col("pages").alias("_before"))
+        offsets = offsets.join(known, "job_id", "left").select(
+            "job_id", "_part", (F.col("_shift") + F.coalesce("_before", F.lit(0))).alias("_shift"))
+    return rows.join(offsets, ["job_id", "_part"]).withColumn("number", F.col("_at") + F.col("_shift"))
+
+
+def count_pages(numbered: DataFrame, n: int = BATCH_SIZE) -> DataFrame:
+    """Pages, requests, pages reached and pairs found of every ``n`` pages of a job in a row."""
+    return numbered.groupBy("job_id", F.floor(F.col("number") / n).cast("int").alias("batch")).agg(
         F.count("*").alias("pages"), F.sum("attempts").alias("requests"),
         F.count_if("reached").alias("reached"),
         F.count_if(F.col("type") == PRODUCT).alias("pairs"),
     )
+
+
+def running_counts(counted: DataFrame, *more: Column) -> DataFrame:
+    """The counts of :func:`count_pages` added up over a job's batches, with ``more`` columns."""
     running = Window.partitionBy("job_id").orderBy("batch").rowsBetween(
         Window.unboundedPreceding, 0)
     return counted.select(
         "job_id", "batch", "pages",
-        *[F.sum(c).over(running).alias(f"{c}_so_far") for c in ("pages", "requests", "reached", "pairs")],
-    )
+        *[F.sum(c).over(running).alias(f"{c}_so_far") for c in ("pages", "requests", "reached", "pairs")], *more)
+
+
+def batch_stats(requested: DataFrame, n: int = BATCH_SIZE) -> DataFrame:
+    """Running counters of a job after every ``n`` requested pages.
+
+    ``requested(job_id, requested_at, page_id, attempts, reached, type)``, one row per page.
+    """
+    return running_counts(count_pages(number_pages(requested), n))

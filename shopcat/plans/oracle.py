@@ -455,10 +455,29 @@ ORACLE: dict[str, str] = {
           CAST(sum(reached) OVER w AS BIGINT) AS reached_so_far,
           CAST(sum(pairs) OVER w AS BIGINT) AS pairs_so_far
         FROM b WINDOW w AS (PARTITION BY job_id ORDER BY batch)""",
+    "stream_job_batches": _ATTEMPTS + f""",
+        n AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) - 1)
+                // {BATCH} AS batch FROM rows),
+        b AS (SELECT event_type AS job_id, CAST(batch AS INTEGER) AS batch, count(*) AS pages,
+                count(*) FILTER (WHERE us <= (SELECT max(us) FROM rows) - 3 * 86400000000) AS final,
+                sum(event_id % 2 + 1) AS requests, count(*) FILTER (WHERE ok) AS reached,
+                count(*) FILTER (WHERE type = 'PRODUCT') AS pairs FROM n GROUP BY event_type, batch)
+        SELECT job_id, batch, pages, CAST(sum(pages) OVER w AS BIGINT) AS pages_so_far,
+          CAST(sum(requests) OVER w AS BIGINT) AS requests_so_far,
+          CAST(sum(reached) OVER w AS BIGINT) AS reached_so_far,
+          CAST(sum(pairs) OVER w AS BIGINT) AS pairs_so_far, final = {BATCH} AS complete
+        FROM b WINDOW w AS (PARTITION BY job_id ORDER BY batch)""",
     "stream_page_types": _SHOP + """
         SELECT k AS page_id, site, CASE WHEN isbn IS NULL THEN 'JUNK' WHEN price IS NULL
           THEN 'UNAVAILABLE' ELSE 'PRODUCT' END AS type FROM chosen""",
     "stream_best_offer": _BEST,
+    "stream_offer_ttl": f"""
+        WITH best AS ({_BEST})
+        SELECT *, retrieved_us + (45 * 24 + 1) * 3600000000 AS expires_us FROM best
+        WHERE retrieved_us + (45 * 24 + 1) * 3600000000
+              > (SELECT max({_US.format('l_shipdate')}) FROM lineitem) - 2 * 24 * 3600000000""",
+    "stream_distinct_offers": _SEEN + """
+        SELECT DISTINCT url, site, us AS retrieved_us, value, 'RON' AS currency FROM seen""",
     "stream_offers": _SHOP + f"""
         SELECT canonical AS url, site, isbn, (k + {EPOCH}) * 1000000 AS retrieved_us, price AS nominal_value
         FROM product""",

@@ -25,12 +25,14 @@ from shopcat.sources.html import with_nodes
 from shopcat.sources.tables import (
     is_folder, read_batches, read_pages, spread, stream_pages, write_books, write_frontier, write_offers,
 )
+from shopcat.streaming import expiry, running
 from shopcat.streaming import streams as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 BATCH = 500
+TTL, LATE = "45 days 1 hour", "2 days"  # of a current offer
 KEYWORD = "gizmo"
 SITE = "s7.example.ro"
 JOB = "j7"
@@ -584,13 +586,16 @@ def job_timings(spark: SparkSession, sf: str) -> DataFrame:
     return J.job_timings(rows)
 
 
-@query
-def job_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _attempts(spark, sf).select(
+def _requested(spark: SparkSession, sf: str) -> DataFrame:
+    return _attempts(spark, sf).select(
         F.col("event_type").alias("job_id"), utc("ts").alias("requested_at"),
         F.col("event_id").alias("page_id"), (F.col("event_id") % 2 + 1).alias("attempts"),
         F.col("ok").alias("reached"), "type")
-    return J.batch_stats(rows, BATCH)
+
+
+@query
+def job_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return J.batch_stats(_requested(spark, sf), BATCH)
 
 
 # --- streams -----------------------------------------------------------------------------------------
@@ -663,6 +668,55 @@ def stream_offers(spark: SparkSession, sf: str) -> DataFrame:
         double("nominal_value").alias("nominal_value"))
 
 
+@query
+def stream_offer_ttl(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest offer per ISBN, of those seen within the time to live before the end of the stream."""
+    lines = observe(_table_stream(spark, sf, "lineitem")).select(
+        "isbn", "offer", F.struct("page_id", "url").alias("seq"))
+    root = work_folder(spark, "current-offers")
+    schema = expiry.stream_current_offers(lines, "isbn", ttl=TTL, late=LATE).schema
+    expiry.run_current_offers(lines, root, "isbn", ttl=TTL, late=LATE).awaitTermination()
+    return expiry.read_current_offers(spark, root, "isbn", schema=schema).select(
+        "isbn", double("best_offer.nominal_value").alias("value"),
+        F.unix_micros("best_offer.retrieved_time").alias("retrieved_us"), F.col("best_offer.url").alias("url"),
+        F.unix_micros("expires_at").alias("expires_us"))
+
+
+@query
+def stream_job_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of running jobs, whose pages come in four parts that overlap in time."""
+    source, root = work_folder(spark, "requested"), work_folder(spark, "job-batches")
+    rows = _requested(spark, sf).withColumn("day", F.unix_date(F.col("requested_at").cast("date")) + F.col("page_id") % 2)
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    part = F.least(F.floor((F.col("day") - first) * 4 / (last - first + 1)), F.lit(3))
+    rows = rows.withColumn("file", part.cast("int")).drop("day")
+    for k in range(4):
+        rows.where(F.col("file") == k).drop("file").write.mode("append").parquet(source)
+    written = spark.read.parquet(source)
+    stream = spark.readStream.schema(written.schema).option(
+        "maxFilesPerTrigger", max(1, len(written.inputFiles()) // 4)).parquet(source)
+    running.run_job_statistics(stream, root, BATCH, late="3 days").awaitTermination()
+    return running.read_job_statistics(spark, root, BATCH)
+
+
+@query
+def stream_distinct_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """All offers delivered three times, once long after their own time; each leaves the stream once."""
+    source, out = work_folder(spark, "delivered"), work_folder(spark, "distinct-offers")
+    offers = C.offer_rows(line_observations(spark, sf))
+    for copy in range(3):
+        offers.withColumn("delivered_at", F.timestamp_seconds(F.lit(R.EPOCH + copy * 3600))).write.mode("append").parquet(source)
+    schema = spark.read.parquet(source).schema
+    files = len(spark.read.parquet(source).inputFiles())
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(source)
+    kept = S.stream_distinct_offers(stream, "delivered_at", within="1 day")
+    kept.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option(
+        "path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{out}/rows").select(
+        "url", "site", F.unix_micros("retrieved_time").alias("retrieved_us"),
+        double("nominal_value").alias("value"), "currency")
+
+
 # --- the flagship --------------------------------------------------------------------------------------
 
 @query

@@ -84,6 +84,19 @@ def is_committed(spark: SparkSession, root: str, batch: int) -> bool:
     return path_exists(spark, f"{root}/commits/id={batch}/_SUCCESS")
 
 
+def last_committed(spark: SparkSession, root: str) -> int | None:
+    """The highest published batch."""
+    if not path_exists(spark, f"{root}/commits"):
+        return None
+    return spark.read.schema("batch bigint").parquet(f"{root}/commits/id=*").agg(F.max("batch")).first()[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no reader needs any more."""
+    system, found = _file_system(spark, path)
+    system.delete(found, True)
+
+
 def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """All batches of a table written by the functions above; ``batch`` is a partition column.
 
@@ -97,9 +110,11 @@ def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> D
     return spark.read.schema(full).parquet(path)
 
 
-def read_committed(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+def read_committed(spark: SparkSession, root: str, table: str, schema: str, keep_batch: bool = False) -> DataFrame:
     """The rows of a table in published batches only; the batch filter prunes folders."""
     if not path_exists(spark, f"{root}/commits"):
-        return read_batches(spark, f"{root}/commits", schema).drop("batch")
-    done = spark.read.schema("batch bigint").parquet(f"{root}/commits/id=*")
-    return read_batches(spark, f"{root}/{table}", schema).join(done, "batch", "left_semi").drop("batch")
+        rows = read_batches(spark, f"{root}/commits", schema)
+    else:
+        done = spark.read.schema("batch bigint").parquet(f"{root}/commits/id=*")
+        rows = read_batches(spark, f"{root}/{table}", schema).join(done, "batch", "left_semi")
+    return rows if keep_batch else rows.drop("batch")
