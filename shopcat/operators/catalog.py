@@ -10,13 +10,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopcat.functions.isbn import isbn_rank, isbn_stem
 from shopcat.functions.words import PRODUCT
-from shopcat.schemas import SEQ
+from shopcat.operators.joins import fits_broadcast
+from shopcat.schemas import BOOKS, SEQ
 from shopcat.session import work_folder
+from shopcat.sources import snapshots
 
 _FIRST = ("title", "publisher", "format", "image_url", "book_id")
 _LONGEST = ("authors", "description")
@@ -96,14 +98,15 @@ def _union(arrays: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(arrays)))).alias(arrays)
 
 
-def merge_states(states: DataFrame) -> DataFrame:
+def merge_states(states: DataFrame, folded: bool = False) -> DataFrame:
     """Fold state rows (few per book) into one catalog row per book.
 
-    A group of the stem holds the ISBNs that differ in the check digit only, once each.
+    A group of the stem holds the ISBNs that differ in the check digit only, once each. ``folded`` says that
+    there is one row per ISBN already.
     """
     # Rows of one ISBN fold first, before they move; so a book of many batches is one row per ISBN when
     # its stem is put together.
-    by_isbn = states.groupBy("stem", "isbn").agg(
+    by_isbn = states if folded else states.groupBy("stem", "isbn").agg(
         *[_winner(f, F.col(f"s_{f}")) for f in _STATES], _union("words"), _union("isbns"))
     # A short ISBN belongs to the full one with the same stem: a valid check digit first, then
     # the smallest.
@@ -141,7 +144,7 @@ def merge_books(obs: DataFrame) -> DataFrame:
     earlier on a tie. isbn: a well-formed one is preferred. keywords: union. best_offer: the
     latest. A short ISBN (check digit lost) joins its full form whatever comes first.
     """
-    return merge_states(fold_observations(obs))
+    return merge_states(fold_observations(obs), folded=True)
 
 
 def upsert_catalog(books: DataFrame, obs: DataFrame) -> DataFrame:
@@ -162,6 +165,46 @@ def upsert_catalog(books: DataFrame, obs: DataFrame) -> DataFrame:
     return merged.unionByName(untouched, allowMissingColumns=True)
 
 
+def split_by_stem(stored: DataFrame, stems: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored books that share a stem with new rows, and the others.
+
+    Where the stems are few enough to be sent to every task, the stored books are not moved.
+    """
+    keyed = stored.withColumn("stem", isbn_stem(F.col("isbn")))
+    lookup = F.broadcast(stems) if small else stems
+    return (keyed.join(lookup, "stem", "left_semi").drop("stem"), keyed.join(lookup, "stem", "left_anti").drop("stem"))
+
+
+def upsert_books(spark: SparkSession, root: str, obs: DataFrame, batch: int | None = None,
+                 buckets: int = snapshots.BUCKETS) -> snapshots.Manifest:
+    """Merge new observations into the books of a versioned table; see :mod:`shopcat.sources.snapshots`.
+
+    Books are kept in buckets of their ISBN stem, so all books that can merge are in one. Only buckets with new rows
+    are read and written; the others go into the new version by reference. Within a bucket only books that
+    share a stem with new rows go through the merge. The stored books are not shuffled while the new stems fit
+    a broadcast. A ``batch`` that the table holds already changes nothing.
+    """
+    base = snapshots.base_of(spark, root, buckets)
+    if batch is not None and base.batch is not None and base.batch >= batch:
+        return base
+    path = work_folder(spark, "fresh")
+    bucket = snapshots.bucket_of(F.col("stem"), base.buckets)
+    fold_observations(obs).withColumn("bucket", bucket).write.parquet(path)
+    fresh = spark.read.parquet(path)
+    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most one row per bucket
+    if not touched:
+        return base
+    stored = snapshots.read_version(spark, root, BOOKS, base, touched)
+    stems = fresh.select("stem").distinct()
+    met, others = split_by_stem(stored, stems, fits_broadcast(stems))
+    merged = merge_states(_states_of_books(met).unionByName(fresh.drop("bucket")))
+    stem_bucket = snapshots.bucket_of(isbn_stem(F.col("isbn")), base.buckets)
+    rows = merged.select(*others.columns).withColumn("bucket", stem_bucket).repartition("bucket").unionByName(
+        others.withColumn("bucket", stem_bucket))
+    new = snapshots.write_data(spark, root, rows)
+    return snapshots.publish(spark, root, base, base.folders | {k: new.get(k, []) for k in touched}, batch)
+
+
 def compact_books(*snapshots: DataFrame) -> DataFrame:
     """Fold several catalog tables into one."""
     return merge_states(reduce(DataFrame.unionByName, [_states_of_books(s) for s in snapshots]))

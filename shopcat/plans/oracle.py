@@ -364,6 +364,9 @@ ORACLE: dict[str, str] = {
         FROM events WHERE event_id % 3 < 2 GROUP BY event_type, user_id""",
     "merged_books": _MERGED,
     "catalog_upsert": _MERGED,
+    "catalog_versions": f"""
+        SELECT *, 'last' AS version FROM ({_MERGED})
+        UNION ALL SELECT *, 'first' FROM ({_MERGED.replace("FROM lineitem", "FROM lineitem WHERE l_linestatus = 'F'")})""",
     "isbn_match": _SEEN + f""",
         stored AS (SELECT isbn AS stored_isbn, min(page_id) AS book_id FROM seen GROUP BY isbn),
         new AS (SELECT {_isbn13('p_partkey')} AS isbn FROM part),

@@ -21,6 +21,7 @@ from shopcat.operators.induction import induce_selectors, label_nodes
 from shopcat.schemas import BOOKS, OFFERS, RAW_PAGES
 from shopcat.session import work_folder
 from shopcat.sources import rendered as R
+from shopcat.sources import snapshots
 from shopcat.sources.html import with_nodes
 from shopcat.sources.tables import (
     is_folder, read_batches, read_pages, spread, stream_pages, write_books, write_frontier, write_offers,
@@ -399,6 +400,18 @@ def catalog_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return _book_columns(C.upsert_catalog(read_batches(spark, path).drop("batch"), fresh))
 
 
+@query
+def catalog_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A versioned catalog: lines of status F, then the others, then some lines once more; two of its versions."""
+    root = work_folder(spark, "books")
+    first = C.upsert_books(spark, root, line_observations(spark, sf, "l_linestatus = 'F'"), buckets=16)
+    C.upsert_books(spark, root, line_observations(spark, sf, "l_linestatus <> 'F'"), buckets=16)
+    last = C.upsert_books(spark, root, line_observations(spark, sf, "l_partkey % 97 = 0"), buckets=16)
+    return reduce(DataFrame.unionByName, [
+        _book_columns(snapshots.read_version(spark, root, BOOKS, at)).withColumn("version", F.lit(name))
+        for name, at in (("first", first), ("last", last))])
+
+
 @query
 def isbn_match(spark: SparkSession, sf: str) -> DataFrame:
     new = table(spark, sf, "part").select(R.isbn13_of(F.col("p_partkey")).alias("isbn"))

@@ -59,18 +59,18 @@ def write_frontier(frontier: DataFrame, path: str, batch: str | int) -> None:
     )
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    system, found = _file_system(spark, path)
+    system, found = file_system(spark, path)
     return system.exists(found)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
-    system, found = _file_system(spark, path)
+    system, found = file_system(spark, path)
     return system.getFileStatus(found).isDirectory()
 
 
@@ -93,7 +93,7 @@ def last_committed(spark: SparkSession, root: str) -> int | None:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that no reader needs any more."""
-    system, found = _file_system(spark, path)
+    system, found = file_system(spark, path)
     system.delete(found, True)
 
 
