@@ -51,14 +51,20 @@ def document_title(nodes: Column, page_text: Column) -> Column:
     return F.when(nodes.isNotNull(), F.coalesce(text, F.lit("")))
 
 
-def canonical_url(nodes: Column, url: Column) -> Column:
-    """Address in ``link[rel=canonical]``, made absolute; the page's own url without one."""
+def base_url(nodes: Column, url: Column) -> Column:
+    """What relative addresses of the page refer to: its first ``base`` with an address, else its own url."""
+    base = first(nodes, lambda n: (n["tag"] == "base") & (F.trim(attr(n, "href")) != ""))
+    return let(absolute_url(attr(base, "href"), url), lambda u: F.when(u != "", u).otherwise(url))
+
+
+def canonical_url(nodes: Column, url: Column, base: Column | None = None) -> Column:
+    """Address in ``link[rel=canonical]``, made absolute by :func:`base_url`; the page's own url without one."""
     link = first(
         nodes,
         lambda n: (n["tag"] == "link") & (F.lower(F.trim(attr(n, "rel"))) == "canonical")
         & (F.trim(attr(n, "href")) != ""),
     )
-    return let(absolute_url(attr(link, "href"), url),
+    return let(absolute_url(attr(link, "href"), base_url(nodes, url) if base is None else base),
                lambda u: F.when(u != "", u).otherwise(url))
 
 

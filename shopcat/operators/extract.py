@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shopcat.functions import fields as X
 from shopcat.functions.isbn import normalise_isbn
-from shopcat.functions.nodes import canonical_url, document_title, node_text
+from shopcat.functions.nodes import base_url, canonical_url, document_title, node_text
 from shopcat.functions.price import (
     STORED, coerce_availability, currency_of, price_value, separators, starts_with_number,
 )
@@ -28,13 +28,18 @@ def _prepare(pages: DataFrame) -> DataFrame:
     parsed = pages if "nodes" in pages.columns else with_nodes(pages)
     if "site" not in parsed.columns:
         parsed = parsed.withColumn("site", site_of(F.col("url")))
-    return parsed.withColumns(_page_columns())
+    return parsed.withColumn("_base", _base_column()).withColumns(_page_columns())
+
+
+@built_once
+def _base_column() -> Column:
+    return base_url(F.col("nodes"), F.col("url"))
 
 
 @built_once
 def _page_columns() -> dict[str, Column]:
     return {
-        "canonical_url": canonical_url(F.col("nodes"), F.col("url")),
+        "canonical_url": canonical_url(F.col("nodes"), F.col("url"), F.col("_base")),
         "page_title": document_title(F.col("nodes"), F.col("page_text")),
         "isbn_run": X.isbn_text(F.col("page_text")),
     }
@@ -110,12 +115,12 @@ def _apply_selectors(joined: DataFrame) -> DataFrame:
 
 @built_once
 def _wrapper_columns() -> dict[str, Column]:
-    nodes, text, url = F.col("nodes"), F.col("page_text"), F.col("url")
+    nodes, text, base = F.col("nodes"), F.col("page_text"), F.col("_base")
     many = F.try_element_at(F.col("selectors"), F.lit("attributes"))
     single = F.map_filter(F.col("selectors"), lambda k, _: k != "attributes")
     return {
         "fields": F.transform_values(
-            single, lambda _, s: _selector_value(nodes, text, url, s)),
+            single, lambda _, s: _selector_value(nodes, text, base, s)),
         "selected_texts": F.coalesce(
             F.transform(selected(nodes, many["steps"]), lambda n: node_text(n, text)),
             F.array().cast("array<string>"),
@@ -133,7 +138,7 @@ def _heuristic_columns(strict_isbn: bool) -> dict[str, Column]:
         "description": X.description(nodes, text),
         "publisher": X.publisher(attributes),
         "format": X.book_format(attributes),
-        "image_url": X.image_url(nodes, F.col("url")),
+        "image_url": X.image_url(nodes, F.col("_base")),
         "price_tag": X.price_tag(nodes, text),
         "availability": F.lit(None).cast("string"),
     }
@@ -206,6 +211,8 @@ def _catalog_columns(locale: str) -> dict[str, Column]:
                            F.concat(F.lit("no host in address: "), "canonical_url"))),
             F.array(F.when(F.col("_stored").isNull() & starts_with_number(F.col("price_tag"), *separators(locale)),
                            F.concat(F.lit("price out of range: "), "price_tag"))),
+            F.array(F.when(F.col("_stored").isNotNull() & F.col("_currency").isNull(),
+                           F.lit(f"no currency for locale: {locale}"))),
             F.array(F.when(F.col("nominal_value") != F.col("_stored"),
                            F.concat(F.lit("more than two decimals: "), "price_tag"))),
             F.coalesce("_selector_errors", F.array().cast("array<string>")),
@@ -215,7 +222,7 @@ def _catalog_columns(locale: str) -> dict[str, Column]:
 
 def _finish(df: DataFrame, locale: str) -> DataFrame:
     done = assemble(df, locale)
-    return done.drop("nodes", "page_text", "attributes", "isbn_run", "selectors", "fields",
+    return done.drop("_base", "nodes", "page_text", "attributes", "isbn_run", "selectors", "fields",
                      "selected_texts", "selector_errors", "parse_error")
 
 

@@ -266,6 +266,10 @@ ORACLE: dict[str, str] = {
                WHEN contains(lower(phrase), 'indisponibil') OR contains(lower(phrase), 'comanda')
                  THEN 'unavailable' END AS stock_phrase
         FROM shop""",
+    "based_urls": _SHOP + """,
+        based AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'https://cdn.example.ro' ELSE root END AS base FROM shop)
+        SELECT k AS page_id, CASE WHEN k % 4 = 0 THEN base || '/c/' || k ELSE root || '/carte/' || k END AS canonical_url,
+               base || '/img/' || k || '.jpg' AS image_url FROM based""",
     "canonical_urls": _SHOP + "SELECT k AS page_id, canonical AS canonical_url FROM shop",
     "price_vectors": """
         WITH c AS (SELECT l_orderkey, l_linenumber AS v,

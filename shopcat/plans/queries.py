@@ -182,6 +182,17 @@ def stock_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return heuristic_books(shop_pages(spark, sf)).select("page_id", "stock_phrase")
 
 
+@query
+def based_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses of shop pages that name another base, on their own or on an image server."""
+    k = F.col("page_id")
+    base = F.when(k % 3 == 0, F.lit("https://cdn.example.ro/y/z")).when(k % 3 == 1, F.lit("/other/"))
+    pages = shop_pages(spark, sf).withColumn("html", F.when(base.isNull(), F.col("html")).otherwise(
+        F.replace("html", F.lit("<title>"), F.concat(F.lit("<base href='"), base, F.lit("'><title>")))))
+    found = heuristic_books(pages)
+    return found.select("page_id", "canonical_url", "image_url")
+
+
 @query
 def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
     return with_nodes(shop_pages(spark, sf)).select(

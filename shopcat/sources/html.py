@@ -27,12 +27,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # A quote counts only directly after "=": in `alt=Men's` it is part of the value.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>"
-    r"|<(?P<broken>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>"
+    r"|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*>"
+    r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>"
+    r"|<(?P<broken>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*)>"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
+_START = re.compile(r"<([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile("[>=]")
+_QUOTED = {quote: re.compile(rf"=\s*+{quote}[^{quote}]*{quote}") for quote in "\"'"}
+_OPENING = re.compile(r"=\s*+([\"'])")
 _MARKUP = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"([^\s=\"'/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _SPACE = re.compile("[ \t\n\f\r\xa0]+")
@@ -80,6 +84,27 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+def _tag_end(html: str, at: int, hopeless: set[int], last: dict[str, int]) -> int:
+    """End of the attributes that begin at ``at``: the next ``>`` outside quotes, or -1.
+
+    Used once a start tag of the page has none. ``hopeless`` holds every ``=`` outside quotes from which a scan
+    has come to the end of the page, so no part of the page is scanned twice in vain.
+    """
+    seen: list[int] = []
+    while stop := _STOP.search(html, at):
+        k = stop.start()
+        if html[k] == ">":
+            return k
+        if k in hopeless:
+            break
+        seen.append(k)
+        opening = _OPENING.match(html, k)
+        quoted = opening and opening.end() <= last[opening[1]] and _QUOTED[opening[1]].match(html, k)
+        at = quoted.end() if quoted else k + 1
+    hopeless.update(seen)
+    return -1
+
+
 class _NodeBatch:
     """Node columns of a slice of pages, in document order."""
 
@@ -170,6 +195,8 @@ class _NodeBatch:
                 space = data[-1] == " "
 
         at, size, last_end = 0, len(html), html.rfind(">")
+        hopeless: set[int] | None = None
+        last_quote = {quote: html.rfind(quote) for quote in "\"'"}
         while at < size:
             if at > last_end:  # no tag ends here any more: text, up to what begins like one
                 tail = _MARKUP.search(html, at)
@@ -177,9 +204,19 @@ class _NodeBatch:
                 if tail and not html.startswith("<!--", tail.start()):
                     error = "unterminated tag"
                 break
-            m = _TOKEN.match(html, at)
-            at = m.end()
-            kind = m.lastgroup
+            # After a tag without end, starts are looked at one by one.
+            m = _START.match(html, at) if hopeless is not None else None
+            if m:
+                end = _tag_end(html, m.end(), hopeless, last_quote)
+                kind, stop = ("attrs", end) if end >= 0 else ("rest", html.index(">", m.end()))
+                tag, source, at = m[1], html[m.end():stop], stop + 1
+            else:
+                m = _TOKEN.match(html, at)
+                at = m.end()
+                kind = m.lastgroup
+                if kind in ("attrs", "rest"):
+                    tag, source = m["start"] or m["broken"], m[kind]
+                    hopeless = set() if kind == "rest" else hopeless
             if kind == "text":
                 add_text(m.group())
             elif kind == "end":
@@ -189,8 +226,7 @@ class _NodeBatch:
                     if name in _BLOCK:
                         space = True
             elif kind in ("attrs", "rest"):
-                name = (m.group("start") or m.group("broken")).lower()
-                source = m.group(kind)
+                name = tag.lower()
                 if name in _RAW or (self.sanitize and name in _DROPPED):
                     end = _RAW_END[name].search(html, at)
                     inner, at = (html[at:end.start()], end.end()) if end else (html[at:], size)

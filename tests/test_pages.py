@@ -1,5 +1,7 @@
 """Trees, selectors, field extraction and strategy choice on literal pages."""
 
+import random
+import re
 import time
 from datetime import datetime
 
@@ -85,9 +87,49 @@ def test_quotes_and_unfinished_tags(spark, html, text, error):
     assert (row["page_text"], row["parse_error"]) == (text, error)
 
 
+def tokens(html):
+    batch = _NodeBatch(True)
+    batch.add(html)
+    return list(zip(batch.tag, batch.own)), batch.attr_keys, batch.attr_values, batch.texts, batch.errors
+
+
+def test_starts_looked_at_one_by_one_are_those_of_the_pattern(monkeypatch):
+    from shopcat.sources import html as H
+
+    rng = random.Random(1)
+    ends, tag_end = [], H._tag_end
+    monkeypatch.setattr(H, "_tag_end", lambda html, at, hopeless, last: ends.append((html, at, tag_end(html, at, hopeless, last))) or ends[-1][2])
+    for _ in range(12_000):
+        tokens("<a b='>" + "".join(rng.choice(["<a", "<p ", " b=", "=", '"', "'", ">", " ", "x", "</a>", "= '"]) for _ in range(rng.randint(3, 40))))
+    pattern = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>")
+    assert len(ends) > 1000
+    for html, at, end in ends:
+        m = pattern.match(html, at)
+        assert (m.end() - 1 if m else -1) == end, (html, at)
+
+
+def test_base_address(spark):
+    def urls(head, url="https://a.ro/x/1"):
+        row = heuristic_books(pages(spark, f"<head>{head}</head><img alt=c src=i.jpg>", url=url)).first()
+        return row["canonical_url"], row["image_url"]
+
+    assert urls("") == ("https://a.ro/x/1", "https://a.ro/x/i.jpg")
+    assert urls("<base href='https://cdn.b.ro/y/'>") == ("https://a.ro/x/1", "https://cdn.b.ro/y/i.jpg")
+    assert urls("<base href=' '><base href=../z/><base href='https://c.ro/'><link rel=canonical href=k>") == (
+        "https://a.ro/z/k", "https://a.ro/z/i.jpg")
+
+
+def test_unknown_locale_says_so(spark):
+    html = "<title>t</title><ul><li>ISBN: 9786066733632</li></ul><div class=pret>12,50 lei</div>"
+    for locale in ("ro", "sr-RS"):
+        row = heuristic_books(pages(spark, html), locale=locale).first()
+        assert row["offer"]["currency"] is None and row["errors"] == [f"no currency for locale: {locale}"]
+
+
 @pytest.mark.parametrize("html", [
     "<div>" * 20_000 + "x", "<font>" * 20_000 + "<p>a" * 20_000, "<a " * 20_000, "<a b=\"" * 20_000, "<b>x<br>" * 20_000,
     "<p>" + "x<br>" * 50_000, "</i>" * 20_000 + "<i>" * 20_000, "<li><ul>" * 20_000, "<script>" * 20_000, "<" * 50_000,
+    "<a b=\">\" " * 100_000, "<a b='>' c=\">\" " * 50_000, "<a =\"'=" * 20_000 + ">", "<" + "a=" * 50_000 + "\">" * 20_000,
 ])
 def test_hostile_pages_take_linear_time(html):
     began = time.process_time()
