@@ -129,7 +129,7 @@ def test_unknown_locale_says_so(spark):
 @pytest.mark.parametrize("html", [
     "<div>" * 20_000 + "x", "<font>" * 20_000 + "<p>a" * 20_000, "<a " * 20_000, "<a b=\"" * 20_000, "<b>x<br>" * 20_000,
     "<p>" + "x<br>" * 50_000, "</i>" * 20_000 + "<i>" * 20_000, "<li><ul>" * 20_000, "<script>" * 20_000, "<" * 50_000,
-    "<a b=\">\" " * 100_000, "<a b='>' c=\">\" " * 50_000, "<a =\"'=" * 20_000 + ">", "<" + "a=" * 50_000 + "\">" * 20_000,
+    "<a b=\">\" " * 20_000, "<a b='>' c=\">\" " * 20_000, "<a =\"'=" * 20_000 + ">", "<" + "a=" * 50_000 + "\">" * 20_000,
 ])
 def test_hostile_pages_take_linear_time(html):
     began = time.process_time()
