@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from shopcat.llm.common import discard, written
 
 CHUNK = 4 << 20  # characters of text whose links are counted together before the shuffle
-KNOWN = 400_000  # units whose alignment a Python worker remembers
+KNOWN = 600_000  # units whose alignment a Python worker remembers, some 600 bytes each
 SPACE_MARK = "▁"  # stands for a space in sentencepiece pieces
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -173,17 +173,17 @@ class Aligner:
         known = self.known
         if len(known) > KNOWN:
             known.clear()
-        new = [u for u in units if u not in known]
-        cut = {u: m.start() for u in new if (m := _TAIL.search(u))} if self.tails else {}
+        cut = {u: m.start() for u in units if u not in known and (m := _TAIL.search(u))} if self.tails else {}
         parts = {u: (u[:at], "a" + u[at:]) for u, at in cut.items()}
-        whole = dict.fromkeys(chain((u for u in new if u not in cut), chain.from_iterable(parts.values())))
-        whole = [u for u in whole if u not in known]
-        known.update(zip(whole, self.align(whole)))
-        for u, (word, tail) in parts.items():
-            a, b = known[word], known[tail]
-            known[u] = a and b and Unit(
-                a.n_a + b.n_a - 1, a.n_b + b.n_b - 1, a.groups + ";" + b.groups.split(";", 1)[1], a.links + b.links[1:])
-        return [known[u] for u in units]
+        whole = dict.fromkeys(chain((u for u in units if u not in cut), chain.from_iterable(parts.values())))
+        new = [u for u in whole if u not in known]
+        known.update(zip(new, self.align(new)))
+
+        def joined(word: Unit | None, tail: Unit | None) -> Unit | None:
+            return word and tail and Unit(word.n_a + tail.n_a - 1, word.n_b + tail.n_b - 1,
+                                          word.groups + ";" + tail.groups.split(";", 1)[1], word.links + tail.links[1:])
+
+        return [joined(known[parts[u][0]], known[parts[u][1]]) if u in parts else known[u] for u in units]
 
 
 def _flat(lists: list[list[int]]) -> np.ndarray:
