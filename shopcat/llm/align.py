@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from shopcat.llm.common import discard, written
 
 CHUNK = 4 << 20  # characters of text whose links are counted together before the shuffle
-KNOWN = 600_000  # units whose alignment a Python worker remembers, some 600 bytes each
+KNOWN = 550_000  # units whose alignment a Python worker remembers, some 450 bytes each
 SPACE_MARK = "▁"  # stands for a space in sentencepiece pieces
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -53,7 +53,7 @@ class Unit(NamedTuple):
     n_a: int
     n_b: int
     groups: str  # a1,a2|b1;a3|b2,b3
-    links: tuple[int, ...]  # id of A times the size of B's vocabulary, plus id of B, at each common cut
+    links: bytes  # int64s: id of A times the size of B's vocabulary, plus id of B, at each common cut
 
 
 class Aligner:
@@ -129,10 +129,10 @@ class Aligner:
         ends_b = self._ends_b(spans, ids_b, size_b) + np.repeat(start, size_b)
         _, cut_a, cut_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         owner = np.repeat(np.arange(len(units)), size_a)[cut_a]
-        links = (ids_a[cut_a] * self.width + ids_b[cut_b]).tolist()
+        links = (ids_a[cut_a] * self.width + ids_b[cut_b]).tobytes()
         at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(units)))]).tolist()
         texts = self._groups(ids_a, ids_b, cut_a, cut_b, owner)
-        return [Unit(int(a), int(b), ";".join(texts[at[k]:at[k + 1]]), tuple(links[at[k]:at[k + 1]]))
+        return [Unit(int(a), int(b), ";".join(texts[at[k]:at[k + 1]]), links[8 * at[k]:8 * at[k + 1]])
                 for k, (a, b) in enumerate(zip(size_a, size_b))]
 
     def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, owner: np.ndarray) -> list[str]:
@@ -181,7 +181,7 @@ class Aligner:
 
         def joined(word: Unit | None, tail: Unit | None) -> Unit | None:
             return word and tail and Unit(word.n_a + tail.n_a - 1, word.n_b + tail.n_b - 1,
-                                          word.groups + ";" + tail.groups.split(";", 1)[1], word.links + tail.links[1:])
+                                          word.groups + ";" + tail.groups.split(";", 1)[1], word.links + tail.links[8:])
 
         return [joined(known[parts[u][0]], known[parts[u][1]]) if u in parts else known[u] for u in units]
 
@@ -262,8 +262,8 @@ def _chunk(both: Aligner, ids: list, texts: list[str | None]) -> tuple[bytes, in
         rows.append((id_, int(n_a[at].sum()), int(n_b[at].sum()), sha, len(own)))
         uses.append(at)
     flat = np.concatenate(uses) if uses else np.empty(0, "<u4")
-    own = [f.links if f else () for f in found]
-    sizes, links = Aligner.lengths(own).astype("<u4"), _flat(own)
+    own = [f.links if f else b"" for f in found]
+    sizes, links = (Aligner.lengths(own) // 8).astype("<u4"), np.frombuffer(b"".join(own), np.int64)
     distinct, at = np.unique(links, return_inverse=True)
     times = np.repeat(np.bincount(flat, minlength=len(units)), sizes)
     head = json.dumps([list(zip(*rows)), len(units), len(at)]).encode()
