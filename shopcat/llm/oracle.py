@@ -70,10 +70,9 @@ token AS (
 mark AS (
   SELECT doc_id AS page_id, max(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS bad
   FROM labels JOIN part ON page_id = doc_id GROUP BY doc_id),
-total AS (SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS bad FROM mark),
 seen AS (SELECT page_id, t, bad FROM token JOIN mark USING (page_id)),
 often AS (
-  SELECT t FROM seen WHERE bad GROUP BY t HAVING count(*) >= greatest(5, (SELECT 0.002 * n FROM total))),
+  SELECT t FROM seen WHERE bad GROUP BY t HAVING count(*) >= 10),
 own AS (SELECT page_id, t, bad FROM seen SEMI JOIN often USING (t)),
 tuple AS (
   SELECT page_id, bad, [t] AS items FROM own
@@ -84,8 +83,7 @@ tuple AS (
     JOIN own c ON c.page_id = b.page_id AND b.t < c.t JOIN own d ON d.page_id = c.page_id AND c.t < d.t),
 rule AS (
   SELECT items, count(*) FILTER (WHERE tuple.bad) AS hits, count(*) AS uses FROM tuple GROUP BY items
-  HAVING hits >= greatest(5, (SELECT 0.002 * n FROM total)) AND hits / uses >= 0.5
-    AND hits / uses / (SELECT bad / n FROM total) >= 1.5),
+  HAVING hits >= 10 AND hits / uses >= 0.8),
 blocked AS (
   SELECT DISTINCT page_id FROM (
     SELECT page_id, items FROM (SELECT items, unnest(items) AS t FROM rule) JOIN token USING (t)

@@ -197,19 +197,49 @@ def test_mined_rules_equal_brute_force(spark):
     items = {x["page_id"]: set(x["items"]) for x in parts.collect()}
     bad = {d: q == 0 or t == 1 for d, q, t in labels}
     import itertools
-    n, rate = len(bad), sum(bad.values()) / len(bad)
     rules = set()
     for tokens in {frozenset(c) for d in bad for k in range(1, 5) for c in itertools.combinations(sorted(items[d]), k)}:
         rows = [d for d in bad if tokens <= items[d]]
         hits = sum(bad[d] for d in rows)
-        if hits >= urlrules.LEAST and hits / n >= 0.02 and hits / len(rows) >= 0.5 and hits / len(rows) / rate >= urlrules.LIFT:
+        if hits >= 4 and hits / len(rows) >= 0.7:
             rules.add(tokens)
     want = {i for i, t in items.items() if any(x <= t for x in rules)}
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {x["page_id"] for x in urlrules.judged(df, marks, rules=(), support=0.02).collect() if x["verdict"] == "block"}
+    got = {x["page_id"] for x in urlrules.judged(df, marks, rules=(), least=4, confidence=0.7).collect() if x["verdict"] == "block"}
     assert rules and got == want
 
 
+def labelled_urls(spark, rows):
+    pages = [(i, url) for i, (url, _) in enumerate(rows)]
+    marks = [(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(rows)]
+    return (spark.createDataFrame(pages, "page_id long, url string"),
+            spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+
+
+@pytest.mark.parametrize("drop", [False, True])
+def test_long_urls_are_mined_in_bounded_work(spark, drop):
+    """Thirty urls of 40 words each, all the same or each without another one of them; "x" and "y" tell bad ones together."""
+    def url(i, *more):
+        words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40) if not drop or k != i % 40]
+        return "http://s.io/" + "/".join([*words, *more])
+
+    rows = [(url(i, "x", "y"), True) for i in range(30)] + [(url(i, "x"), False) for i in range(40)] + [
+        (url(i, "y"), False) for i in range(40)]
+    pages, labels = labelled_urls(spark, rows)
+    got = {r["page_id"] for r in urlrules.judged(pages, labels, rules=()).collect() if r["verdict"] == "block"}
+    assert got == set(range(30))
+
+
+def test_a_bad_host_is_blocked_among_any_number_of_rows(spark):
+    for others in (2_000, 60_000):
+        pages = spark.range(1000 + others).select(F.col("id").alias("page_id"), F.when(
+            F.col("id") < 1000, F.concat(F.lit("http://bad.io/p"), F.col("id") % 7)).otherwise(
+            F.concat(F.lit("http://s"), F.col("id") % 50, F.lit(".com/p"), F.col("id") % 7)).alias("url"))
+        labels = pages.select(F.col("page_id").alias("doc_id"), F.when(
+            F.col("page_id") < 1000, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+        assert urlrules.judged(pages, labels, rules=()).where("verdict = 'block'").count() == 1000
+
+
 def test_url_tables_may_be_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([(1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
