@@ -35,8 +35,8 @@ def perspectives(
     ``<|user name=...|>`` for all others. ``mask`` lists the spans (start, stop; code points of
     ``rendered``, stop excluded) to be trained on: the text and end mark of the participant's turns.
 
-    A dialogue of any length is spread over tasks: a part holds ``turns_per_part`` turn numbers; where
-    these have over ``rows_per_part`` turns, each number has parts of its own, split by a hash of speaker
+    A dialogue of up to ``rows_per_part`` turns is one part, whatever their numbers. A longer one is spread
+    over tasks: a part holds ``turns_per_part`` turn numbers; where these have over ``rows_per_part`` turns, each number has parts of its own, split by a hash of speaker
     and text. The rows of one perspective, sorted by ``part`` and put together, are the whole dialogue.
 
     Turns with the same number are ordered by that hash; a row repeated over ``rows_per_part`` times comes
@@ -54,7 +54,9 @@ def perspectives(
         "*", F.struct("conv_id").alias("key"), (F.col("turn") - F.pmod("turn", F.lit(turns_per_part))).alias("block"),
         F.shiftrightunsigned(F.xxhash64("speaker", "text"), 1).alias("hash"))
     # What is too large for one part is found without moving texts: at most one row for each
-    # ``rows_per_part`` turns, in each of the three tables.
+    # ``rows_per_part`` turns, in each of the four tables.
+    long = keyed.groupBy("key").agg(F.count("*").alias("n")).where(
+        F.col("n") > rows_per_part).select("key", F.lit(True).alias("long"))
     crowded = keyed.groupBy("key", "block").agg(F.count("*").alias("n")).where(
         F.col("n") > rows_per_part).select("key", "block", F.lit(True).alias("split"))
     equal = keyed.groupBy("key", "turn", "hash").agg(F.count("*").alias("n"))
@@ -65,9 +67,10 @@ def perspectives(
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     cut = F.array("turn", zero, F.floor(F.col("hash") / F.pow(F.lit(2.0), F.lit(63)) * slices), zero)
     single = (
-        keyed.join(_small(crowded, "crowded"), ["key", "block"], "left").join(_small(busy, "busy"), ["key", "turn"], "left")
+        keyed.join(_small(long, "long"), "key", "left").join(_small(crowded, "crowded"), ["key", "block"], "left").join(_small(busy, "busy"), ["key", "turn"], "left")
         .join(repeated.select("key", "turn", "hash", "n"), ["key", "turn", "hash"], "left").where("n IS NULL")
-        .select("key", F.when(F.col("split").isNull(), F.array("block")).otherwise(cut).alias("part"),
+        .select("key", F.when(F.col("long").isNull(), F.array(zero)).when(
+            F.col("split").isNull(), F.array("block")).otherwise(cut).alias("part"),
                 "turn", "hash", "speaker", "text", one.alias("times"))
     )
     # A row that is repeated more often than a part is long is moved once, with its number.

@@ -156,6 +156,16 @@ def test_each_participant_is_assistant_once(spark):
             assert found == render([r[1:] for r in rows if r[0] == c], me)
 
 
+@pytest.mark.parametrize("numbers", [range(250, 261), range(0, 5000, 1000), [-3, None, 10**15]])
+def test_a_short_dialogue_is_one_part_whatever_its_numbers(spark, numbers):
+    rows = [(i, conv, "ab"[k % 2], f"t{k}") for conv in (1, None) for k, i in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "turn long, conv_id long, role string, text string")
+    got = perspectives.perspectives(df).collect()
+    assert len(got) == 4 and {r["n_turns"] for r in got} == {len(numbers)}
+    parted = perspectives.perspectives(df, rows_per_part=2, turns_per_part=4).collect()
+    assert whole(parted) == whole(got) and len(parted) > len(got)
+
+
 def test_crowded_and_odd_turns_are_whole(spark):
     rows = [(1, 0, "a", f"t{i}") for i in range(50)] + [(1, 0, "b", "same")] * 30 + [(1, 1, "a", None), (1, None, None, "late")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
