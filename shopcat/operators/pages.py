@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopcat.functions.words import JUNK, PRODUCT, UNAVAILABLE, UNREACHABLE
@@ -39,6 +39,28 @@ def select_frontier(frontier: DataFrame, domain: str, job_id: str) -> DataFrame:
     ).orderBy(F.asc_nulls_first("retrieved_time"), "url")
 
 
+def next_pages(frontier: DataFrame, n: int, jobs: DataFrame | None = None, salts: int = 64) -> DataFrame:
+    """The next ``n`` candidates of every domain, oldest first, with their ``place`` from 1.
+
+    Junk is left out, and pages that a running job of their domain has handled: ``jobs`` (domain, job_id).
+    Nothing is sorted as a whole. A domain is dealt over ``salts`` groups by its urls, each group keeps its first n
+    rows, and only those meet; Spark cuts to n rows per group before the shuffle too (for n of up to 1000, the
+    threshold of its limit below windows). So a domain that owns most pages is spread over tasks, and one task holds
+    at most ``n * salts`` rows of it. Null domains are a domain of their own.
+    """
+    open_pages = frontier.filter(F.col("type").isNull() | (F.col("type") != JUNK))
+    if jobs is not None:
+        running = jobs.select(F.col("domain").alias("_domain"), F.col("job_id").alias("_job"))
+        open_pages = open_pages.join(
+            running, F.col("domain").eqNullSafe(F.col("_domain")) & (F.col("last_job") == F.col("_job")), "left_anti")
+    order = (F.asc_nulls_first("retrieved_time"), "url")
+    dealt = open_pages.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(salts)))
+    for group in (("domain", "_salt"), ("domain",)):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        dealt = dealt.withColumn("place", place).where(F.col("place") <= n)
+    return dealt.drop("_salt")
+
+
 def frontier_rows(scraped: DataFrame, job_id: str) -> DataFrame:
     """Frontier rows of scraped pages. An unreachable page carries only its type."""
     reached = F.col("type") != UNREACHABLE

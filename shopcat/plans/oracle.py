@@ -6,7 +6,7 @@ parses no html.
 
 from __future__ import annotations
 
-from shopcat.plans.queries import BATCH, JOB, KEYWORD, LOOKUPS, SITE
+from shopcat.plans.queries import BATCH, JOB, KEYWORD, LOOKUPS, NEXT, SITE
 from shopcat.sources.rendered import EPOCH
 
 # Fixed values, written out here so that a wrong entry of the engine does not confirm itself. The
@@ -270,6 +270,9 @@ ORACLE: dict[str, str] = {
         based AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'https://cdn.example.ro' ELSE root END AS base FROM shop)
         SELECT k AS page_id, CASE WHEN k % 4 = 0 THEN base || '/c/' || k ELSE root || '/carte/' || k END AS canonical_url,
                base || '/img/' || k || '.jpg' AS image_url FROM based""",
+    "encoded_pages": _SHOP + """
+        SELECT k AS page_id, CASE k % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16-be' WHEN 2 THEN 'iso8859-1' ELSE 'iso8859-2' END AS charset,
+          title, isbn, replace(description, 'Despre ', 'Despre câine înalt, ') AS description FROM heuristic""",
     "canonical_urls": _SHOP + "SELECT k AS page_id, canonical AS canonical_url FROM shop",
     "price_vectors": """
         WITH c AS (SELECT l_orderkey, l_linenumber AS v,
@@ -362,6 +365,16 @@ ORACLE: dict[str, str] = {
           CASE WHEN event_id % 4 > 0 THEN 'job' || (event_id % 4) END AS last_job,
           epoch_us(ts) AS retrieved_us
         FROM events WHERE event_type = 'click' AND user_id % 3 <> 0 AND event_id % 4 <> 1""",
+    "frontier_next": f"""
+        WITH f AS (
+          SELECT 'e' || event_id AS url, event_type AS domain, CASE WHEN user_id % 3 = 1 THEN 'PRODUCT' END AS type,
+            CASE WHEN event_id % 50 > 0 THEN epoch_us(date_trunc('hour', ts)) END AS retrieved_us,
+            CASE WHEN event_id % 4 > 0 THEN 'job' || (event_id % 4) END AS last_job
+          FROM events WHERE user_id % 3 <> 0),
+        r AS (
+          SELECT *, row_number() OVER (PARTITION BY domain ORDER BY retrieved_us NULLS FIRST, url) AS place
+          FROM f WHERE last_job IS DISTINCT FROM 'job' || (length(domain) % 4))
+        SELECT domain, place, url, type, last_job, retrieved_us FROM r WHERE place <= {NEXT}""",
     "fetch_fold": """
         SELECT event_type AS job_id, 'u' || user_id AS url,
           CAST(bool_or(value > 40) AS INTEGER) AS reached, count(*) AS attempts
@@ -402,6 +415,12 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'authors', isbn, title FROM m WHERE authors = '{LOOKUPS["authors"]}'
         UNION ALL SELECT 'isbn', isbn, title FROM m WHERE isbn = '{LOOKUPS["isbn"]}'
         UNION ALL SELECT 'best_offer_site', isbn, title FROM m WHERE contains(best_url, '//www.{SITE}/')""",
+    "indexed_lookup": f"""
+        WITH m AS ({_MERGED})
+        SELECT 'title' AS field, isbn, title FROM m WHERE title = '{LOOKUPS["title"]}'
+        UNION ALL SELECT 'authors', isbn, title FROM m WHERE authors = '{LOOKUPS["authors"]}'
+        UNION ALL SELECT 'isbn', isbn, title FROM m WHERE isbn = '{LOOKUPS["isbn"]}'
+        UNION ALL SELECT 'best_offer_site', isbn, title FROM m WHERE contains(best_url, '//www.{SITE}/')""",
     "job_lookup": _JOBS + f"SELECT job_id, domain, status FROM jobs WHERE job_id = '{JOB}'",
     "catalog_roundtrip": _SHOP + """
         SELECT isbn, title, authors, publisher, site, price AS nominal_value, availability FROM product""",

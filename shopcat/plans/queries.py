@@ -22,9 +22,10 @@ from shopcat.schemas import BOOKS, OFFERS, RAW_PAGES
 from shopcat.session import work_folder
 from shopcat.sources import rendered as R
 from shopcat.sources import snapshots
+from shopcat.sources.encoded import decode_pages
 from shopcat.sources.html import with_nodes
 from shopcat.sources.tables import (
-    is_folder, read_batches, read_pages, spread, stream_pages, write_books, write_frontier, write_offers,
+    commit_batch, is_folder, read_batches, read_pages, spread, stream_pages, write_books, write_frontier, write_offers,
 )
 from shopcat.streaming import expiry, running
 from shopcat.streaming import streams as S
@@ -34,6 +35,7 @@ QUERIES: dict[str, Query] = {}
 
 BATCH = 500
 TTL, LATE = "45 days 1 hour", "2 days"  # of a current offer
+NEXT = 40  # pages of a domain
 KEYWORD = "gizmo"
 SITE = "s7.example.ro"
 JOB = "j7"
@@ -193,6 +195,23 @@ def based_urls(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "canonical_url", "image_url")
 
 
+@query
+def encoded_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Shop pages fetched as bytes in four charsets, told by mark, header or declaration."""
+    k = F.col("page_id")
+    letters = F.replace("html", F.lit("Despre "), F.lit("Despre câine înalt, "))
+    # The letters added have the same bytes in ISO-8859-1 and ISO-8859-2; other ones are left to Unicode.
+    plain = F.translate(letters, "ăĂșȘțȚşŞţŢ", "aAsStTsStT")
+    declared = F.replace(plain, F.lit('charset="utf-8"'), F.lit('charset="iso-8859-2"'))
+    pages = shop_pages(spark, sf).select(
+        "page_id", "url", "retrieved_time",
+        F.when(k % 4 == 0, F.encode(letters, "UTF-8")).when(k % 4 == 1, F.encode(letters, "UTF-16"))
+        .when(k % 4 == 2, F.encode(plain, "ISO-8859-1")).otherwise(F.encode(declared, "ISO-8859-1")).alias("html"),
+        F.when(k % 4 == 2, F.lit("text/html; charset=ISO-8859-1")).alias("content_type"))
+    return heuristic_books(decode_pages(pages, "html", "content_type")).select(
+        "page_id", "charset", "title", "isbn", "description")
+
+
 @query
 def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
     return with_nodes(shop_pages(spark, sf)).select(
@@ -340,6 +359,21 @@ def frontier_resume(spark: SparkSession, sf: str) -> DataFrame:
         "url", "type", "last_job", F.unix_micros("retrieved_time").alias("retrieved_us"))
 
 
+@query
+def frontier_next(spark: SparkSession, sf: str) -> DataFrame:
+    """The next pages of every domain while each domain has a running job."""
+    events = table(spark, sf, "events")
+    frontier = events.select(
+        F.concat(F.lit("e"), "event_id").alias("url"), F.col("event_type").alias("domain"),
+        F.when(F.col("user_id") % 3 == 0, "JUNK").when(F.col("user_id") % 3 == 1, "PRODUCT").alias("type"),
+        F.when(F.col("event_id") % 50 > 0, F.date_trunc("hour", utc("ts"))).alias("retrieved_time"),
+        F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("job"), F.col("event_id") % 4)).alias("last_job"))
+    jobs = events.select(
+        F.col("event_type").alias("domain"), F.concat(F.lit("job"), F.length("event_type") % 4).alias("job_id")).distinct()
+    return P.next_pages(frontier, NEXT, jobs).select(
+        "domain", "place", "url", "type", "last_job", F.unix_micros("retrieved_time").alias("retrieved_us"))
+
+
 @query
 def fetch_fold(spark: SparkSession, sf: str) -> DataFrame:
     attempts = table(spark, sf, "events").select(
@@ -504,6 +538,18 @@ def book_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+@query
+def indexed_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The same books in a catalog of three batches that overlap, found by its index."""
+    root = work_folder(spark, "indexed")
+    for batch, condition in enumerate(("l_linestatus = 'F'", "l_linestatus <> 'F'", "l_linenumber = 1")):
+        S.add_books(C.merge_books(line_observations(spark, sf, condition)), root, batch)
+        commit_batch(spark, root, batch)
+    found = [S.lookup_books(spark, root, **{field: value}).select(F.lit(field).alias("field"), "isbn", "title")
+             for field, value in LOOKUPS.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def catalog_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Scrape all pages once, write every table, read the books and their offers back."""

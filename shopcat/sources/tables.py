@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopcat.functions.isbn import isbn_stem
 from shopcat.schemas import RAW_PAGES
+from shopcat.sources.encoded import decode_pages
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages as a batch table. ``retrieved_time`` is null where the table lacks it."""
+    """Fetched pages as a batch table. ``retrieved_time`` is null where the table lacks it.
+
+    An ``html`` column of bytes is decoded, with the header in ``content_type`` if there is such a column.
+    """
     pages = spark.read.parquet(path)
+    if dict(pages.dtypes)["html"] == "binary":
+        pages = decode_pages(pages, "html", "content_type" if "content_type" in pages.columns else None)
     if "retrieved_time" not in pages.columns:
         pages = pages.withColumn("retrieved_time", F.lit(None).cast("timestamp"))
     return pages.select("page_id", "url", "html", F.col("retrieved_time").cast("timestamp"))
@@ -25,6 +32,9 @@ def stream_pages(
     )
 
 
+PAGE_ROWS = 1000  # rows of a Parquet page of tables for lookups: what a lookup of one key reads, by the column index
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Give a small table at least one partition per core before work that is heavy per row.
 
@@ -47,8 +57,22 @@ def write_offers(offers: DataFrame, path: str, batch: str | int) -> None:
 
 
 def write_books(books: DataFrame, path: str, batch: str | int) -> None:
-    """Write catalog rows as one batch; the books of several batches fold with ``compact_books``."""
-    books.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    """Write catalog rows as one batch; the books of several batches fold with ``compact_books``.
+
+    Rows carry their ISBN stem and are sorted by it, so a lookup by stem reads few pages of a file.
+    """
+    rows = books.withColumn("stem", isbn_stem(F.col("isbn"))).sortWithinPartitions("stem")
+    rows.write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/batch={batch}")
+
+
+def write_index(entries: DataFrame, path: str, batch: str | int) -> None:
+    """Write index entries (key, stem) as one batch, sorted by key; a key of very many books fills several files.
+
+    Keys are hashes, so a dictionary would hold nearly all of them, and every lookup would read it.
+    """
+    rows = entries.hint("rebalance", "key").sortWithinPartitions("key")
+    rows.write.mode("overwrite").option("parquet.enable.dictionary", "false").option(
+        "parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/batch={batch}")
 
 
 def write_frontier(frontier: DataFrame, path: str, batch: str | int) -> None:
@@ -84,6 +108,13 @@ def is_committed(spark: SparkSession, root: str, batch: int) -> bool:
     return path_exists(spark, f"{root}/commits/id={batch}/_SUCCESS")
 
 
+def batches_of(spark: SparkSession, path: str, prefix: str = "batch=") -> set[int]:
+    """The batches that have a folder under ``path``."""
+    system, found = file_system(spark, path)
+    names = [s.getPath().getName() for s in system.listStatus(found)] if system.exists(found) else []
+    return {int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)}
+
+
 def last_committed(spark: SparkSession, root: str) -> int | None:
     """The highest published batch."""
     if not path_exists(spark, f"{root}/commits"):

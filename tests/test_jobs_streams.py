@@ -52,6 +52,29 @@ def test_frontier_select_and_upsert(spark):
     assert got["u9"] == ("UNREACHABLE", None, None) and len(got) == 6
 
 
+def test_next_pages_of_every_domain(spark):
+    r = random.Random(3)
+    rows = [(f"u{i:04}", "hot" if i % 3 == 0 else r.choice(["a", "b", None]), None, None,
+             r.choice([None, "PRODUCT", "JUNK"]), r.choice([None, T0, T0 + timedelta(hours=r.randrange(99))]),
+             r.choice([None, "j1", "j2"])) for i in range(900)]
+    running = {("hot", "j1"), ("a", "j2"), ("a", "j1"), (None, "j2"), ("idle", "j3")}
+    for held in (running, None):
+        marks = None if held is None else spark.createDataFrame(list(held), "domain string, job_id string")
+        want = {}
+        for row in rows:
+            if row[4] != "JUNK" and (row[1], row[6]) not in (held or ()):
+                want.setdefault(row[1], []).append(row)
+        want = {d: [x[0] for x in sorted(own, key=lambda x: (x[5] is not None, x[5] or T0, x[0]))[:7]] for d, own in want.items()}
+        for salts in (1, 64):
+            got = {}
+            for x in P.next_pages(frontier(spark, rows), 7, marks, salts).orderBy("place").collect():
+                got.setdefault(x["domain"], []).append(x["url"])
+            assert got == want
+    plan = P.next_pages(frontier(spark, rows), 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4 and "rangepartitioning" not in plan
+    assert P.next_pages(frontier(spark, []), 7).count() == 0
+
+
 def jobs(spark):
     return spark.createDataFrame([
         ("j1", "a.ro", "SCRAPE", "ACTIVE", T0, None), ("j2", "b.ro", "SCRAPE", "FINISHED", T0, T0),
