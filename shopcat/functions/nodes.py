@@ -11,6 +11,7 @@ from shopcat.functions.text import absolute_url, let
 
 # Fixed value: elements outside the main content of a page.
 BOILERPLATE_TAGS = ("nav", "header", "footer", "aside", "form")
+_TOPS = 128  # subtrees in a block
 
 
 def node_text(node: Column, page_text: Column) -> Column:
@@ -68,14 +69,41 @@ def canonical_url(nodes: Column, url: Column, base: Column | None = None) -> Col
                lambda u: F.when(u != "", u).otherwise(url))
 
 
+def covered(tops: Column, own: bool = True) -> Column:
+    """A mark for each node, by position: is it inside a subtree of ``tops``, the top itself counted if ``own``?
+
+    ``tops`` are nodes in document order. Subtrees lie apart or inside each other, so one pass over ``tops`` keeps the
+    outer ones as runs of marks. Positions after the last subtree have no mark. Runs are gathered by blocks of tops, as
+    each addition copies the array that it adds to.
+    """
+    empty = F.array().cast("array<struct<outside:int,inside:int>>")
+
+    def one(state: Column, node: Column) -> Column:
+        run = F.struct((node["pos"] - state["until"] - F.lit(int(own))).alias("outside"),
+                       (node["last"] - node["pos"] + F.lit(int(own))).alias("inside"))
+        return F.when((node["pos"] <= state["until"]) | (node["last"] < node["pos"] + F.lit(int(not own))), state).otherwise(
+            F.struct(node["last"].alias("until"), F.array_append(state["runs"], run).alias("runs")))
+
+    def block(found: Column, state: Column, at: Column) -> Column:
+        inner = F.aggregate(F.slice(found, at, F.lit(_TOPS)), F.struct(state["until"].alias("until"), empty.alias("runs")), one)
+        return let(inner, lambda i: F.struct(
+            i["until"].alias("until"), F.array_append(state["blocks"], i["runs"]).alias("blocks")))
+
+    def runs(found: Column) -> Column:
+        start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<array<struct<outside:int,inside:int>>>").alias("blocks"))
+        return F.flatten(F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(_TOPS)), start,
+            lambda state, at: block(found, state, at), lambda state: state["blocks"]))
+
+    return F.flatten(F.transform(let(tops, runs), lambda r: F.concat(
+        F.array_repeat(F.lit(False), r["outside"]), F.array_repeat(F.lit(True), r["inside"]))))
+
+
 def main_content(nodes: Column) -> Column:
     """Nodes outside navigation, header, footer, aside and form subtrees."""
     return let(
-        F.filter(nodes, lambda n: n["tag"].isin(*BOILERPLATE_TAGS)),
-        lambda cut: F.filter(
-            nodes,
-            lambda n: ~F.exists(cut, lambda c: (c["pos"] <= n["pos"]) & (n["pos"] <= c["last"])),
-        ),
+        covered(F.filter(nodes, lambda n: n["tag"].isin(*BOILERPLATE_TAGS))),
+        lambda cut: F.filter(nodes, lambda n: ~F.coalesce(F.get(cut, n["pos"]), F.lit(False))),
     )
 
 

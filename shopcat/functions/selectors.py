@@ -13,6 +13,7 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shopcat.functions.nodes import covered
 from shopcat.functions.text import let
 
 _NAME = r"[\w-]+"
@@ -83,27 +84,23 @@ def _fulfils(node: Column, step: Column) -> Column:
 
 
 def selected(nodes: Column, alternatives: Column) -> Column:
-    """Nodes that match any alternative, in document order."""
-
-    def spans(matching: Column) -> Column:
-        return F.transform(
-            matching, lambda n: F.struct(n["pos"].alias("pos"), n["last"].alias("last")))
-
-    def follow(reached: Column, step: Column) -> Column:
-        return spans(F.filter(
-            nodes,
-            lambda n: _fulfils(n, step) & F.exists(
-                reached,
-                lambda r: F.when(step["child"], n["parent"] == r["pos"])
-                .otherwise((r["pos"] < n["pos"]) & (n["pos"] <= r["last"])),
-            ),
-        ))
-
-    def positions(steps: Column) -> Column:
-        roots = let(F.get(steps, F.lit(0)),
-                    lambda s: spans(F.filter(nodes, lambda n: _fulfils(n, s))))
+    """Nodes that match any alternative, in document order.
+
+    Each step keeps one mark for every node, and the next step is one pass over the nodes: a child looks up its parent's
+    mark, a descendant the mark of the ranges below all marked nodes.
+    """
+
+    def follow(marks: Column, step: Column) -> Column:
+        return let(
+            F.when(step["child"], marks).otherwise(covered(F.filter(nodes, lambda n: F.get(marks, n["pos"])), own=False)),
+            lambda above: F.transform(nodes, lambda n: F.coalesce(
+                F.get(above, F.when(step["child"], n["parent"]).otherwise(n["pos"])), F.lit(False)) & _fulfils(n, step)))
+
+    def marked(steps: Column) -> Column:
+        roots = let(F.get(steps, F.lit(0)), lambda s: F.transform(nodes, lambda n: _fulfils(n, s)))
         rest = F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0)))
-        return F.transform(F.aggregate(rest, roots, follow), lambda r: r["pos"])
+        return F.aggregate(rest, roots, follow)
 
-    hits = F.array_sort(F.array_distinct(F.flatten(F.transform(alternatives, positions))))
-    return F.transform(hits, lambda p: F.get(nodes, p))
+    return F.when(alternatives.isNotNull(), let(
+        F.transform(alternatives, marked),
+        lambda found: F.filter(nodes, lambda n: F.exists(found, lambda marks: F.get(marks, n["pos"])))))

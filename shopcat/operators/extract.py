@@ -7,7 +7,7 @@ with nodes; :func:`assemble` turns them into keywords and an offer struct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopcat.functions import fields as X
@@ -48,22 +48,31 @@ def _page_columns() -> dict[str, Column]:
 def wrappers_by_domain(wrappers: DataFrame) -> DataFrame:
     """One row per domain: ``selectors`` (field -> attr and steps) and ``selector_errors``.
 
-    A second selector for the same field of a domain is ignored (the smallest text is kept).
+    A second selector for the same field of a domain is ignored (the smallest text is kept). If ``wrappers`` has
+    ``valid_from``, rows of a domain with the same one are a version, which replaces the former as a whole; there is one row
+    for each, valid in ``[_from, _until)``. Null is the beginning of time. A version whose only row has a null field ends
+    the domain's selectors.
     """
-    compiled = wrappers.groupBy("domain", "field").agg(
+    version = ["valid_from"] if "valid_from" in wrappers.columns else []
+    compiled = wrappers.groupBy("domain", *version, "field").agg(
         F.min(F.struct("query", "attr")).alias("s")
     ).select(
-        "domain", "field", "s.attr",
+        "domain", *version, "field", "s.attr",
         selector_steps(F.col("s.query")).alias("steps"),
         F.when(~is_supported(F.col("s.query")),
                F.concat(F.lit("unsupported selector "), "field", F.lit(": "), "s.query")
                ).alias("error"),
     )
-    return compiled.groupBy(F.col("domain").alias("site")).agg(
-        F.map_from_entries(F.collect_list(F.struct("field", F.struct("attr", "steps"))))
-        .alias("selectors"),
+    known = F.when(F.col("field").isNotNull(), F.struct("field", F.struct("attr", "steps")))
+    entries = F.collect_list(known)
+    by_domain = compiled.groupBy(F.col("domain").alias("site"), *version).agg(
+        F.when(F.size(entries) > 0, F.map_from_entries(entries)).alias("selectors"),
         F.array_sort(F.collect_list("error")).alias("selector_errors"),
     )
+    if not version:
+        return by_domain
+    in_time = Window.partitionBy("site").orderBy(F.col("valid_from").asc_nulls_first())
+    return by_domain.withColumn("_until", F.lead("valid_from").over(in_time)).withColumnRenamed("valid_from", "_from")
 
 
 def choose_strategy(pages: DataFrame, wrappers: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -78,10 +87,24 @@ def choose_strategy(pages: DataFrame, wrappers: DataFrame, max_bytes: int = BROA
 
 def _with_strategy(pages: DataFrame, compiled: DataFrame) -> DataFrame:
     with_site = pages if "site" in pages.columns else pages.withColumn("site", site_of(F.col("url")))
-    return with_site.join(compiled, "site", "left").withColumn(
+    joined = _valid_then(with_site, compiled) if "_from" in compiled.columns else with_site.join(compiled, "site", "left")
+    return joined.withColumn(
         "strategy", F.when(F.col("selectors").isNotNull(), "selectors").otherwise("heuristic"))
 
 
+def _valid_then(pages: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each page with the version of its site's selectors that was valid at its ``retrieved_time``.
+
+    An equi-join on the site with the time as a further condition; versions of a site don't overlap, so a page
+    meets one at most. A page without time takes the last version.
+    """
+    time = F.col("retrieved_time")
+    begun = F.col("_from").isNull() | time.isNull() | (F.col("_from") <= time)
+    valid = begun & (F.col("_until").isNull() | (time < F.col("_until")))
+    same = pages["site"] == versions["site"]
+    return pages.join(versions, same & valid, "left").drop(versions["site"]).drop("_from", "_until")
+
+
 def _selector_value(nodes: Column, page_text: Column, base: Column, selector: Column) -> Column:
     """Text of the first selected node, or the attribute asked for (``abs:name`` resolves it)."""
     def read(node: Column) -> Column:

@@ -116,6 +116,21 @@ WITH page AS (
 )
 """
 
+# What the pages say to selectors that are edited halfway.
+_EDITED = _SHOP + f""", half AS (
+  SELECT max(k) // 2 AS h FROM shop
+), edited AS (
+  SELECT k, site, 'selectors' AS strategy, CASE WHEN k % 5 = 1 THEN doc_title ELSE p_name END AS title,
+         'Ana ' || p_brand AS authors, CASE WHEN k % 6 <> 5 THEN isbn13 END AS isbn, p_brand AS publisher, price,
+         {_AVAILABILITY_CASE.format(x='phrase')} AS availability
+  FROM shop, half WHERE k >= h AND k % 5 IN (1, 2)
+  UNION ALL SELECT k, site, strategy, title, authors, isbn, publisher, price, availability
+  FROM chosen, half WHERE k < h
+  UNION ALL SELECT k, site, strategy, title, authors, isbn, publisher, price, availability
+  FROM heuristic, half WHERE k >= h AND k % 5 NOT IN (1, 2)
+)
+"""
+
 _OFFER_COLUMNS = """
   k AS page_id, {price} AS nominal_value,
   CASE WHEN price IS NOT NULL THEN 'RON' END AS currency,
@@ -307,6 +322,10 @@ ORACLE: dict[str, str] = {
         SELECT k AS page_id, site, strategy, title, authors, isbn, publisher, format, image_url,
           price AS nominal_value, CASE WHEN price IS NOT NULL THEN availability END AS availability
         FROM chosen""",
+    "wrapper_versions": _EDITED + """
+        SELECT k AS page_id, site, strategy, title, authors, isbn, publisher,
+          price AS nominal_value, CASE WHEN price IS NOT NULL THEN availability END AS availability
+        FROM edited""",
     "selector_modes": """
         WITH page AS (SELECT p_partkey AS k, 'shop' || (p_partkey % 5) || '.example.ro' AS domain FROM part),
         label AS (
@@ -509,6 +528,9 @@ ORACLE: dict[str, str] = {
         FROM product""",
     "stream_catalog": _SHOP + """
         SELECT isbn, title, authors, publisher, site, price AS nominal_value, availability FROM product""",
+    "stream_wrapper_versions": _EDITED + """
+        SELECT isbn, title, authors, publisher, site, price AS nominal_value, availability
+        FROM edited WHERE isbn IS NOT NULL AND price IS NOT NULL""",
     "shop_overview": _SHOP + """
         SELECT site, CASE WHEN isbn IS NULL THEN 'JUNK' WHEN price IS NULL THEN 'UNAVAILABLE'
             ELSE 'PRODUCT' END AS type, count(*) AS pages, min(price) AS lowest, max(price) AS highest

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,7 @@ from shopcat.sources import rendered as R
 from shopcat.sources import snapshots
 from shopcat.sources.encoded import decode_pages
 from shopcat.sources.html import with_nodes
+from shopcat.sources.wrappers import publish_wrappers, read_wrappers
 from shopcat.sources.tables import (
     commit_batch, is_folder, read_batches, read_pages, spread, stream_pages, write_books, write_frontier, write_offers,
 )
@@ -277,6 +279,22 @@ def strategies(spark: SparkSession, sf: str) -> DataFrame:
                           double("offer.nominal_value").alias("nominal_value"), "offer.availability")
 
 
+def _half(part: DataFrame) -> int:
+    return part.agg(F.max("p_partkey")).first()[0] // 2
+
+
+@query
+def wrapper_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Selectors are edited halfway through the crawl; each page is read by those of its time."""
+    part = table(spark, sf, "part")
+    edited = F.timestamp_seconds(F.lit(R.EPOCH + _half(part)))
+    versions = R.wrappers(part).withColumn("valid_from", F.lit(None).cast("timestamp")).union(
+        R.edited_wrappers(part).withColumn("valid_from", edited))
+    return scrape(shop_pages(spark, sf), versions).select(
+        "page_id", "site", "strategy", "title", "authors", "isbn", "publisher",
+        double("offer.nominal_value").alias("nominal_value"), "offer.availability")
+
+
 @query
 def selector_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Selectors for labelled nodes of the shop pages, per site and field."""
@@ -723,6 +741,30 @@ def stream_catalog(spark: SparkSession, sf: str) -> DataFrame:
         double("best_offer.nominal_value").alias("nominal_value"), "best_offer.availability")
 
 
+@query
+def stream_wrapper_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Selectors are edited while the catalog stream runs; pages of the time before come late as well."""
+    part, pages = table(spark, sf, "part"), shop_pages(spark, sf)
+    source, store, root = (work_folder(spark, n) for n in ("pages", "wrappers", "stream-versions"))
+    half = _half(part)
+    early = (F.unix_seconds("retrieved_time") < R.EPOCH + half) & (F.col("page_id") % 2 == 1)
+    pages.where(early).write.mode("append").parquet(source)
+    publish_wrappers(R.wrappers(part), store)
+    running_stream = S.run_catalog_stream(
+        stream_pages(spark, source, RAW_PAGES, max_files=1000), root, "job", lambda: read_wrappers(spark, store),
+        trigger={"processingTime": "0 seconds"})
+    try:
+        running_stream.processAllAvailable()
+        publish_wrappers(R.edited_wrappers(part), store, datetime.fromtimestamp(R.EPOCH + half, timezone.utc))
+        pages.where(~early).write.mode("append").parquet(source)
+        running_stream.processAllAvailable()
+    finally:
+        running_stream.stop()
+    return S.read_books(spark, root).select(
+        "isbn", "title", "authors", "publisher", F.col("best_offer.site").alias("site"),
+        double("best_offer.nominal_value").alias("nominal_value"), "best_offer.availability")
+
+
 @query
 def stream_offers(spark: SparkSession, sf: str) -> DataFrame:
     """Every shop page is delivered twice, in different files; each offer is in the catalog once."""

@@ -33,5 +33,6 @@ FRONTIER = (
 FRONTIER_ROWS = f"{FRONTIER}, seen_at timestamp"
 OFFERS = f"{OFFER[len('struct<'):-1].replace(':', ' ')}, isbn string, job_id string"
 WRAPPERS = "domain string, field string, query string, attr string"
+WRAPPER_VERSIONS = f"{WRAPPERS}, valid_from timestamp"
 JOBS = "job_id string, domain string, type string, status string, start timestamp, end timestamp"
 FETCH_ATTEMPTS = "job_id string, url string, attempt int, ok boolean, download_ms bigint"

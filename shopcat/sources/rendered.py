@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shopcat.functions.isbn import ean13_check_digit
 from shopcat.functions.words import AVAILABILITY
+from shopcat.schemas import WRAPPERS
 
 # Fixed values of the rendering.
 EPOCH = 1_704_067_200
@@ -118,8 +119,19 @@ def fetch_attempts(part: DataFrame) -> DataFrame:
 
 def wrappers(part: DataFrame) -> DataFrame:
     """Selectors of the sites that occur in ``part`` and have any."""
-    rows = part.sparkSession.createDataFrame(
-        WRAPPER_ROWS, "domain string, field string, query string, attr string")
+    return _of_sites(part, WRAPPER_ROWS)
+
+
+def edited_wrappers(part: DataFrame) -> DataFrame:
+    """Later selectors: the first shop has none any more, the second another title, the third the second's."""
+    second = [r for r in WRAPPER_ROWS if r[0] == "shop1.example.ro"]
+    titled = [(d, f, "head > title" if f == "title" else q, a) for d, f, q, a in second]
+    third = [("shop2.example.ro", *r[1:]) for r in second]
+    return _of_sites(part, [("shop0.example.ro", None, None, None), *titled, *third])
+
+
+def _of_sites(part: DataFrame, selectors: list[tuple]) -> DataFrame:
+    rows = part.sparkSession.createDataFrame(selectors, WRAPPERS)
     sites = part.select(
         F.concat(F.lit("shop"), (F.col("p_partkey") % 5).cast("string"), F.lit(".example.ro"))
         .alias("domain")).distinct()

@@ -8,12 +8,13 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from shopcat.functions.nodes import document_title, main_text, node_text
+from shopcat.functions.nodes import document_title, main_content, main_text, node_text
 from shopcat.functions.selectors import is_supported, selected, selector_steps
 from shopcat.operators.extract import heuristic_books, scrape, with_wrapper_fields
 from shopcat.operators.induction import induce_selectors, label_nodes
-from shopcat.schemas import RAW_PAGES, WRAPPERS
+from shopcat.schemas import RAW_PAGES, WRAPPER_VERSIONS, WRAPPERS
 from shopcat.sources.html import _NodeBatch, with_nodes
+from shopcat.sources.wrappers import publish_wrappers, read_wrappers
 
 URL = "https://www.carti.example.ro/carte/1?x=2"
 
@@ -314,3 +315,89 @@ def test_induction(spark):
     assert {r["field"]: r["selector"] for r in got.collect()} == {
         "class": ".a.b", "inside": ".a.b>span", "deep": "#top>p>u", "id": "#top", "modal": ".k",
         "tags": "#list>li", "parent": ".plain"}
+
+
+def _by_climbing(nodes, chain):
+    """Positions that a chain of (tag, is child) selects, by looking at the ancestors of each node."""
+    def matches(n, k):
+        if chain[k][0] not in ("*", n["tag"]):
+            return False
+        if k == 0:
+            return True
+        up = n["parent"]
+        while up >= 0:
+            if matches(nodes[up], k - 1):
+                return True
+            if chain[k][1]:
+                return False
+            up = nodes[up]["parent"]
+        return False
+
+    return [n["pos"] for n in nodes if matches(n, len(chain) - 1)]
+
+
+def test_selectors_on_random_trees(spark):
+    rng = random.Random(5)
+
+    def grow(depth):
+        tag = rng.choice(("div", "b", "nav", "i"))
+        inside = "".join(grow(depth - 1) for _ in range(rng.randint(0, 3))) if depth else ""
+        return f"<{tag}>x{inside}</{tag}>"
+
+    rows = with_nodes(pages(spark, "", *["".join(grow(6) for _ in range(3)) for _ in range(20)]))
+    chains = [[(rng.choice(("div", "b", "i", "*")), rng.random() < 0.4) for _ in range(rng.randint(1, 4))] for _ in range(25)]
+    queries = ["".join((" > " if child else " ") * (k > 0) + tag for k, (tag, child) in enumerate(c)) for c in chains]
+    got = rows.select("nodes", F.transform(main_content(F.col("nodes")), lambda n: n["pos"]).alias("main"), *[
+        F.transform(selected(F.col("nodes"), selector_steps(F.lit(q))), lambda n: n["pos"]).alias(f"q{k}")
+        for k, q in enumerate(queries)]).collect()
+    for row in got:
+        nodes = row["nodes"]
+        for k, chain in enumerate(chains):
+            assert row[f"q{k}"] == _by_climbing(nodes, chain), queries[k]
+        cut = {p for n in nodes if n["tag"] == "nav" for p in range(n["pos"], n["last"] + 1)}
+        assert row["main"] == [n["pos"] for n in nodes if n["pos"] not in cut]
+    assert sum(len(r["nodes"]) for r in got) > 500
+
+
+@pytest.mark.parametrize("shape", ["<div><div><div>x</div></div></div>", "<div><nav>x</nav></div><b>y</b>"])
+def test_selectors_take_linear_time(spark, shape):
+    page = with_nodes(pages(spark, shape * 6700)).cache()
+    nodes, steps = F.col("nodes"), selector_steps(F.lit("div div div, div > nav"))
+    measure = page.select(F.size(selected(nodes, steps)).alias("n"), F.size(main_content(nodes)).alias("m"))
+    measure.first()
+    start = time.time()
+    row = measure.first()
+    assert time.time() - start < 5
+    assert (row["n"], row["m"]) == ((6700, 20100) if "nav" not in shape else (6700, 13400))
+    page.unpersist()
+
+
+def test_selectors_of_the_time_of_a_page(spark):
+    at = [datetime(2024, 1, d) for d in (1, 3, 5, 7)]
+    page = spark.createDataFrame(
+        [(i, f"https://{site}.ro/{i}", "<title>t</title><h1>h</h1><h2>g</h2>", t)
+         for i, (site, t) in enumerate([("a", at[0]), ("a", at[1]), ("a", at[2]), ("a", at[3]), ("a", None), ("b", at[0]),
+                                        ("b", at[1]), ("c", at[1]), (" ", at[1])])], RAW_PAGES)
+    rows = [("a.ro", "title", "h1", None, at[1]), ("a.ro", "title", "h2", None, at[2]), ("a.ro", None, None, None, at[3]),
+            ("b.ro", "title", "h1", None, None), ("b.ro", "isbn", "h1", None, at[1]), (None, "title", "h1", None, None)]
+    wrappers = spark.createDataFrame(rows, WRAPPER_VERSIONS)
+    want = [None, {"title": "h"}, {"title": "g"}, None, None, {"title": "h"}, {"isbn": "h"}, None, None]
+    for limit in (64 << 20, 1):
+        got = with_wrapper_fields(page, wrappers, limit).orderBy("page_id")
+        assert [r["fields"] for r in got.collect()] == want
+        assert not {"_from", "_until", "_site"} & set(got.columns) and got.columns.count("site") == 1
+    assert scrape(page, wrappers.limit(0)).where("strategy = 'heuristic'").count() == 9
+    # Neither way shuffles or parses pages a second time.
+    plan = with_wrapper_fields(page, wrappers)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_wrapper_store(spark, tmp_path):
+    root, first = str(tmp_path / "w"), [("a.ro", "title", "h1", None)]
+    assert read_wrappers(spark, root).count() == 0
+    publish_wrappers(spark.createDataFrame(first, WRAPPERS), root)
+    before = read_wrappers(spark, root)
+    publish_wrappers(spark.createDataFrame([("a.ro", "title", "h2", None)], WRAPPERS), root, datetime(2024, 1, 2))
+    assert [tuple(r) for r in before.collect()] == [(*first[0], None)]
+    assert sorted((r["query"], r["valid_from"]) for r in read_wrappers(spark, root).collect()) == [
+        ("h1", None), ("h2", datetime(2024, 1, 2))]
