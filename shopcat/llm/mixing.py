@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from shopcat.llm.common import WORD, written
 
 MOST = 3  # copies of a document at most
-ROUNDS, CLOSE = 50, 1e-9  # Newton steps at most; relative error of every target at which they stop
+ROUNDS, CLOSE = 100, 1e-9  # Newton steps at most; relative error of every target at which they stop
 BUCKET = 256  # documents of one size and source that one window ranks
 
 
@@ -118,37 +120,84 @@ def tilts(cells: DataFrame, targets: list[tuple[str, DataFrame]]) -> DataFrame:
     return rated(numbered, x).withColumn("rate", F.coalesce("rate", F.lit(0.0))).drop(*ks)
 
 
-def copies(docs: DataFrame, rates: DataFrame, most: int = MOST) -> DataFrame:
-    """(id, size, source, copies): round the rates of the sources into copies of documents.
+def document_rates(classes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
+    """Add ``rate`` to ``classes`` (source, size, n): the entropy balance of documents under a word target per source.
 
-    Every document has the whole part of its source's rate. The rest is dealt to documents by falling
-    size: the documents of one size get as many more copies as bring the source's words nearest to
-    its rate so far, so the words of a source end within half a small document of its target. This
-    fold reads one row per source and size. Which documents of a size get one is decided by a hash of
-    the id, ranked in buckets of bounded size; so reruns agree.
+    Of all rates up to ``most`` whose words sum to the source's target, those nearest to 1 in entropy are
+    min(most, exp(multiplier * size)): a document is tilted by its own size. The multipliers are the zeros of the dual's
+    gradient. Each Newton step is one Spark job that reduces the classes, which are far fewer than documents, to a gradient
+    and a curvature for each source; multipliers stay a table and never come to the driver. Sizes are whole
+    numbers, so a multiplier lies between -log(source / target) and log(most); a step that leaves the
+    interval known so far halves it instead. Sums are decimals, so the order of rows does not matter. A source stops once its
+    gradient is below :data:`CLOSE` of its target.
 
-    ``docs`` has id, source, size. Documents without words have one copy if their source's rate isn't
-    0. A rate over ``most`` is taken as ``most``.
+    A source whose target is all it can give has the rate ``most``. Documents without words have rate 1. Null sources
+    are a source.
+    """
+    words = F.col("size").cast("double")
+    ratio = F.col("target") / words
+    state = written(targets.where("size > 0").select(
+        F.struct("source").alias("key"), "target", F.when(ratio < most - 1e-9, F.lit(False)).otherwise(True).alias("done"),
+        F.when(ratio < most - 1e-9, F.lit(0.0)).otherwise(F.lit(math.log(most))).alias("x"),
+        F.least(F.log(ratio), F.lit(0.0)).alias("low"),
+        F.when(ratio > 1, F.lit(math.log(most))).otherwise(0.0).alias("high")), "multipliers")
+    keyed = classes.where("size > 0").withColumn("key", F.struct("source"))
+    small = targets.count() <= 100_000
+
+    def meet(rows: DataFrame, multipliers: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(multipliers) if small else multipliers, "key")
+
+    exact = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
+    tilted = F.exp(F.least(F.col("x") * F.col("size"), F.lit(math.log(most))))
+    free = F.col("x") * F.col("size") < math.log(most)
+    for _ in range(ROUNDS):
+        reduced = meet(keyed, state.where("NOT done").select("key", "x")).withColumn("words", F.col("n") * F.col("size") * tilted).groupBy(
+            "key").agg(exact(F.col("words")).alias("given"),
+                       exact(F.when(free, F.col("words") * F.col("size")).otherwise(0)).alias("curve"))
+        slope = F.col("given") - F.col("target")
+        low = F.when(slope < 0, F.col("x")).otherwise(F.col("low"))
+        high = F.when(slope > 0, F.col("x")).otherwise(F.col("high"))
+        newton = F.col("x") - slope / F.nullif(F.col("curve"), F.lit(0.0))
+        inside = (newton > low) & (newton < high)
+        close = F.abs(slope) <= CLOSE * F.col("target")
+        moved = F.when(close, F.col("x")).when(inside, newton).otherwise((low + high) / 2)
+        state = written(state.join(reduced, "key", "left").select(
+            "key", "target", (F.col("done") | close).alias("done"),
+            F.when(F.col("done"), F.col("x")).otherwise(moved).alias("x"),
+            F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"),
+            F.when(F.col("done"), F.col("high")).otherwise(high).alias("high")), "multipliers")
+        if state.where("NOT done").isEmpty():
+            break
+    given = targets.select(F.struct("source").alias("key"), (F.col("target") >= (most - 1e-9) * words).alias("full"))
+    rated = meet(meet(classes.withColumn("key", F.struct("source")), given).where("size > 0"), state.select("key", "x"))
+    none = classes.where("size = 0").select("source", "size", "n", F.lit(1.0).alias("rate"))
+    return rated.select("source", "size", "n", F.when(F.col("full"), F.lit(float(most))).otherwise(tilted).alias("rate")).union(none)
+
+
+def copies(docs: DataFrame, rates: DataFrame, most: int = MOST) -> DataFrame:
+    """(id, source, size, copies): round the rates of documents into copies.
+
+    ``docs`` has id, source, size; ``rates`` has source, size, their number n, and rate. Every document has the whole part of
+    its rate. The rest is dealt to documents by falling size: the documents of one size get as many more copies as
+    bring the source's words nearest to those due so far, so the words of a source end within half a
+    small document of its target. This fold reads one row per source and size. Which documents of a size get one
+    is decided by a hash of the id, ranked in buckets of bounded size; so reruns agree.
     """
-    capped = F.least(F.col("rate"), F.lit(float(most)))
-    classes = written(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
 
     def fold(frame):
         frame = frame.sort_values("size", ascending=False, ignore_index=True)
-        rate = min(float(frame["rate"].iloc[0]), most)
-        whole, owed, extra = int(rate + 1e-9), 0.0, []
-        rest = max(0.0, rate - whole)
-        for size, n in zip(frame["size"], frame["n"]):
-            owed += rest * size * n
-            more = int(min(n, max(0, round(owed / size)))) if size and rest else 0
+        owed, wholes, extra = 0.0, [], []
+        for size, n, rate in zip(frame["size"], frame["n"], frame["rate"]):
+            whole = int(rate + 1e-9)
+            owed += max(0.0, rate - whole) * size * n
+            more = int(min(n, max(0, round(owed / size)))) if size and whole < most else 0
             owed -= more * size
+            wholes.append(whole)
             extra.append(more)
-        return frame.assign(whole=whole, extra=extra)[["source", "size", "n", "whole", "extra"]]
+        return frame.assign(whole=wholes, extra=extra)[["source", "size", "n", "whole", "extra"]]
 
-    plan = written(
-        classes.join(rates.select(F.col("source").alias("_s"), capped.alias("rate")),
-                     F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        .groupBy("source").applyInPandas(fold, "source string, size long, n long, whole long, extra long"), "plan")
+    plan = written(rates.groupBy("source").applyInPandas(
+        fold, "source string, size long, n long, whole long, extra long"), "plan")
     key = F.struct("source", "size")
     ranked = docs.withColumn("key", key).join(
         plan.select(key.alias("key"), "n", "whole", "extra"), "key").withColumn(
@@ -170,13 +219,14 @@ def copies(docs: DataFrame, rates: DataFrame, most: int = MOST) -> DataFrame:
 def balanced(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST) -> DataFrame:
     """(id, source, size, source_size, target, copies): mix ``docs`` (id, source, size) by weight.
 
-    Token targets per source come from :func:`weighted_targets`, rates from the Newton solution of
-    :func:`tilts`, whole numbers from :func:`copies`. An empty table gives an empty result.
+    Token targets per source come from :func:`weighted_targets`, rates of documents from the Newton solution of
+    :func:`document_rates`, whole numbers from :func:`copies`. Documents without words have one copy. An empty table gives
+    an empty result.
     """
     sizes = written(docs.groupBy("source").agg(F.sum("size").alias("size")), "sources")
     targets = written(weighted_targets(sizes, weights, most), "targets")
-    rates = tilts(sizes, [("source", targets)])
-    dealt = copies(docs, rates, most)
+    classes = written(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
+    dealt = copies(docs, document_rates(classes, targets, most), most)
     named = targets.select(F.struct("source").alias("key"), F.col("size").alias("source_size"), "target")
     return dealt.join(F.broadcast(named) if named.count() <= 100_000 else named,
                       F.struct(dealt["source"]) == named["key"]).select(

@@ -69,6 +69,44 @@ def test_mixture_meets_its_targets(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
 
 
+def brute_multiplier(sizes, target):
+    """The zero of the words given minus the target, by halving alone."""
+    low, high = -50.0, 50.0
+    for _ in range(200):
+        x = (low + high) / 2
+        given = sum(n * s * min(3.0, math.exp(min(x * s, 5))) for s, n in sizes.items())
+        low, high = (x, high) if given < target else (low, x)
+    return low
+
+
+def test_documents_are_tilted_by_their_size(spark):
+    r = random.Random(3)
+    sources = {"down": 0.3, "little": 0.002, "up": 1.7, "most": 2.99, "full": 3.0, None: 1.0, "one": 0.5, "words": 1.2}
+    classes, targets = [], []
+    for source, share in sources.items():
+        sizes = {"one": {20_000: 1}, "words": {1: 7}}.get(source) or {
+            int(r.paretovariate(0.6)) + 1: r.randint(1, 40) for _ in range(60)}
+        total = sum(s * n for s, n in sizes.items())
+        classes += [(source, s, n) for s, n in [*sizes.items(), (0, 2)]]
+        targets.append((source, total, share * total))
+    classes.append(("empty", 0, 4))
+    targets.append(("empty", 0, 0.0))
+    c = spark.createDataFrame(classes, "source string, size long, n long")
+    t = spark.createDataFrame(targets, "source string, size long, target double")
+    got = mixing.document_rates(c, t).collect()
+    assert len(got) == len(classes)
+    for source, total, target in targets:
+        rows = [r for r in got if r["source"] == source]
+        given = sum(r["n"] * r["size"] * r["rate"] for r in rows)
+        assert math.isclose(given, target, rel_tol=1e-6), source
+        assert all(r["rate"] == 1 for r in rows if r["size"] == 0)
+        if total and target < 3 * total:
+            x = brute_multiplier({r["size"]: r["n"] for r in rows if r["size"]}, target)
+            assert all(math.isclose(r["rate"], min(3, math.exp(min(x * r["size"], 5))), rel_tol=1e-4, abs_tol=1e-12) for r in rows)
+    again = mixing.document_rates(c.repartition(5), t).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
 def test_mixed_rows_are_copies(spark):
     rows = mixture_rows(2, 200)
     rows.append(rows[0])
