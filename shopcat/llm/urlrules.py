@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from shopcat.llm.common import lower_ascii, written
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LEAST, CONFIDENCE = 10, 0.8  # bad pages that a rule matches, at least; share of bad ones among all it matches
 LONGEST = 4  # tokens of a mined rule
-BLOCK = 8  # tokens of half a transaction: FP-growth may list all 2^16 subsets of one
+SHORT = 16  # tokens of a row for FP-growth, which may list all 2^16 subsets of one
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -41,10 +41,10 @@ def mine(labelled: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE
     A rule needs ``least`` bad rows and the confidence. A url with all tokens of a rule is blocked, so rules
     with more tokens than another one are needless: tokens that are rules alone are counted and set apart, and
     FP-growth mines the bad rows for sets of two to ``LONGEST`` of the others. Tokens that the labelled rows hold
-    always together count as one class, named by its smallest token: any of them stands for it. A row of more
-    than two blocks of classes is mined as all pairs of its blocks, which bounds the subsets that one
-    transaction has: rules of two classes are all found, longer ones if two blocks of a row hold them.
-    FP-growth only proposes; support and confidence are counted over whole rows.
+    always together count as one class, named by its smallest token: any of them stands for it. If a row has more
+    than ``SHORT`` classes, PrefixSpan reads the sorted rows instead: its patterns of at most ``LONGEST`` single items
+    are the sets of that size, and it lists no larger ones. Both find every set; they only propose, and support and
+    confidence are counted over whole rows.
     """
     rows = written(labelled.select(
         F.monotonically_increasing_id().alias("row"), "items", F.col("bad").cast("long").alias("bad")), "labelled")
@@ -62,10 +62,8 @@ def mine(labelled: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE
     held = written(seen.join(classes, "token").groupBy("row").agg(
         F.max("bad").alias("bad"), F.sort_array(F.collect_set("rep")).alias("items")).where(F.size("items") > 1), "held")
     sets = written(held.groupBy("items").agg(F.sum("bad").alias("hits"), F.count("*").alias("uses")), "sets")
-    bad = written(held.where("bad = 1").select(F.explode(_transactions(F.col("items"))).alias("items")), "transactions")
-    least_share = (least - 0.5) / max(least, bad.count())
-    proposed = FPGrowth(itemsCol="items", minSupport=least_share).fit(bad).freqItemsets.where(
-        F.size("items").between(2, LONGEST)).select(F.sort_array("items").alias("items"))
+    bad = written(held.where("bad = 1").select("items"), "transactions")
+    proposed = _frequent(bad, least).where(F.size("items").between(2, LONGEST))
     proposed = written(proposed.withColumn("rule_id", F.xxhash64("items")), "proposed")
     found = looked_up(sets, proposed, "items", "hits", "uses").groupBy("rule_id").agg(
         F.sum("hits").alias("hits"), F.sum("uses").alias("uses")).where((F.col("hits") >= least) & sure)
@@ -74,16 +72,15 @@ def mine(labelled: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE
     return written(rules, "rules"), classes.union(alone)
 
 
-def _transactions(items: Column) -> Column:
-    """The items as one list, or all pairs of their blocks where they are more than two blocks."""
-    n = F.ceil(F.size(items) / BLOCK).cast("int")
-
-    def block(i: Column) -> Column:
-        return F.slice(items, i * BLOCK + 1, BLOCK)
-
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(
-        F.sequence(i + 1, n - 1), lambda j: F.concat(block(i), block(j)))))
-    return F.when(n <= 2, F.array(items)).otherwise(pairs)
+def _frequent(rows: DataFrame, least: int) -> DataFrame:
+    """(items): the sorted sets of up to ``LONGEST`` items that ``least`` of the rows hold, and maybe larger ones."""
+    n, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(0))).first()
+    share = (least - 0.5) / max(least, n)
+    if longest <= SHORT:
+        return FPGrowth(itemsCol="items", minSupport=share).fit(rows).freqItemsets.select(F.sort_array("items").alias("items"))
+    singles = rows.select(F.transform("items", lambda x: F.array(x)).alias("sequence"))
+    return PrefixSpan(minSupport=share, maxPatternLength=LONGEST).findFrequentSequentialPatterns(singles).select(
+        F.flatten("sequence").alias("items"))
 
 
 def looked_up(sets: DataFrame, rules: DataFrame, *kept: str) -> DataFrame:
