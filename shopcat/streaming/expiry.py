@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import DataType, IntegralType, StringType, StructType, TimestampType
@@ -34,7 +34,7 @@ class LatestUntilExpiry(StatefulProcessor):
         self.order = [f"latest_o{k}" for k in range(len(numbers))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.handle, self.places = handle, None
         columns = "".join(f"{c} string, " for c in self.order)
         self.latest = handle.getValueState("latest", f"latest_us long, {columns}payload string")
 
@@ -43,13 +43,18 @@ class LatestUntilExpiry(StatefulProcessor):
         return (row[0], *((v is not None, (int(v) if number else v) if v is not None else 0)
                           for v, number in zip(row[1:], self.numbers)))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.latest.get() if self.latest.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.latest.get()
         best = tuple(known) if known is not None else None
-        for part in rows:
-            for row in part[["latest_us", *self.order, "payload"]].astype(object).itertuples(index=False, name=None):
-                if best is None or self.rank(row[:-1]) > self.rank(best[:-1]):
-                    best = (int(row[0]), *row[1:])
+        rank = None if best is None else self.rank(best[:-1])
+        for row in rows:
+            if self.places is None:
+                names = list(row.__fields__)
+                self.places = itemgetter(*(names.index(c) for c in ("latest_us", *self.order, "payload")))
+            row = self.places(row)
+            own = self.rank(row[:-1])
+            if rank is None or own > rank:
+                best, rank = row, own
         if known is not None and best == tuple(known):
             return
         if known is not None:
@@ -58,20 +63,17 @@ class LatestUntilExpiry(StatefulProcessor):
         self.handle.registerTimer(self.expiry(best[0]))
         yield self.out(key, best, False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.latest.exists():
-            return
-        row = tuple(self.latest.get())
-        if self.expiry(row[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        row = self.latest.get()
+        if row is not None and self.expiry(row[0]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.latest.clear()
-            yield self.out(key, row, True)
+            yield self.out(key, tuple(row), True)
 
     def expiry(self, us: int) -> int:
         return us // 1000 + self.ttl_ms
 
-    def out(self, key: tuple, row: tuple, expired: bool) -> pd.DataFrame:
-        values = dict(zip(self.keys, key)) | {"latest_us": row[0], "payload": row[-1], "expired": expired}
-        return pd.DataFrame({name: [v] for name, v in values.items()})
+    def out(self, key: tuple, row: tuple, expired: bool) -> Row:
+        return Row(**dict(zip(self.keys, key)), latest_us=row[0], payload=row[-1], expired=expired)
 
     def close(self) -> None:
         pass
@@ -110,7 +112,7 @@ def stream_current_offers(offers: DataFrame, *keys: str, ttl: str, late: str = "
         *[c.alias(f"latest_o{k}") for k, (c, _) in enumerate(order)], F.to_json("offer", _JSON).alias("payload"),
     ).withWatermark("latest_time", late)
     ttl_ms = milliseconds(spark, ttl)
-    changes = rows.groupBy(*keys).transformWithStateInPandas(
+    changes = rows.groupBy(*keys).transformWithState(
         LatestUntilExpiry(list(keys), [number for _, number in order], ttl_ms),
         "".join(f"{k} {types[k]}, " for k in keys) + "latest_us long, payload string, expired boolean", "append", "EventTime")
     return changes.select(
