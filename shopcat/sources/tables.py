@@ -34,14 +34,24 @@ def stream_pages(
 
 PAGE_ROWS = 1000  # rows of a Parquet page of tables for lookups: what a lookup of one key reads, by the column index
 
+SPREAD_ROWS = 1_000_000  # rows of a partition of a table that is spread
 
-def spread(table: DataFrame) -> DataFrame:
-    """Give a small table at least one partition per core before work that is heavy per row.
 
-    A table of at least that many files is returned as it is, without a shuffle.
+def spread(table: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """Give a table at least one partition per core, and one for each ``rows`` rows, before work that is heavy per row.
+
+    A table that is read in enough parts already is returned as it is: no row is moved, and rows that lie together stay
+    together. Rows are counted by part of the scan, which reads footers only.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if len(table.inputFiles()) >= cores else table.repartition(cores)
+    spark = table.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, table.inputFiles()
+    if len(files) >= cores:
+        return table
+    part = ("_metadata.file_path", "_metadata.file_block_start")
+    parts = spark.read.parquet(*files).groupBy(*part).agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    wanted = max(cores, -(-parts["rows"] // rows))
+    return table if parts["most"] * wanted <= 2 * parts["rows"] else table.repartition(wanted)
 
 
 def write_offers(offers: DataFrame, path: str, batch: str | int) -> None:

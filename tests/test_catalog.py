@@ -201,3 +201,51 @@ def test_hot_isbn_is_reduced_before_the_shuffle(spark):
     before_exchange = plan.split("Exchange hashpartitioning(isbn")
     assert len(before_exchange) == 3 and all("partial_" in p for p in before_exchange[1:])
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_a_table_read_in_parts_is_not_moved(spark, tmp_path):
+    """One file of many row groups is read in parts; one of a single row group is dealt out, to partitions of bounded rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from shopcat.sources.tables import spread
+
+    rows = pa.table({"k": list(range(40_000)), "t": [f"{i * 7919 % 40_000:064x}" for i in range(40_000)]})
+    paths = {}
+    for name, size in (("parts", 500), ("one", 40_000)):
+        paths[name] = str(tmp_path / f"{name}.parquet")
+        pq.write_table(rows, paths[name], row_group_size=size, compression="none", use_dictionary=False)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        read = spread(spark.read.parquet(paths["parts"]))
+        assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString() and read.count() == 40_000
+        dealt = spread(spark.read.parquet(paths["one"]), rows=4_000)
+        assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 40_000
+        assert max(dealt.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) <= 4_000 + 10
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_a_running_session_takes_on_settings_it_has_not_set(spark):
+    from shopcat.session import RUNTIME, SETTINGS, tune
+
+    other, key = spark.newSession(), RUNTIME[0]
+    before = spark.conf.get(key)
+    try:
+        other.conf.set(key, "9000")
+        other.conf.unset(RUNTIME[1])
+        tune(other)
+        assert other.conf.get(key) == "9000" and other.conf.get(RUNTIME[1]) == SETTINGS[RUNTIME[1]]
+    finally:
+        assert spark.conf.get(key) == before
+
+
+def test_the_fold_sorts_by_the_hash_of_the_isbn(spark):
+    rows = [observation(i, "1234567890123", i, words=["a", "b"]) for i in range(6)] + [observation(9, "x", words=[])]
+    fold = C.fold_observations(table(spark, rows))
+    assert sorted((r["isbn"], sorted(r["words"] or [])) for r in fold.collect()) == [("1234567890123", ["a", "b"]), ("x", [])]
+    plan = fold._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(book_id" in plan and "hashpartitioning(isbn" not in plan
