@@ -68,7 +68,7 @@ def attribute_texts(nodes: Column, page_text: Column, isbn_run: Column) -> Colum
         return F.transform(
             F.concat(siblings, F.array(node)), lambda n: node_text(n, page_text))
 
-    text, run = F.translate(page_text, "X", "x"), F.translate(isbn_run, "X", "x")
+    text, run = (F.replace(c, F.lit("X"), F.lit("x")) for c in (page_text, isbn_run))
     match = F.struct(
         text.alias("text"),
         run.alias("run"),
@@ -80,8 +80,11 @@ def attribute_texts(nodes: Column, page_text: Column, isbn_run: Column) -> Colum
         F.array().cast("array<string>"))
 
 
-def title(nodes: Column, page_text: Column) -> Column:
-    """``og:title`` if present (even empty), else ``title``, else the first title-like element."""
+def title(nodes: Column, page_text: Column, named: Column | None = None) -> Column:
+    """``og:title`` if present (even empty), else ``title``, else the first title-like element.
+
+    ``named`` are the nodes to look for a title-like element in, if ``nodes`` are not all.
+    """
     og = first(nodes, lambda n: (n["tag"] == "meta")
                & (F.lower(F.trim(attr(n, "property"))) == "og:title"))
     element = first_text(nodes, page_text, lambda n: n["tag"] == "title")
@@ -89,7 +92,7 @@ def title(nodes: Column, page_text: Column) -> Column:
     return F.coalesce(
         let(og, lambda n: F.when(n.isNotNull(), F.coalesce(attr(n, "content"), F.lit("")))),
         element,
-        first_text(nodes, page_text, lambda n: names_any(n, TITLE_WORDS)),
+        first_text(nodes if named is None else named, page_text, lambda n: names_any(n, TITLE_WORDS)),
     )
 
 

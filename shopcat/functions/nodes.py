@@ -37,7 +37,12 @@ def first_text(nodes: Column, page_text: Column, condition) -> Column:
 def names_any(node: Column, words: Iterable[str], class_only: bool = False) -> Column:
     """True when the node's class or id contains one of ``words``, as a substring in any case."""
     names = node["class"] if class_only else F.concat_ws(" ", node["class"], node["id"])
-    return F.lower(names).rlike("|".join(words))
+    return is_named(node) & F.lower(names).rlike("|".join(words))
+
+
+def is_named(node: Column) -> Column:
+    """Has the node a class or an id? Most have none, and conditions on names need not look at them."""
+    return (node["class"] != "") | (node["id"] != "")
 
 
 def first_by_class_or_id(nodes: Column, words: Iterable[str]) -> Column:

@@ -62,7 +62,7 @@ def selector_steps(query: Column) -> Column:
 
 
 def _fulfils(node: Column, step: Column) -> Column:
-    classes = F.split(F.lower(F.trim(node["class"])), r"\s+")
+    classes = F.concat(F.lit(" "), F.translate(F.lower(node["class"]), "\t\n\x0b\f\r", " " * 5), F.lit(" "))
 
     def passes(test: Column) -> Column:
         value = F.lower(F.trim(F.try_element_at(node["attrs"], test["name"])))
@@ -78,29 +78,42 @@ def _fulfils(node: Column, step: Column) -> Column:
     return reduce(and_, [
         (step["tag"] == "") | (node["tag"] == step["tag"]),
         (step["id"] == "") | (node["id"] == step["id"]),
-        F.forall(step["classes"], lambda c: F.array_contains(classes, c)),
+        (F.size(step["classes"]) == 0) | ((node["class"] != "") & F.forall(
+            step["classes"], lambda c: F.contains(classes, F.concat(F.lit(" "), c, F.lit(" "))))),
         F.forall(step["tests"], passes),
     ])
 
 
+_FEW = 8  # subtrees that each node of a step is compared with, instead of marking all nodes below them
+
+
 def selected(nodes: Column, alternatives: Column) -> Column:
     """Nodes that match any alternative, in document order.
 
     Each step keeps one mark for every node, and the next step is one pass over the nodes: a child looks up its parent's
-    mark, a descendant the mark of the ranges below all marked nodes.
+    mark, a descendant the mark of the ranges below all marked nodes, or these ranges themselves where they are few.
+    Selectors of one step need no marks.
     """
 
     def follow(marks: Column, step: Column) -> Column:
-        return let(
-            F.when(step["child"], marks).otherwise(covered(F.filter(nodes, lambda n: F.get(marks, n["pos"])), own=False)),
-            lambda above: F.transform(nodes, lambda n: F.coalesce(
-                F.get(above, F.when(step["child"], n["parent"]).otherwise(n["pos"])), F.lit(False)) & _fulfils(n, step)))
+        def below(tops: Column) -> Column:
+            def inside(n: Column) -> Column:
+                return F.exists(tops, lambda t: (t["pos"] < n["pos"]) & (n["pos"] <= t["last"]))
+
+            return F.when(F.size(tops) <= _FEW, F.transform(nodes, lambda n: _fulfils(n, step) & inside(n))).otherwise(
+                let(covered(tops, own=False), lambda above: F.transform(
+                    nodes, lambda n: F.coalesce(F.get(above, n["pos"]), F.lit(False)) & _fulfils(n, step))))
+
+        children = F.transform(nodes, lambda n: F.coalesce(F.get(marks, n["parent"]), F.lit(False)) & _fulfils(n, step))
+        return F.when(step["child"], children).otherwise(
+            let(F.filter(nodes, lambda n: F.get(marks, n["pos"])), below))
 
     def marked(steps: Column) -> Column:
         roots = let(F.get(steps, F.lit(0)), lambda s: F.transform(nodes, lambda n: _fulfils(n, s)))
         rest = F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0)))
         return F.aggregate(rest, roots, follow)
 
-    return F.when(alternatives.isNotNull(), let(
+    single = F.filter(nodes, lambda n: F.exists(alternatives, lambda steps: _fulfils(n, F.get(steps, F.lit(0)))))
+    return F.when(F.forall(alternatives, lambda steps: F.size(steps) == 1), single).when(alternatives.isNotNull(), let(
         F.transform(alternatives, marked),
         lambda found: F.filter(nodes, lambda n: F.exists(found, lambda marks: F.get(marks, n["pos"])))))

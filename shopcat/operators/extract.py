@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shopcat.functions import fields as X
 from shopcat.functions.isbn import normalise_isbn
-from shopcat.functions.nodes import base_url, canonical_url, document_title, node_text
+from shopcat.functions.nodes import base_url, canonical_url, document_title, is_named, node_text
 from shopcat.functions.price import (
     STORED, coerce_availability, currency_of, price_value, separators, starts_with_number,
 )
@@ -28,19 +28,26 @@ def _prepare(pages: DataFrame) -> DataFrame:
     parsed = pages if "nodes" in pages.columns else with_nodes(pages)
     if "site" not in parsed.columns:
         parsed = parsed.withColumn("site", site_of(F.col("url")))
-    return parsed.withColumn("_base", _base_column()).withColumns(_page_columns())
+    return parsed.withColumns(_node_columns()).withColumn("_base", _base_column()).withColumns(_page_columns())
+
+
+@built_once
+def _node_columns() -> dict[str, Column]:
+    """The few nodes that most fields look at: by their tag, and by their class or id."""
+    return {"_tagged": F.filter(F.col("nodes"), lambda n: n["tag"].isin("base", "link", "meta", "title", "img")),
+            "_named": F.filter(F.col("nodes"), is_named)}
 
 
 @built_once
 def _base_column() -> Column:
-    return base_url(F.col("nodes"), F.col("url"))
+    return base_url(F.col("_tagged"), F.col("url"))
 
 
 @built_once
 def _page_columns() -> dict[str, Column]:
     return {
-        "canonical_url": canonical_url(F.col("nodes"), F.col("url"), F.col("_base")),
-        "page_title": document_title(F.col("nodes"), F.col("page_text")),
+        "canonical_url": canonical_url(F.col("_tagged"), F.col("url"), F.col("_base")),
+        "page_title": document_title(F.col("_tagged"), F.col("page_text")),
         "isbn_run": X.isbn_text(F.col("page_text")),
     }
 
@@ -154,14 +161,15 @@ def _wrapper_columns() -> dict[str, Column]:
 @built_once
 def _heuristic_columns(strict_isbn: bool) -> dict[str, Column]:
     nodes, text, attributes = F.col("nodes"), F.col("page_text"), F.col("attributes")
+    tagged, named = F.col("_tagged"), F.col("_named")
     return {
-        "title": X.title(nodes, text),
-        "authors": X.authors(nodes, text, attributes),
+        "title": X.title(tagged, text, named),
+        "authors": X.authors(named, text, attributes),
         "isbn": X.isbn_attribute(attributes, strict_isbn),
-        "description": X.description(nodes, text),
+        "description": X.description(named, text),
         "publisher": X.publisher(attributes),
         "format": X.book_format(attributes),
-        "image_url": X.image_url(nodes, F.col("_base")),
+        "image_url": X.image_url(tagged, F.col("_base")),
         "price_tag": X.price_tag(nodes, text),
         "availability": F.lit(None).cast("string"),
     }
@@ -245,7 +253,7 @@ def _catalog_columns(locale: str) -> dict[str, Column]:
 
 def _finish(df: DataFrame, locale: str) -> DataFrame:
     done = assemble(df, locale)
-    return done.drop("_base", "nodes", "page_text", "attributes", "isbn_run", "selectors", "fields",
+    return done.drop("_base", "_tagged", "_named", "nodes", "page_text", "attributes", "isbn_run", "selectors", "fields",
                      "selected_texts", "selector_errors", "parse_error")
 
 
@@ -256,7 +264,7 @@ def _block_texts() -> Column:
 
 @built_once
 def _stock_phrase() -> Column:
-    return X.stock_phrase(F.col("nodes"), F.col("page_text"))
+    return X.stock_phrase(F.col("_named"), F.col("page_text"))
 
 
 @built_once

@@ -109,6 +109,38 @@ def test_starts_looked_at_one_by_one_are_those_of_the_pattern(monkeypatch):
         assert (m.end() - 1 if m else -1) == end, (html, at)
 
 
+def test_tags_that_come_again_are_read_once(monkeypatch):
+    from shopcat.sources import html as H
+
+    read, attributes = [], H._attributes
+    monkeypatch.setattr(H, "_attributes", lambda source: read.append(source) or attributes(source))
+    batch = _NodeBatch(True)
+    for k in range(50):
+        batch.add(f'<ul class="a b"><li title="x=y">A &amp; B</li><li><img alt="c" src="{k}.jpg"></li></ul>')
+    assert len(read) == 2 + 50
+    nodes, texts, _ = batch.arrays()
+    assert [n["tag"] for n in nodes[49].as_py()] == ["ul", "li", "li", "img"] and texts[49].as_py() == "A & B"
+    assert nodes[49].as_py()[0]["class"] == "a b" and nodes[49].as_py()[1]["attrs"] == [("title", "x=y")]
+    assert nodes[7].as_py()[3]["attrs"] == [("alt", "c"), ("src", "7.jpg")]
+
+
+def test_plain_tags_are_those_of_the_pattern():
+    from shopcat.sources import html as H
+
+    rng, plain = random.Random(3), 0
+    parts = ["<a", "</b", " c", "=", '="', '"', "'", " ", "/", "x", "\n", '="x y"', "<", "= "]
+    for _ in range(60_000):
+        token = rng.choice(parts[:2]) + "".join(rng.choice(parts[2:]) for _ in range(rng.randint(0, 6))) + ">"
+        m = H._PLAIN.fullmatch(token)
+        if m:
+            plain += 1
+            for tail in ("", '">', "'>\" x", '<d e="f">'):
+                full = H._TOKEN.match(token + tail)
+                assert full.end() == len(token) and full["end"] == m[3], token
+                assert m[3] or (full["start"], full["attrs"]) == (m[1], m[2]), token
+    assert plain > 5000
+
+
 def test_base_address(spark):
     def urls(head, url="https://a.ro/x/1"):
         row = heuristic_books(pages(spark, f"<head>{head}</head><img alt=c src=i.jpg>", url=url)).first()
