@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -23,6 +25,7 @@ BUCKETS = (256, 8192)  # least and most parts of the distinct-word table, by a h
 
 # The pattern of words and the special tokens of word_bpe_49k.json.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # the same, of printable ASCII in lower case
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() parts texts here, the tokenizer does not
@@ -39,8 +42,11 @@ class Splitter:
         return PLAIN_SPACE.findall(text) if ODD_SPACE.search(text) else text.split()
 
     def words(self, unit: str) -> list[str]:
-        if unit.isascii() and unit.isalpha():
-            return [unit.lower()]
+        if unit.isascii():
+            if unit.isalpha():
+                return [unit.lower()]
+            if unit.isprintable() and "<|" not in unit:  # the normalizer lowers these and does nothing else
+                return ASCII_WORDS.findall(unit.lower())
         end = unit[-1:] if unit[-1:] in ".,!?;:" else ""
         core = unit[: len(unit) - len(end)]
         if core.isalpha() and (core.isascii() or (
@@ -65,6 +71,18 @@ class Splitter:
         return out
 
 
+def uncollected(run: Callable) -> Callable:
+    """A task without cyclic garbage collection, which would look through all words at hand again and again."""
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return quiet
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
@@ -90,15 +108,14 @@ def _chunk_key(ids: pa.Array, texts: list[str]) -> bytes:
     return digest.digest()
 
 
-def _vocabulary(texts: list[str], split: Splitter, buckets: int) -> tuple[dict[str, list[str]], dict[int, list[str]]]:
-    """(words of each distinct unit, sorted distinct words by bucket) of a chunk."""
-    units = {}
-    for text in texts:
-        units.update(dict.fromkeys(split.units(text)))
-    for unit in units:
-        units[unit] = split.words(unit)
+def _vocabulary(texts: Iterable[list[str]], split: Splitter, buckets: int) -> tuple[dict[str, list[str]], dict[int, list[str]]]:
+    """(words of each distinct unit, sorted distinct words by bucket) of a chunk, whose texts are given as units."""
+    seen, words_of = set(), split.words
+    for own in texts:
+        seen.update(own)
+    units = {unit: words_of(unit) for unit in seen}
     found: dict[int, list[str]] = {}
-    for word in {w for words in units.values() for w in words}:
+    for word in set(chain.from_iterable(units.values())):
         found.setdefault(xxhash.xxh3_64_intdigest(word.encode()) % buckets, []).append(word)
     for words in found.values():
         words.sort()
@@ -136,7 +153,7 @@ def encode_words(uses: DataFrame, path: str) -> DataFrame:
                 [batch.column("chunk"), batch.column("bucket"), pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
 
     return uses.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        encode, "chunk binary, bucket int, ids binary")
+        uncollected(encode), "chunk binary, bucket int, ids binary")
 
 
 def encode(docs: DataFrame, path: str, finish: Callable, schema: str, id_col: str = "doc_id",
@@ -158,7 +175,7 @@ def encode(docs: DataFrame, path: str, finish: Callable, schema: str, id_col: st
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(path)
         for ids, texts in _chunks(batches):
-            found, key = _vocabulary(texts, split, buckets)[1], _chunk_key(ids, texts)
+            found, key = _vocabulary(map(split.units, texts), split, buckets)[1], _chunk_key(ids, texts)
             yield pa.RecordBatch.from_arrays([
                 pa.array(list(found), pa.int32()), pa.array([key] * len(found), pa.binary()),
                 pa.array([_zip("\n".join(words)) for words in found.values()], pa.binary())], ["bucket", "chunk", "words"])
@@ -178,21 +195,22 @@ def encode(docs: DataFrame, path: str, finish: Callable, schema: str, id_col: st
         for batch in batches:
             for k in range(batch.num_rows):
                 body = pa.ipc.open_stream(zstandard.decompress(batch.column("body")[k].as_buffer())).read_all()
-                ids, texts = body.column("id").combine_chunks(), _texts(body.column("text"))
+                ids, texts = body.column("id").combine_chunks(), [split.units(t) for t in _texts(body.column("text"))]
                 units, found = _vocabulary(texts, split, buckets)
                 table = {}
                 for part in batch.column("parts")[k].as_py() or []:
                     table.update(zip(found[part["bucket"]], _unzip(part["ids"])))
-                known = {unit: " ".join(map(table.__getitem__, words)) for unit, words in units.items()}
-                done = [" ".join(map(known.__getitem__, split.units(t))) for t in texts]
+                known = {unit: table[words[0]] if len(words) == 1 else " ".join(map(table.__getitem__, words))
+                         for unit, words in units.items()}
+                done = [" ".join(map(known.__getitem__, own)) for own in texts]
                 yield pa.RecordBatch.from_arrays(finish(ids, done), names)
 
-    uses = rows.mapInArrow(use, "bucket int, chunk binary, words binary")
+    uses = rows.mapInArrow(uncollected(use), "bucket int, chunk binary, words binary")
     back = encode_words(uses, path).groupBy("chunk", "bucket").agg(F.first("ids").alias("ids")).groupBy("chunk").agg(
         F.collect_list(F.struct("bucket", "ids")).alias("parts"))
     packed = rows.mapInArrow(pack, "chunk binary, body binary")
     return packed.join(back, "chunk", "left").select("chunk", "body", "parts").mapInArrow(
-        join_back, schema.replace("ID_TYPE", id_type))
+        uncollected(join_back), schema.replace("ID_TYPE", id_type))
 
 
 def pieces(path: str) -> list[str]:

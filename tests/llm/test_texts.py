@@ -52,6 +52,14 @@ def test_bpe_round_trip_through_tables(spark):
         assert r["ids"] == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_words_of_printable_ascii_need_no_normalizer():
+    split = bpe.Splitter(PATH)
+    units = ["Don't", "'''s", "''S's", "A.B,c;d", "w1234x", "(x)", "'LL've'd", "x<y|z", "...", "99%", "it'sX", "A's.", "a_b-C/9"]
+    want = [bpe.WORDS.findall(split.tokenizer.normalizer.normalize_str(unit)) for unit in units]
+    split.tokenizer = None
+    assert [split.words(unit) for unit in units] == want
+
+
 def test_bpe_without_documents(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
