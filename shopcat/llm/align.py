@@ -23,6 +23,7 @@ from shopcat.llm.common import discard, written
 
 CHUNK = 4 << 20  # characters of text whose links are counted together before the shuffle
 KNOWN = 550_000  # units whose alignment a Python worker remembers, some 450 bytes each
+AT_ONCE = 16_384  # units whose tokens and spans are held at a time
 SPACE_MARK = "▁"  # stands for a space in sentencepiece pieces
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -104,14 +105,15 @@ class Aligner:
         if not self.cuttable:
             return [[t] if t else [] for t in texts]
         split = [t.split(" ") if t else [] for t in texts]
-        edges = {u for u in set(chain.from_iterable(split)) if not u or u[0].isspace() or u[-1].isspace()}
+        edges = {u for u in set().union(*split) if not u or len(u.strip()) < len(u)}
         # Such parts show a space beside another white space, or at an end of the text.
         return split if not edges else [own if edges.isdisjoint(own) else _CUT.split(t) for own, t in zip(split, texts)]
 
     def align(self, units: list[str]) -> list[Unit | None]:
         """Both tokenizers' tokens of each unit and their common cuts; None where a tokenizer loses bytes."""
-        data = [(" " + u).encode() for u in units]
-        codes = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
+        spaced = [" " + u for u in units]
+        data = [u.encode() for u in spaced]
+        codes = self.a.encode_batch(spaced, add_special_tokens=False)
         spans = [p.pieces for p in self.b.encode(units, return_type="proto", num_threads=1)]
         lists_a, lists_b = [c.ids for c in codes], [[p.id for p in own] for own in spans]
         size_a, size_b = self.lengths(lists_a), self.lengths(lists_b)
@@ -148,7 +150,7 @@ class Aligner:
 
     def _ends_a(self, data: list[bytes], codes: list, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Byte ends within each unit, from the library's character offsets; see :func:`_refined`."""
-        ends = np.fromiter((end for c in codes for _, end in c.offsets), np.int64, len(ids))
+        ends = np.array([end for c in codes for _, end in c.offsets], np.int64)
         raw = np.frombuffer(b"".join(data), np.uint8)
         starts = np.flatnonzero((raw & 0xC0) != 0x80)
         if len(starts) < len(raw):
@@ -161,7 +163,7 @@ class Aligner:
 
     def _ends_b(self, spans: list, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Byte ends within each unit, from the spans of the pieces, which leave out the first space."""
-        ends = np.fromiter((p.end for own in spans for p in own), np.int64, len(ids)) + 1
+        ends = np.array([p.end for own in spans for p in own], np.int64) + 1
         return _refined(ends, ids, sizes, self.firm_b, self.length_b)
 
     def look_up(self, units: list[str]) -> list[Unit | None]:
@@ -173,17 +175,31 @@ class Aligner:
         known = self.known
         if len(known) > KNOWN:
             known.clear()
-        cut = {u: m.start() for u in units if u not in known and (m := _TAIL.search(u))} if self.tails else {}
-        parts = {u: (u[:at], "a" + u[at:]) for u, at in cut.items()}
-        whole = dict.fromkeys(chain((u for u in units if u not in cut), chain.from_iterable(parts.values())))
-        new = [u for u in whole if u not in known]
-        known.update(zip(new, self.align(new)))
-
-        def joined(word: Unit | None, tail: Unit | None) -> Unit | None:
-            return word and tail and Unit(word.n_a + tail.n_a - 1, word.n_b + tail.n_b - 1,
-                                          word.groups + ";" + tail.groups.split(";", 1)[1], word.links + tail.links[8:])
-
-        return [joined(known[parts[u][0]], known[parts[u][1]]) if u in parts else known[u] for u in units]
+        new, cut = {}, {}  # units to align; units to put together, with their two parts
+        for u in units:
+            if u not in known:
+                m = _TAIL.search(u) if self.tails and not u.isalnum() else None
+                if m:
+                    word, tail = cut[u] = u[:m.start()], "a" + u[m.start():]
+                    if word not in known:
+                        new[word] = None
+                    if tail not in known:
+                        new[tail] = None
+                else:
+                    new[u] = None
+        new = list(new)
+        for at in range(0, len(new), AT_ONCE):
+            known.update(zip(part := new[at:at + AT_ONCE], self.align(part)))
+        tails: dict[str, tuple | None] = {}
+
+        def joined(word: str, tail: str) -> Unit | None:
+            if tail not in tails:
+                t = known[tail]
+                tails[tail] = t and (t.n_a - 1, t.n_b - 1, ";" + t.groups.split(";", 1)[1], t.links[8:])
+            w, t = known[word], tails[tail]
+            return w and t and Unit(w.n_a + t[0], w.n_b + t[1], w.groups + t[2], w.links + t[3])
+
+        return [joined(*cut[u]) if u in cut else known[u] for u in units]
 
 
 def _flat(lists: list[list[int]]) -> np.ndarray:
@@ -250,15 +266,16 @@ def _chunk(both: Aligner, ids: list, texts: list[str | None]) -> tuple[bytes, in
     units = list(dict.fromkeys(chain.from_iterable(split)))
     found = both.look_up(units)
     place = dict(zip(units, range(len(units))))
-    names = {u: f.groups for u, f in zip(units, found) if f}
-    lost = place.keys() - names.keys()
+    names = [f.groups if f else "" for f in found]
+    lost = {u for u, f in zip(units, found) if not f}
     n_a, n_b = (np.array([f[k] if f else 0 for f in found], np.int64) for k in (0, 1))
     rows, uses = [], []
     for id_, own in zip(ids, split):
         if lost and not lost.isdisjoint(own):
             own = []
-        at = np.fromiter(map(place.__getitem__, own), "<u4", len(own))
-        sha = hashlib.sha256(";".join(map(names.__getitem__, own)).encode()).hexdigest() if own else ""
+        places = list(map(place.__getitem__, own))
+        at = np.array(places, "<u4")
+        sha = hashlib.sha256(";".join(map(names.__getitem__, places)).encode()).hexdigest() if own else ""
         rows.append((id_, int(n_a[at].sum()), int(n_b[at].sum()), sha, len(own)))
         uses.append(at)
     flat = np.concatenate(uses) if uses else np.empty(0, "<u4")

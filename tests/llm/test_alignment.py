@@ -128,3 +128,29 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     out = align.alignment(df, A, B)
     assert out.count() == 0 and out.columns[0] == "doc_id"
+
+
+def test_words_are_not_searched_for_stops_and_known_parts_not_aligned_again(monkeypatch):
+    class Stops:
+        seen = []
+
+        def search(self, unit):
+            self.seen.append(unit)
+            return pattern.search(unit)
+
+    pattern, both = align._TAIL, align.Aligner(A, B)
+    monkeypatch.setattr(align, "_TAIL", Stops())
+    whole = both.align(["word,", "x.y!", "word"])
+    given, run = [], both.align
+    monkeypatch.setattr(both, "align", lambda units: given.append(list(units)) or run(units))
+    assert both.look_up(["word", "word,", "x.y!"]) == [whole[2], whole[0], whole[1]]
+    assert both.look_up(["other", "other,", "word,"])[2] == whole[0]
+    assert given == [["word", "a,", "x", "a.y!"], ["other"]] and Stops.seen == ["word,", "x.y!", "other,", "word,"]
+
+
+def test_few_units_are_aligned_at_a_time(monkeypatch):
+    monkeypatch.setattr(align, "AT_ONCE", 2)
+    both, units = align.Aligner(A, B), ["one", "two", "three", "four", "five,", "\u65e5\u672c", "\u2581"]
+    want, given, run = [both.align([u])[0] for u in units], [], both.align
+    monkeypatch.setattr(both, "align", lambda part: given.append(len(part)) or run(part))
+    assert both.look_up(units) == want and max(given) == 2
