@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from shopcat.operators import jobs as J
-from shopcat.session import work_folder
+from shopcat.session import rocksdb_state, work_folder
 from shopcat.sources.tables import commit_batch, last_committed, path_exists
 from shopcat.streaming import expiry, running
 from shopcat.streaming import streams as S
@@ -128,3 +128,53 @@ def test_offers_leave_the_stream_once_and_state_is_bounded(spark):
     assert {r["url"]: r["count"] for r in got} == {"a": 2, "b": 1, "c": 1, "d": 1, "null": 1, None: 1}
     states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert max(states) == 6 and states[-1] <= 2
+
+
+def test_keys_share_state_and_expire_each_at_its_own_time(spark):
+    """Many keys in few groups give what a row-by-row run over the batches gives, with few entries in the state."""
+    r, ttl, late = random.Random(11), timedelta(days=10), timedelta(days=2)
+    days = [[(r.choice([None, *"abcdefghijklmnop"]), r.choice([d, d, d - 1, d - 5]) if d else 0, float(r.randint(1, 9)),
+              r.choice([None, *range(5)])) for _ in range(30)] for d in (0, 1, 4, 4, 11, 13, 30, 31)]
+    held, want, seen, before = {}, [], None, None  # the engine drops rows by the watermark of the batch before
+    for batch, rows in enumerate([*days, []]):
+        mark = None if seen is None else seen - late
+        new = {}
+        for isbn, day, value, page in rows:
+            t = T0 + timedelta(days=day, microseconds=7)
+            if before is None or t > before:
+                rank = (t, page is not None, page or 0, f"u{page}")
+                new[isbn] = max(rank, new.get(isbn, rank))
+        new = {isbn: rank for isbn, rank in new.items() if isbn not in held or rank > held[isbn]}
+        want += [(batch, isbn, rank[0], rank[3], False) for isbn, rank in new.items()]
+        held |= new
+        over = [isbn for isbn, rank in held.items() if mark is not None and rank[0] - timedelta(microseconds=7) + ttl <= mark]
+        want += [(batch, isbn, held[isbn][0], held[isbn][3], True) for isbn in over]
+        for isbn in over:
+            del held[isbn]
+        before, seen = mark, max([T0 + timedelta(days=d) for _, d, _, _ in rows] + ([] if seen is None else [seen]))
+    root = work_folder(spark, "test-groups")
+    changes = expiry.stream_current_offers(stream_of(spark, f"{root}/in", [offer(spark, d) for d in days]), "isbn",
+                                           ttl="10 days", late="2 days", groups=3)
+    with rocksdb_state(spark):
+        q = changes.writeStream.foreachBatch(lambda b, k: b.write.parquet(f"{root}/out/batch={k}")).option(
+            "checkpointLocation", f"{root}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(x["batch"], x["isbn"], x["best_offer"]["retrieved_time"], x["best_offer"]["url"], x["expired"])
+           for x in spark.read.parquet(f"{root}/out").collect()]
+    assert {*got} ^ {*want} == set() and len(got) == len(want) and any(x[-1] for x in want)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 3
+
+
+def test_offers_that_a_later_one_makes_void_do_not_move(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(expiry, "HELD", 8)
+    rows = [("a", 1), ("b", 5), (None, 2), ("a", 3), ("a", 3), ("b", 4), (None, 1)] * 3
+    columns = pa.schema({"latest_key": pa.string(), "latest_us": pa.int64(), "x": pa.int64()})
+    parts = [pa.RecordBatch.from_pylist([{"latest_key": k, "latest_us": t, "x": n + i} for i, (k, t) in enumerate(rows[n:n + 4])], columns)
+             for n in range(0, len(rows), 4)]
+    left = [(x["latest_key"], x["latest_us"], x["x"]) for b in expiry.latest_of_task(iter(parts)) for x in b.to_pylist()]
+    assert sorted(map(repr, left)) == sorted(repr((k, t, n)) for n, (k, t) in enumerate(rows) if t == {"a": 3, "b": 5, None: 2}[k])
+    many = pa.RecordBatch.from_pylist([{"latest_key": str(i), "latest_us": i} for i in range(20)])
+    assert sum(b.num_rows for b in expiry.latest_of_task(iter([many, many.slice(0, 0), many]))) >= 20
+    assert list(expiry.latest_of_task(iter([]))) == []
