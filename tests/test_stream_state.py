@@ -178,3 +178,20 @@ def test_offers_that_a_later_one_makes_void_do_not_move(monkeypatch):
     many = pa.RecordBatch.from_pylist([{"latest_key": str(i), "latest_us": i} for i in range(20)])
     assert sum(b.num_rows for b in expiry.latest_of_task(iter([many, many.slice(0, 0), many]))) >= 20
     assert list(expiry.latest_of_task(iter([]))) == []
+
+
+def test_deliveries_are_sorted_and_leave_once(spark, tmp_path, monkeypatch):
+    from shopcat.plans import queries as Q
+
+    lines = spark.range(400).selectExpr(
+        "id * 7919 % 400 AS l_orderkey", "id % 9 AS l_partkey", "id % 5 AS l_suppkey", "cast(id % 4 AS int) AS l_linenumber",
+        "double(id % 50) AS l_quantity", "double(id) + 0.25 AS l_extendedprice", "'N' AS l_returnflag", "'O' AS l_linestatus",
+        "timestamp_ntz'2024-01-01 00:00:00' AS l_shipdate")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    folders = {}
+    monkeypatch.setattr(Q, "work_folder", lambda s, name: folders.setdefault(name, str(tmp_path / name)))
+    assert Q.QUERIES["stream_distinct_offers"](spark, str(tmp_path)).select("url").distinct().count() == 400
+    delivered = spark.read.parquet(folders["delivered"]).selectExpr("url", "delivered_at", "_metadata.file_path AS f")
+    assert [r["count"] for r in delivered.groupBy("delivered_at").count().collect()] == [400] * 3
+    files = delivered.groupBy("f").agg(F.collect_list("url").alias("u")).collect()
+    assert all(r["u"] == sorted(r["u"]) for r in files)
