@@ -283,3 +283,21 @@ def test_odd_isbns_fold_as_row_by_row(spark, monkeypatch):
     mixed = C.merge_books(table(spark, rows))
     assert sorted(map(repr, mixed.collect())) == sorted(map(repr, got.collect()))
     assert "Window" in mixed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_books_move_once_where_the_stems_are_many(spark):
+    path = work_folder(spark, "many")
+    write_books(C.merge_books(table(spark, random_observations(40, 9))), path, 0)
+    stems = table(spark, [observation(1, "978606673363"), observation(2, "1234")]).selectExpr("isbn AS stem")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        nameless = spark.createDataFrame([(1, None)], "book_id bigint, isbn string")
+        stored = read_batches(spark, path, BOOKS).drop("batch").unionByName(nameless, allowMissingColumns=True)
+        met, others = C.split_by_stem(stored, stems, False)
+        both = met.unionByName(others)
+        assert sorted(map(str, (r["isbn"] for r in both.collect()))) == sorted(map(str, (r["isbn"] for r in stored.collect())))
+        assert [r["isbn"] for r in met.collect()] == ["9786066733632"]
+        assert both._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2  # the books and the stems
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
