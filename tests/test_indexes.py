@@ -95,3 +95,18 @@ def test_entries(spark):
     books = C.merge_books(table(spark, [observation(1, "9780000000019", 0, "One", words=["red"])]))
     want = spark.range(1).select(F.array(*[index_key(f, F.lit(v)) for f, v in (("title", "One"), ("keyword", "red"))]).alias("k"))
     assert {(r["key"], r["stem"]) for r in index_entries(books).collect()} == {(k, "978000000001") for k in want.first()["k"]}
+
+
+def test_books_and_their_index_are_packed(spark):
+    from pyarrow import dataset
+
+    from shopcat.operators.catalog import upsert_books
+
+    root = work_folder(spark, "packed")
+    book = table(spark, [observation(1, "9786066733632", title="t", words=["w"])])
+    S.add_books(C.merge_books(book), root, 0)
+    upsert_books(spark, f"{root}/versions", book, buckets=2)
+    for part in ("books/batch=0", "index/batch=0", "versions/data"):
+        for file in dataset.dataset(f"{root}/{part}", format="parquet").get_fragments():
+            groups = file.metadata
+            assert all(groups.row_group(g).column(0).compression == "ZSTD" for g in range(groups.num_row_groups))
